@@ -2,8 +2,8 @@
 
 Packing is sequential inside one document and independent across
 documents, so it runs row-local (no shuffle) as a JVM higher-order
-``aggregate`` over (word, cost) pairs whose accumulator holds the finished
-chunks, the words of the open chunk and its used budget.
+``aggregate`` over the word costs that records where each chunk starts;
+chunk texts are slices of the word array joined with spaces.
 """
 
 from __future__ import annotations
@@ -30,49 +30,57 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _pack(words: Column, costs: Column, budget: int) -> Column:
-    """Greedy packing as one left fold over (word, cost) pairs. The lambda
-    uses only its own variables (a computed column referenced inside a
-    lambda is re-evaluated per element once Catalyst inlines it)."""
-    init = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("cur"),
-                    F.lit(0).alias("used"))
+def _starts(costs: Column, budget: int) -> Column:
+    """0-based start index of every chunk: one left fold over the costs whose
+    accumulator appends an index only when a chunk opens."""
+    init = F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("used"), F.lit(0).alias("i"))
 
-    def step(acc, e):
-        new = (F.size(acc["cur"]) > 0) & (acc["used"] + e["c"] > budget)
+    def step(acc, c):
+        new = (acc["i"] == 0) | (acc["used"] + c > budget)
         return F.struct(
-            F.when(new, F.concat(acc["done"], F.array(F.array_join(acc["cur"], " ")))).otherwise(acc["done"]).alias("done"),
-            F.when(new, F.array(e["w"])).otherwise(F.concat(acc["cur"], F.array(e["w"]))).alias("cur"),
-            F.when(new, e["c"]).otherwise(acc["used"] + e["c"]).alias("used"),
+            F.when(new, F.concat(acc["s"], F.array(acc["i"]))).otherwise(acc["s"]).alias("s"),
+            F.when(new, c).otherwise(acc["used"] + c).alias("used"),
+            (acc["i"] + 1).alias("i"),
         )
 
-    def finish(acc):
-        return F.when(F.size(acc["cur"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["cur"], " ")))
-                      ).otherwise(acc["done"])
-
-    return F.aggregate(F.arrays_zip(words.alias("w"), costs.alias("c")), init, step, finish)
+    return F.aggregate(costs, init, step, lambda acc: acc["s"])
 
 
 def stage_chunks(df: DataFrame, text_col: str = "text", budget: int = 510, cost: CostFn = length_cost,
                  reason_col: str = "fail_reason") -> DataFrame:
     """Document-level staging: ``_chunks`` (ARRAY of chunk texts) and the
-    failure reason; the text column itself is dropped. Row-local: no shuffle."""
+    failure reason; the text column itself is dropped. Row-local: no shuffle.
+
+    Lambdas read only their own variables: the word array reaches the slicing
+    lambda through ``arrays_zip`` (``array_repeat`` copies references only),
+    because a computed column read inside a lambda body is re-evaluated per
+    element once Catalyst inlines it."""
     keep = [c for c in df.columns if c != text_col]
     t = F.col(text_col)
     s1 = df.select(*keep, t.isNull().alias("_null"), _words(t).alias("_w"))
     s2 = s1.select(*keep, "_null", "_w", cost(F.col("_w")).alias("_cost"))
     reason = (F.when(F.col("_null"), F.lit(REASON_NULL))
               .when(F.exists("_cost", lambda c: c > budget), F.lit(REASON_LONG_WORD)))
-    s3 = s2.select(*keep, reason.alias(reason_col), "_w", "_cost")
-    return s3.select(*keep, reason_col, F.when(F.col(reason_col).isNull(), _pack(F.col("_w"), F.col("_cost"), budget))
+    s3 = s2.select(*keep, reason.alias(reason_col), "_w", _starts(F.col("_cost"), budget).alias("_st"))
+    ends = F.concat(F.slice("_st", 2, F.greatest(F.size("_st") - 1, F.lit(0))), F.array(F.size("_w")))
+    lens = F.zip_with(ends, "_st", lambda e, b: e - b)
+    z = F.arrays_zip(F.col("_st").alias("s"), lens.alias("l"), F.array_repeat("_w", F.size("_st")).alias("ws"))
+    chunks = F.transform(z, lambda r: F.array_join(F.slice(r["ws"], r["s"] + 1, r["l"]), " "))
+    return s3.select(*keep, reason_col, F.when(F.col(reason_col).isNull(), chunks)
                      .otherwise(F.array().cast("array<string>")).alias("_chunks"))
 
 
 def explode_chunks(staged: DataFrame, text_col: str = "text", reason_col: str = "fail_reason") -> DataFrame:
-    """One row per chunk; a failed document keeps one row with NULL pos/text."""
+    """One row per chunk; a failed document keeps one row with NULL pos/text.
+
+    ``posexplode_outer`` on purpose: for a plain ``explode`` Catalyst infers
+    a ``size(arr) > 0`` filter below the generator, and that filter inlines
+    the whole packing expression a second time."""
     keep = [c for c in staged.columns if c != "_chunks"]
     arr = F.when(F.col(reason_col).isNull(), F.col("_chunks")).otherwise(F.array(F.lit(None).cast("string")))
-    return staged.select(*keep, F.posexplode(arr).alias("pos", text_col)).withColumn(
-        "pos", F.when(F.col(reason_col).isNull(), F.col("pos").cast("int")))
+    out = staged.select(*keep, F.posexplode_outer(arr).alias("pos", text_col))
+    out = out.where(F.col("pos").isNotNull() | F.col(reason_col).isNotNull())
+    return out.withColumn("pos", F.when(F.col(reason_col).isNull(), F.col("pos").cast("int")))
 
 
 def chunk_documents(df: DataFrame, text_col: str = "text", budget: int = 510, cost: CostFn = length_cost,
@@ -87,7 +95,7 @@ def chunk_by_token_budget(df: DataFrame, text_col: str = "text", budget: int = 5
                           cost: CostFn = length_cost) -> DataFrame:
     """Chunks of the documents that did not fail, with ``chunk_id``."""
     out = chunk_documents(df, text_col, budget, cost)
-    return with_chunk_id(out.filter(F.col("fail_reason").isNull()).drop("fail_reason"), text_col)
+    return with_chunk_id(out.filter(F.col("pos").isNotNull()).drop("fail_reason"), text_col)
 
 
 def with_chunk_id(df: DataFrame, text_col: str = "text", out: str = "chunk_id") -> DataFrame:
@@ -96,7 +104,11 @@ def with_chunk_id(df: DataFrame, text_col: str = "text", out: str = "chunk_id")
 
 
 def split_failures(chunked: DataFrame, file_col: str = "file", reason_col: str = "fail_reason"):
-    """(ok chunk rows, failed(file, reason)) from :func:`chunk_documents`."""
-    ok = chunked.filter(F.col(reason_col).isNull()).drop(reason_col)
-    failed = chunked.filter(F.col(reason_col).isNotNull()).select(file_col, F.col(reason_col).alias("reason"))
+    """(ok chunk rows, failed(file, reason)) from :func:`chunk_documents`.
+
+    Split on the generated ``pos`` (NULL only for failed documents): a
+    filter on the reason itself would be pushed below the generator and
+    re-run cleaning and costing inside the scan filter."""
+    ok = chunked.filter(F.col("pos").isNotNull()).drop(reason_col)
+    failed = chunked.filter(F.col("pos").isNull()).select(file_col, F.col(reason_col).alias("reason"))
     return ok, failed

@@ -39,7 +39,8 @@ def _clean_docs(spark, sf) -> DataFrame:
 
 
 def _explode_vec(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    return df.select(id_col, F.posexplode(vec).alias("idx", "_v")).select(
+    # outer form: a plain explode makes Catalyst re-inline the vector expression in an inferred filter
+    return df.select(id_col, F.posexplode_outer(vec).alias("idx", "_v")).where(F.col("idx").isNotNull()).select(
         id_col, F.col("idx").cast("int").alias("idx"), F.round(F.col("_v").cast("double"), 6).alias("value"))
 
 
@@ -87,19 +88,19 @@ def q_copy_metadata(spark, sf):
 @register("chunk_by_token_budget")
 def q_chunk(spark, sf):
     ch = chunk_documents(_clean_docs(spark, sf).select("doc_id", "text"))
-    return ch.where(F.col("fail_reason").isNull()).select("doc_id", "pos", "text")
+    return ch.where(F.col("pos").isNotNull()).select("doc_id", "pos", "text")
 
 
 @register("chunk_id")
 def q_chunk_id(spark, sf):
     ch = chunk_documents(_clean_docs(spark, sf).select("doc_id", "text"))
-    return with_chunk_id(ch.where(F.col("fail_reason").isNull())).select("doc_id", "pos", "chunk_id")
+    return with_chunk_id(ch.where(F.col("pos").isNotNull())).select("doc_id", "pos", "chunk_id")
 
 
 @register("chunk_metadata")
 def q_chunk_metadata(spark, sf):
     ch = chunk_documents(_clean_docs(spark, sf))
-    return (ch.where(F.col("fail_reason").isNull()).groupBy("source")
+    return (ch.where(F.col("pos").isNotNull()).groupBy("source")
             .agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs")))
 
 
