@@ -1,16 +1,19 @@
 """Vector collection and other sinks (SNK-1..7).
 
 A collection is a parquet folder ``root/name`` with the schema
-``(chunk_id, embedding, text, metadata)``. Adding is insert-if-absent by
-``chunk_id``: within a batch the least ``(doc_id, pos)`` wins, ids already
-stored are left untouched. Plain parquet has no transactions, so a
-collection has one writer at a time; every add appends new files only,
-which makes a replayed batch a no-op (it inserts 0 rows).
+``(chunk_id, embedding, text, metadata)``, stored as one sub-folder
+``part=<label>`` per add. Adding is insert-if-absent by ``chunk_id``:
+within a batch the least ``(doc_id, pos)`` wins, ids already stored are
+left untouched. Plain parquet has no transactions, so a collection has one
+writer at a time; each add writes a new part only, so a second ingest of
+the same input inserts 0 rows and a replayed stream batch rewrites only its
+own part.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +34,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def open_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
+def open_collection(spark: SparkSession, root: str, name: str, exclude_part: str | None = None) -> DataFrame:
     """Get or create a named collection; a second open never drops rows."""
     path = os.path.join(root, name)
     if not _exists(spark, path):
-        spark.createDataFrame([], COLLECTION_SCHEMA).write.mode("ignore").parquet(path)
-    return spark.read.schema(COLLECTION_SCHEMA).parquet(path)
+        spark.createDataFrame([], COLLECTION_SCHEMA).write.mode("ignore").parquet(os.path.join(path, "part=init"))
+    df = spark.read.option("basePath", path).parquet(path)
+    if exclude_part is not None:
+        df = df.where(F.col("part") != exclude_part)
+    return df.select(*COLLECTION_SCHEMA.fieldNames())
 
 
 def first_per_chunk(rows: DataFrame) -> DataFrame:
@@ -61,15 +67,15 @@ def new_rows(collection: DataFrame, rows: DataFrame) -> DataFrame:
     return first.join(collection.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def collection_add(spark: SparkSession, root: str, name: str, rows: DataFrame) -> int:
-    """Append the batch's new chunk ids; returns the number inserted."""
-    coll = open_collection(spark, root, name)
+def collection_add(spark: SparkSession, root: str, name: str, rows: DataFrame, part: str | None = None) -> int:
+    """Write the batch's new chunk ids as a new part; returns the number inserted.
+    With a fixed ``part`` label a retried add replaces only its own part."""
+    part = part or uuid.uuid4().hex
+    coll = open_collection(spark, root, name, exclude_part=part)
     fresh = new_rows(coll, rows).select(*COLLECTION_SCHEMA.fieldNames())
-    staged = fresh.checkpoint(eager=True)
-    n = staged.count()
-    if n:
-        staged.write.mode("append").parquet(os.path.join(root, name))
-    return n
+    target = os.path.join(root, name, f"part={part}")
+    fresh.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target).count()
 
 
 def write_clean_text(df: DataFrame, path: str, stem_col: str = "stem", text_col: str = "text") -> None:

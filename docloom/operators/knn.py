@@ -145,15 +145,15 @@ def knn_topk(queries: DataFrame, passages: DataFrame, k: int = 20, metric: str =
         n_p = int(stats_p["n"])
         qb = max(1, math.ceil(q_bytes / block_bytes))
         pb = max(1, math.ceil(n_p * max(dim, 1) * 8 / block_bytes))
-        qrep = q.withColumn("_qb", F.pmod(F.xxhash64(q_id), F.lit(qb))).withColumn(
-            "_pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1))))
+        qrep = q.select(F.col(q_id).alias("_qid"), F.col(q_vec).alias("_qv")).withColumn(
+            "_qb", F.pmod(F.xxhash64("_qid"), F.lit(qb))).withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1))))
         prep = p.withColumn("_pb", F.pmod(F.xxhash64(p_id), F.lit(pb))).withColumn(
             "_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
         def pair(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
             if len(qpdf) == 0 or len(ppdf) == 0:
                 return pd.DataFrame({f: [] for f in schema.fieldNames()})
-            top = _block_topk(qpdf[q_id].to_numpy(), _matrix(qpdf[q_vec]), ppdf, p_id, p_vec, carry, k,
+            top = _block_topk(qpdf["_qid"].to_numpy(), _matrix(qpdf["_qv"]), ppdf, p_id, p_vec, carry, k,
                               metric, exclude_self)
             return _merge_topk([top], k)[schema.fieldNames()]
 

@@ -67,3 +67,8 @@ WHERE rank <= {rerank_k}"""
 
 
 ORACLES["rag_retrieve"] = _rag_sql()
+
+
+def all_oracles() -> dict[str, str]:
+    from docloom.plans.registry import EXTRA_ORACLES
+    return {**ORACLES, **EXTRA_ORACLES}

@@ -25,11 +25,14 @@ from docloom.sources import fixtures as FX
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+EXTRA_ORACLES: dict[str, str] = {}
 
 
-def register(name: str):
+def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
         QUERIES[name] = fn
+        if sql is not None:
+            EXTRA_ORACLES[name] = sql
         return fn
     return deco
 
@@ -138,3 +141,7 @@ def _passages(spark, sf) -> DataFrame:
 @register("rag_retrieve")
 def q_rag(spark, sf):
     return rag_retrieve(FX.questions(spark, sf), _passages(spark, sf), k=20, hops=2, rerank_k=10)
+
+
+# the other query groups register themselves on import
+from docloom.plans import q_retrieval, q_generation, q_chat_sft, q_eval, q_stream  # noqa: E402,F401

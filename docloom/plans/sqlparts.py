@@ -84,3 +84,29 @@ pfirst AS (SELECT md5(text) AS passage_id, doc_id, pos, text, source,
 pb AS (SELECT passage_id, doc_id, pos, text, source FROM pfirst WHERE rn = 1),
 {embed_ctes('pb', 'passage_id', 'text', 'pe', dim)},
 psg AS (SELECT pb.*, pe_vec.embedding FROM pb JOIN pe_vec USING (passage_id))"""
+
+
+def hops_ctes(q0: str, psg: str, k: int = 20, prefix: str = "h") -> str:
+    """Two-hop retrieval with the mean (Rocchio) rewriter, as CTEs ending in
+    ``{prefix}_all(query_id, passage_id, hop, rank, score)``.
+    ``q0(query_id, v)``, ``psg(passage_id, embedding)``."""
+    return f"""
+{prefix}1 AS (SELECT * FROM (SELECT q.query_id, p.passage_id, round({l2sq('q.v', 'p.embedding')}, 9) AS score
+      FROM {q0} q, {psg} p) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, passage_id) <= {k}),
+{prefix}1r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, passage_id) AS rank FROM {prefix}1),
+{prefix}_sums AS (SELECT query_id, i, sum(x) AS s, count(*) AS n FROM (
+      SELECT h.query_id, unnest(range(1, len(p.embedding) + 1)) AS i, unnest(p.embedding)::DOUBLE AS x
+      FROM {prefix}1r h JOIN {psg} p USING (passage_id)) GROUP BY query_id, i),
+{prefix}_q1 AS (SELECT q.query_id, list((CAST(q.v[s.i] AS DOUBLE) + s.s) / (s.n + 1) ORDER BY s.i) AS v
+      FROM {q0} q JOIN {prefix}_sums s USING (query_id) GROUP BY q.query_id),
+{prefix}2 AS (SELECT * FROM (SELECT q.query_id, p.passage_id, round({l2sq('q.v', 'p.embedding')}, 9) AS score
+      FROM {prefix}_q1 q, {psg} p) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, passage_id) <= {k}),
+{prefix}2r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, passage_id) AS rank FROM {prefix}2),
+{prefix}_all AS (SELECT query_id, passage_id, 1 AS hop, rank, score FROM {prefix}1r
+      UNION ALL SELECT query_id, passage_id, 2 AS hop, rank, score FROM {prefix}2r)"""
+
+
+def maxsim(q: str, p: str, n_tok: int = 4) -> str:
+    d = f"(len({q}) // {n_tok})"
+    return (f"list_sum(list_transform(range({n_tok}), lambda i: list_max(list_transform(range({n_tok}), lambda j: "
+            f"list_sum(list_transform(range(1, {d} + 1), lambda t: CAST({q}[i * {d} + t] AS DOUBLE) * CAST({p}[j * {d} + t] AS DOUBLE)))))))")
