@@ -155,7 +155,7 @@ def word_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text", t: float = 0.8,
-                       block_rows: int = 2048) -> DataFrame:
+                       block_rows: int = 512, token_buckets: int = 64) -> DataFrame:
     """Near-duplicate graph ``(id_a, id_b, jaccard)``, exact for Jaccard >= t.
 
     Each distinct word set is represented by its least id. Copies (same word
@@ -167,10 +167,11 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     2. distinct sets emit their prefix tokens (global order: rare first); two
        sets can reach t only if their prefixes share a token (prefix filter),
        and only if their sizes are within t of each other (length filter);
-    3. each prefix-token group is cut into blocks of ``block_rows``; every
-       block pair is one bounded task that verifies its pairs in pandas and
-       emits only pairs that reach t, so a hot token never yields a task or
-       a row per candidate pair.
+    3. each prefix-token group is cut into blocks of ``block_rows``; one task
+       takes a hash bucket of tokens for one (left block, right block) pair,
+       forms the candidates sharing a token in pandas, verifies them and
+       emits only pairs that reach t: a hot token never yields one huge task
+       nor a row per candidate pair.
     """
     ws = word_sets(df, id_col, text_col).where(F.size("ws") > 0)
     sets = ws.withColumn("sk", F.md5(F.array_join("ws", "\u0001")))
@@ -185,7 +186,8 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
         .select("sk", "n", F.col("ft.tok").alias("tok"))
     gsize = pref.groupBy("tok").agg(F.count(F.lit(1)).alias("g"))
     pref = pref.join(gsize, "tok").withColumn("nb", F.ceil(F.col("g") / block_rows).cast("int")) \
-        .withColumn("blk", F.pmod(F.xxhash64("sk"), F.col("nb")).cast("int"))
+        .withColumn("blk", F.pmod(F.xxhash64("sk"), F.col("nb")).cast("int")) \
+        .withColumn("tb", F.pmod(F.xxhash64("tok"), F.lit(token_buckets)).cast("int"))
     pref = pref.join(uniq, "sk")
     left = pref.withColumn("bj", F.explode(F.sequence(F.col("blk"), F.col("nb") - 1))).withColumnRenamed("blk", "bi")
     right = pref.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blk")))).withColumnRenamed("blk", "bj")
@@ -194,26 +196,33 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     thr = float(t)
 
     def verify(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        """One task: a bucket of tokens x one (left block, right block) pair
+        per token. Candidates are the left/right members sharing a token;
+        only pairs that reach the threshold are returned."""
         out_a, out_b, out_j = [], [], []
         if len(l) and len(r):
-            same = int(l["bi"].iloc[0]) == int(l["bj"].iloc[0])
-            rs = [(sk, n, set(w)) for sk, n, w in zip(r["sk"], r["n"], r["ws"])]
-            for sk_a, n_a, w_a in zip(l["sk"], l["n"], l["ws"]):
-                sa = set(w_a)
-                for sk_b, n_b, sb in rs:
-                    if sk_a >= sk_b if same else sk_a == sk_b:
-                        continue
+            cand = l[["tok", "bi", "bj", "sk"]].merge(r[["tok", "bi", "bj", "r_sk"]], on=["tok", "bi", "bj"])
+            cand = cand[cand["sk"] < cand["r_sk"]][["sk", "r_sk"]].drop_duplicates()
+            if len(cand):
+                sets_l = {k: (n, set(w)) for k, n, w in zip(l["sk"], l["n"], l["ws"])}
+                sets_r = {k: (n, set(w)) for k, n, w in zip(r["r_sk"], r["r_n"], r["r_ws"])}
+                for a, b in zip(cand["sk"], cand["r_sk"]):
+                    n_a, w_a = sets_l[a]
+                    n_b, w_b = sets_r[b]
                     if min(n_a, n_b) < thr * max(n_a, n_b):
                         continue
-                    inter = len(sa & sb)
+                    inter = len(w_a & w_b)
                     j = inter / (n_a + n_b - inter)
                     if j >= thr:
-                        a, b = (sk_a, sk_b) if sk_a < sk_b else (sk_b, sk_a)
                         out_a.append(a); out_b.append(b); out_j.append(j)
-        return pd.DataFrame({"sa": out_a, "sb": out_b, "jaccard": out_j}, columns=["sa", "sb", "jaccard"])
-
-    cols = ["tok", "bi", "bj", "sk", "n", "ws"]
-    pairs = left.select(*cols).groupBy("tok", "bi", "bj").cogroup(right.select(*cols).groupBy("tok", "bi", "bj")) \
+        return pd.DataFrame({"sa": pd.Series(out_a, dtype="str"), "sb": pd.Series(out_b, dtype="str"),
+                             "jaccard": pd.Series(out_j, dtype="float64")})
+
+    cols = ["tb", "tok", "bi", "bj", "sk", "n", "ws"]
+    keys = ("tb", "tok", "bi", "bj")
+    # the two sides come from one frame: rename one side so the cogroup is not an ambiguous self-join
+    right = right.select(*[F.col(c).alias(c if c in keys else "r_" + c) for c in cols])
+    pairs = left.select(*cols).groupBy("tb", "bi", "bj").cogroup(right.groupBy("tb", "bi", "bj")) \
         .applyInPandas(verify, schema).dropDuplicates(["sa", "sb"])
     reps = sets.groupBy("sk").agg(F.min(id_col).alias("rep"))
     cross = (pairs.join(reps.withColumnRenamed("sk", "sa").withColumnRenamed("rep", "id_x"), "sa")

@@ -117,8 +117,8 @@ def q_split_hash(spark, sf):
 
 
 @register("split_counts", f"""WITH {SAMPLES_SQL}, k AS (SELECT sample_id, row_number() OVER (ORDER BY {KEY}) AS r FROM smp),
-s AS (SELECT CASE WHEN r <= ceil(0.01 * (SELECT count(*) FROM smp)) THEN 'test' ELSE 'train' END AS split FROM k)
-SELECT split, count(*) AS n FROM s GROUP BY split""")
+ss AS (SELECT CASE WHEN r <= ceil(0.01 * (SELECT count(*) FROM smp)) THEN 'test' ELSE 'train' END AS split FROM k)
+SELECT split, count(*) AS n FROM ss GROUP BY split""")
 def q_split_counts(spark, sf):
     return S.split_counts(S.train_test_split(FX.instruction_samples(spark, sf), "sample_id", 0.01, SEED, "exact"))
 
@@ -145,9 +145,9 @@ def _tokens_sql(col: str) -> str:
 @register("pack_sequences", f"""WITH {SAMPLES_SQL},
 t AS (SELECT sample_id, {KEY} AS ord, {_tokens_sql(f"{_alpaca_sql()} || ' ' || output")} AS n FROM smp),
 c AS (SELECT *, sum(n) OVER (ORDER BY ord, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM t WHERE n > 0),
-s AS (SELECT sample_id, e - n AS st, e, unnest(range(CAST(floor((e - n) / 2048) AS BIGINT), CAST(floor((e - 1) / 2048) AS BIGINT) + 1)) AS block FROM c)
+sp AS (SELECT sample_id, e - n AS st, e, unnest(range(CAST(floor((e - n) / 2048) AS BIGINT), CAST(floor((e - 1) / 2048) AS BIGINT) + 1)) AS block FROM c)
 SELECT CAST(block AS BIGINT) AS block, sample_id, greatest(st, block * 2048) - st AS "from", least(e, (block + 1) * 2048) - st AS "to"
-FROM s WHERE block < (SELECT sum(n) FROM t) // 2048""")
+FROM sp WHERE block < (SELECT sum(n) FROM t) // 2048""")
 def q_pack(spark, sf):
     smp = FX.instruction_samples(spark, sf)
     m = S.format_instruct(S.shuffle_seeded(smp, "sample_id", SEED), keep=("sample_id", "ord"))

@@ -72,17 +72,18 @@ def q_elimination(spark, sf):
     return TS.evolution_elimination(pairs, "reply").select("conv_id", "turn", F.pmod(F.length("reply"), F.lit(2)).alias("x"))
 
 
-@register("question_near_dups", """WITH w AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS id,
-    list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))) AS ws FROM conversations),
+@register("question_near_dups", """WITH w AS (SELECT doc_id AS id,
+    list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))) AS ws FROM documents),
 s AS (SELECT id, ws, array_to_string(ws, chr(1)) AS sk FROM w WHERE len(ws) > 0),
 reps AS (SELECT sk, min(id) AS rep, first(ws) AS ws FROM s GROUP BY sk),
-pr AS (SELECT a.rep AS x, b.rep AS y, len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) AS na, len(b.ws) AS nb FROM reps a JOIN reps b ON a.sk < b.sk),
+pr AS (SELECT a.rep AS x, b.rep AS y, len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) AS na, len(b.ws) AS nb FROM reps a JOIN reps b
+       ON a.sk < b.sk AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws))),
 near AS (SELECT least(x, y) AS id_a, greatest(x, y) AS id_b, round(i / (na + nb - i), 6) AS jaccard FROM pr WHERE i / (na + nb - i) >= 0.8),
 copies AS (SELECT r.rep AS id_a, s.id AS id_b, 1.0 AS jaccard FROM s JOIN reps r USING (sk) WHERE s.id <> r.rep)
 SELECT * FROM near UNION ALL SELECT * FROM copies""")
 def q_near_dups(spark, sf):
-    c = read_table(spark, sf, "conversations")
-    return TS.question_near_dups(c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text"), "id", "text", 0.8)
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return TS.question_near_dups(d.withColumnRenamed("doc_id", "id"), "id", "text", 0.8)
 
 
 @register("select_contexts", """WITH u AS (SELECT * FROM conversations WHERE role = 'user'),

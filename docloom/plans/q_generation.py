@@ -76,8 +76,8 @@ def _requests(spark, sf, backend="tgi"):
 @register("build_requests", """SELECT event_id AS request_id, concat_ws(' ', event_type, props) AS inputs,
   (1 + user_id % 3) > 1 AS do_sample, (1 + user_id % 3) > 1 AS details, CAST(1 + user_id % 3 AS INTEGER) AS best_of,
   CAST(1 + user_id % 3 AS INTEGER) AS num_return_sequences, greatest(0.1, value / 100) AS temperature,
-  CAST(50 + event_id % 50 AS INTEGER) AS max_new_tokens, 0.97 AS top_p, 1.0 - (user_id % 4) * 0.25 AS repetition_penalty,
-  false AS has_model, '["\\n","\\n\\n"]' AS stop
+  CAST(50 + event_id % 50 AS INTEGER) AS max_new_tokens, CAST(0.97 AS DOUBLE) AS top_p,
+  CAST(1.0 - (user_id % 4) * 0.25 AS DOUBLE) AS repetition_penalty, false AS has_model, '["\\n","\\n\\n"]' AS stop
 FROM events""")
 def q_build_requests(spark, sf):
     _, req = _requests(spark, sf)
@@ -93,7 +93,7 @@ def q_build_requests(spark, sf):
 
 @register("build_requests_local", """SELECT event_id AS request_id,
   ((1 + user_id % 3) > 1 OR value / 100 > 0.1) AS do_sample, CAST(1 + user_id % 3 AS INTEGER) AS num_return_sequences,
-  value / 100 AS temperature, CAST(50 + event_id % 50 AS INTEGER) AS max_new_tokens, 1.0 - (user_id % 4) * 0.25 AS repetition_penalty
+  value / 100 AS temperature, CAST(50 + event_id % 50 AS INTEGER) AS max_new_tokens, CAST(1.0 - (user_id % 4) * 0.25 AS DOUBLE) AS repetition_penalty
 FROM events""")
 def q_build_requests_local(spark, sf):
     _, req = _requests(spark, sf, backend="local")

@@ -75,7 +75,8 @@ def q_rerank(spark, sf):
 
 
 @register("attach_source", RERANK_SQL + """,
-pos AS (SELECT query_id, source, row_number() OVER (PARTITION BY query_id ORDER BY hop, rank) AS ctx_pos FROM dd)
+pos AS (SELECT dd.query_id, p.source, row_number() OVER (PARTITION BY dd.query_id ORDER BY dd.hop, dd.rank) AS ctx_pos
+        FROM dd JOIN vp p USING (passage_id))
 SELECT rk.query_id, CAST(rk.rerank_pos AS INTEGER) AS rerank_pos, rk.passage_id, rk.source AS source_by_id, pos.source AS source_positional
 FROM rk JOIN pos ON pos.query_id = rk.query_id AND pos.ctx_pos = rk.rerank_pos WHERE rk.rerank_pos <= 10""")
 def q_attach_source(spark, sf):
