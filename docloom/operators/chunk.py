@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,60 @@ def _starts(costs: Column, budget: int) -> Column:
     return F.aggregate(costs, init, step, lambda acc: acc["s"])
 
 
-def stage_chunks(df: DataFrame, text_col: str = "text", budget: int = 510, cost: CostFn = length_cost,
-                 reason_col: str = "fail_reason") -> DataFrame:
+def length_cost_np(words: list[str]) -> np.ndarray:
+    """The same stand-in cost for the Arrow engine: ceil(chars / 4), at least 1."""
+    lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    return np.maximum(1, (lens + 3) // 4)
+
+
+def pack_words(text: str | None, budget: int, cost=length_cost_np) -> tuple[list[str] | None, str | None]:
+    """Greedy packing of one text. With cumulative costs ``cum``, a chunk
+    starting at word s ends before the first e with cum[e] - cum[s] > budget,
+    so each chunk is one binary search: O(chunks * log words) after the split."""
+    if text is None:
+        return None, REASON_NULL
+    words = [w for w in text.split(" ") if w]
+    if not words:
+        return [], None
+    costs = np.asarray(cost(words), dtype=np.int64)
+    if int(costs.max()) > budget:
+        return None, REASON_LONG_WORD
+    cum = np.concatenate(([0], np.cumsum(costs)))
+    out, start, n = [], 0, len(words)
+    while start < n:
+        end = int(np.searchsorted(cum, cum[start] + budget, side="right")) - 1
+        out.append(" ".join(words[start:end]))
+        start = end
+    return out, None
+
+
+def _arrow_packer(budget: int, cost):
+    @F.pandas_udf("struct<chunks: array<string>, reason: string>")
+    def pack(texts: pd.Series) -> pd.DataFrame:
+        res = [pack_words(t, budget, cost) for t in texts]
+        return pd.DataFrame({"chunks": [r[0] if r[0] is not None else [] for r in res],
+                             "reason": [r[1] for r in res]})
+    return pack
+
+
+def stage_chunks(df: DataFrame, text_col: str = "text", budget: int = 510, cost=None,
+                 reason_col: str = "fail_reason", engine: str = "arrow") -> DataFrame:
+    """Document-level staging: ``_chunks`` (ARRAY of chunk texts) and the
+    failure reason; the text column itself is dropped. Row-local: no shuffle.
+
+    ``engine="arrow"`` (default): the packing kernel above in an Arrow-batched
+    pandas UDF; ``cost`` is a Python function (list of words -> costs), the
+    natural plug point for a real tokenizer. ``engine="sql"``: the same rule
+    as a JVM ``aggregate`` fold; ``cost`` is a Column function."""
+    if engine == "arrow":
+        keep = [c for c in df.columns if c != text_col]
+        r = df.select(*keep, _arrow_packer(budget, cost or length_cost_np)(F.col(text_col)).alias("_r"))
+        return r.select(*keep, F.col("_r.reason").alias(reason_col), F.col("_r.chunks").alias("_chunks"))
+    return _stage_chunks_sql(df, text_col, budget, cost or length_cost, reason_col)
+
+
+def _stage_chunks_sql(df: DataFrame, text_col: str = "text", budget: int = 510, cost: CostFn = length_cost,
+                      reason_col: str = "fail_reason") -> DataFrame:
     """Document-level staging: ``_chunks`` (ARRAY of chunk texts) and the
     failure reason; the text column itself is dropped. Row-local: no shuffle.
 
@@ -66,7 +120,7 @@ def stage_chunks(df: DataFrame, text_col: str = "text", budget: int = 510, cost:
     lens = F.zip_with(ends, "_st", lambda e, b: e - b)
     z = F.arrays_zip(F.col("_st").alias("s"), lens.alias("l"), F.array_repeat("_w", F.size("_st")).alias("ws"))
     chunks = F.transform(z, lambda r: F.array_join(F.slice(r["ws"], r["s"] + 1, r["l"]), " "))
-    return s3.select(*keep, reason_col, F.when(F.col(reason_col).isNull(), chunks)
+    return s3.select(*keep, reason_col, F.when(F.col(reason_col).isNull() & (F.size("_w") > 0), chunks)
                      .otherwise(F.array().cast("array<string>")).alias("_chunks"))
 
 
@@ -83,18 +137,18 @@ def explode_chunks(staged: DataFrame, text_col: str = "text", reason_col: str =
     return out.withColumn("pos", F.when(F.col(reason_col).isNull(), F.col("pos").cast("int")))
 
 
-def chunk_documents(df: DataFrame, text_col: str = "text", budget: int = 510, cost: CostFn = length_cost,
-                    reason_col: str = "fail_reason") -> DataFrame:
+def chunk_documents(df: DataFrame, text_col: str = "text", budget: int = 510, cost=None,
+                    reason_col: str = "fail_reason", engine: str = "arrow") -> DataFrame:
     """One row per chunk ``(…, pos, text)``; a failing document yields one row
     with NULL pos/text and its reason instead (whole document fails, the
     others go on). Document columns (metadata) are carried to every chunk."""
-    return explode_chunks(stage_chunks(df, text_col, budget, cost, reason_col), text_col, reason_col)
+    return explode_chunks(stage_chunks(df, text_col, budget, cost, reason_col, engine), text_col, reason_col)
 
 
-def chunk_by_token_budget(df: DataFrame, text_col: str = "text", budget: int = 510,
-                          cost: CostFn = length_cost) -> DataFrame:
+def chunk_by_token_budget(df: DataFrame, text_col: str = "text", budget: int = 510, cost=None,
+                          engine: str = "arrow") -> DataFrame:
     """Chunks of the documents that did not fail, with ``chunk_id``."""
-    out = chunk_documents(df, text_col, budget, cost)
+    out = chunk_documents(df, text_col, budget, cost, engine=engine)
     return with_chunk_id(out.filter(F.col("pos").isNotNull()).drop("fail_reason"), text_col)
 
 

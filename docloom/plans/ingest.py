@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import collection as coll
-from docloom.operators.chunk import explode_chunks, length_cost, split_failures, stage_chunks, with_chunk_id
+from docloom.operators.chunk import explode_chunks, split_failures, stage_chunks, with_chunk_id
 from docloom.operators.clean import prepare_corpus
 from docloom.operators.embed import embed_texts
 from docloom.session import materialize
@@ -26,7 +26,7 @@ class IngestResult:
     failed: DataFrame
 
 
-def chunk_corpus(corpus: DataFrame, budget: int = 510, cost=length_cost, label_mode: str = "suffix") -> DataFrame:
+def chunk_corpus(corpus: DataFrame, budget: int = 510, cost=None, label_mode: str = "suffix") -> DataFrame:
     """(file, text) -> document-level staging frame (doc_id, file, source, stem, fail_reason, _chunks)."""
     return stage_chunks(prepare_corpus(corpus, label_mode=label_mode), "text", budget, cost)
 

@@ -30,10 +30,12 @@ def q_stream_ingest(spark, sf):
 def q_stream_dedup(spark, sf):
     base = scratch(spark, "stream-dedup")
     ev = read_table(spark, sf, "events")
-    for i in range(2):                                               # the same events delivered twice
-        ev.write.parquet(os.path.join(base, "incoming", f"copy={i}"))
+    files = 4
+    for i in range(2):            # the same events delivered twice, each delivery in event-time order
+        ev.repartitionByRange(files, "ts").write.parquet(os.path.join(base, "incoming", f"copy={i}"))
     schema = ev.schema.add("copy", T.IntegerType())
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(base, "incoming"))
+    # one micro-batch per delivery: the replayed copy meets the state (or is behind the watermark)
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(os.path.join(base, "incoming"))
     q = (stream_dedup(src, "event_id", "ts", "1 hour").select("event_id", "event_type")
          .writeStream.format("parquet").option("path", os.path.join(base, "out"))
          .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())

@@ -63,6 +63,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+# Tables whose rows carry CPU-heavy per-row work (text, vectors).
+HEAVY_TABLES = {"documents", "conversations", "events", "embeddings", "pages"}
+
+
+def spread(df: DataFrame, factor: int = 2) -> DataFrame:
+    """Round-robin repartition when the input has fewer partitions than the
+    cluster can run at once (e.g. one large row group); a no-op on big inputs,
+    whose scan already yields many splits, so no shuffle is added there."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread_rows: bool | None = None) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if spread_rows if spread_rows is not None else name in HEAVY_TABLES:
+        df = spread(df)
+    return df
