@@ -176,3 +176,17 @@ def q_assemble_testset(spark, sf):
                                                                                    F.col("text").alias("ground_truth"))
     t = TS.assemble_testset(qs, ctx, ans)
     return t.select("item_id", "question", F.element_at("contexts", 1).alias("context"), "ground_truth", "evolution_type", "source")
+
+
+@register("publish_testset", f"""WITH {QUOTA_SQL}
+SELECT q.item_id, q.text AS question, q.evolution_type FROM qq q""")
+def q_publish_testset(spark, sf):
+    import os
+
+    from docloom.operators.collection import publish_testset
+    from docloom.plans.q_retrieval import scratch
+    b = read_table(spark, sf, "benchmark")
+    t = TS.evolution_quota(b, "item_id", 10).select("item_id", F.col("text").alias("question"), "evolution_type")
+    path = os.path.join(scratch(spark, "testset"), "published")
+    publish_testset(t, path)
+    return spark.read.parquet(path)

@@ -22,7 +22,8 @@ PROMPT_SPEC_SCHEMA = T.StructType([
 
 def scan_text_corpus(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """One row per text file: ``(file, text)`` with the whole file as one value."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).text(path))
+    # keyword form: ``text()`` would otherwise pass its own wholetext=False over an option
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     return df.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
