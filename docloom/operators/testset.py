@@ -167,9 +167,10 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     2. distinct sets emit their prefix tokens (global order: rare first); two
        sets can reach t only if their prefixes share a token (prefix filter),
        and only if their sizes are within t of each other (length filter);
-    3. each prefix-token group is cut into blocks of ``block_rows``; one task
-       takes a hash bucket of tokens for one (left block, right block) pair,
-       forms the candidates sharing a token in pandas, verifies them and
+    3. prefix-token groups that fit one block (``block_rows``) are verified
+       per hash bucket of tokens in one grouped pass; larger groups are cut
+       into blocks and every (left block, right block) pair is one task. A
+       task forms the candidates sharing a token in pandas, verifies them and
        emits only pairs that reach t: a hot token never yields one huge task
        nor a row per candidate pair.
     """
@@ -189,41 +190,64 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
         .withColumn("blk", F.pmod(F.xxhash64("sk"), F.col("nb")).cast("int")) \
         .withColumn("tb", F.pmod(F.xxhash64("tok"), F.lit(token_buckets)).cast("int"))
     pref = pref.join(uniq, "sk")
-    left = pref.withColumn("bj", F.explode(F.sequence(F.col("blk"), F.col("nb") - 1))).withColumnRenamed("blk", "bi")
-    right = pref.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blk")))).withColumnRenamed("blk", "bj")
     schema = T.StructType([T.StructField("sa", T.StringType()), T.StructField("sb", T.StringType()),
                            T.StructField("jaccard", T.DoubleType())])
     thr = float(t)
 
-    def verify(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        """One task: a bucket of tokens x one (left block, right block) pair
-        per token. Candidates are the left/right members sharing a token;
-        only pairs that reach the threshold are returned."""
+    def _check(cand: pd.DataFrame, sets_l: dict, sets_r: dict) -> pd.DataFrame:
         out_a, out_b, out_j = [], [], []
-        if len(l) and len(r):
-            cand = l[["tok", "bi", "bj", "sk"]].merge(r[["tok", "bi", "bj", "r_sk"]], on=["tok", "bi", "bj"])
-            cand = cand[cand["sk"] < cand["r_sk"]][["sk", "r_sk"]].drop_duplicates()
-            if len(cand):
-                sets_l = {k: (n, set(w)) for k, n, w in zip(l["sk"], l["n"], l["ws"])}
-                sets_r = {k: (n, set(w)) for k, n, w in zip(r["r_sk"], r["r_n"], r["r_ws"])}
-                for a, b in zip(cand["sk"], cand["r_sk"]):
-                    n_a, w_a = sets_l[a]
-                    n_b, w_b = sets_r[b]
-                    if min(n_a, n_b) < thr * max(n_a, n_b):
-                        continue
-                    inter = len(w_a & w_b)
-                    j = inter / (n_a + n_b - inter)
-                    if j >= thr:
-                        out_a.append(a); out_b.append(b); out_j.append(j)
+        for a, b in zip(cand["a"], cand["b"]):
+            n_a, w_a = sets_l[a]
+            n_b, w_b = sets_r[b]
+            if min(n_a, n_b) < thr * max(n_a, n_b):
+                continue
+            inter = len(w_a & w_b)
+            j = inter / (n_a + n_b - inter)
+            if j >= thr:
+                out_a.append(a); out_b.append(b); out_j.append(j)
         return pd.DataFrame({"sa": pd.Series(out_a, dtype="str"), "sb": pd.Series(out_b, dtype="str"),
                              "jaccard": pd.Series(out_j, dtype="float64")})
 
+    def _sets(keys, ns, wss, wanted) -> dict:
+        out = {}
+        for k, n, w in zip(keys, ns, wss):
+            if k in wanted and k not in out:
+                out[k] = (n, set(w))
+        return out
+
+    def verify_self(g: pd.DataFrame) -> pd.DataFrame:
+        """Tokens whose group fits one block: candidates are the members of a
+        token paired among themselves, all inside this task."""
+        cand = g[["tok", "sk"]].merge(g[["tok", "sk"]], on="tok", suffixes=("_a", "_b"))
+        cand = cand[cand["sk_a"] < cand["sk_b"]][["sk_a", "sk_b"]].drop_duplicates()
+        cand.columns = ["a", "b"]
+        if not len(cand):
+            return _check(cand, {}, {})
+        st = _sets(g["sk"], g["n"], g["ws"], set(cand["a"]) | set(cand["b"]))
+        return _check(cand, st, st)
+
+    def verify_pair(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        """A large token group: one (left block, right block) pair per task."""
+        if not len(l) or not len(r):
+            return _check(pd.DataFrame({"a": [], "b": []}), {}, {})
+        cand = l[["tok", "sk"]].merge(r[["tok", "r_sk"]], on="tok")
+        cand = cand[cand["sk"] < cand["r_sk"]][["sk", "r_sk"]].drop_duplicates()
+        cand.columns = ["a", "b"]
+        return _check(cand, _sets(l["sk"], l["n"], l["ws"], set(cand["a"])),
+                      _sets(r["r_sk"], r["r_n"], r["r_ws"], set(cand["b"])))
+
+    small = pref.where(F.col("nb") == 1).select("tb", "tok", "sk", "n", "ws")
+    pairs_small = small.groupBy("tb").applyInPandas(verify_self, schema)
+    big = pref.where(F.col("nb") > 1)
+    left = big.withColumn("bj", F.explode(F.sequence(F.col("blk"), F.col("nb") - 1))).withColumnRenamed("blk", "bi")
+    right = big.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blk")))).withColumnRenamed("blk", "bj")
     cols = ["tb", "tok", "bi", "bj", "sk", "n", "ws"]
     keys = ("tb", "tok", "bi", "bj")
     # the two sides come from one frame: rename one side so the cogroup is not an ambiguous self-join
     right = right.select(*[F.col(c).alias(c if c in keys else "r_" + c) for c in cols])
-    pairs = left.select(*cols).groupBy("tb", "bi", "bj").cogroup(right.groupBy("tb", "bi", "bj")) \
-        .applyInPandas(verify, schema).dropDuplicates(["sa", "sb"])
+    pairs_big = left.select(*cols).groupBy("tb", "bi", "bj").cogroup(right.groupBy("tb", "bi", "bj")) \
+        .applyInPandas(verify_pair, schema)
+    pairs = pairs_small.unionByName(pairs_big).dropDuplicates(["sa", "sb"])
     reps = sets.groupBy("sk").agg(F.min(id_col).alias("rep"))
     cross = (pairs.join(reps.withColumnRenamed("sk", "sa").withColumnRenamed("rep", "id_x"), "sa")
              .join(reps.withColumnRenamed("sk", "sb").withColumnRenamed("rep", "id_y"), "sb"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,18 +54,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss).
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing a parquet table into the shared checkpoint
+    folder and reading it back (survives executor loss).
 
     Used between dependent stages (retrieval hops) so a lost executor does
-    not recompute earlier hops and the plan stays small.
+    not recompute earlier hops and the plan stays small. A single write job:
+    an eager ``checkpoint()`` of an uncached plan computes it twice (once to
+    count, once to write the checkpoint files).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "docloom-stages", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
-# Tables whose rows carry CPU-heavy per-row work (text, vectors).
-HEAVY_TABLES = {"documents", "conversations", "events", "embeddings", "pages"}
+# Tables whose rows carry CPU-heavy per-row work (text). Vector scans are numpy-vectorised per partition
+# and each partition emits k rows per query, so they are not spread.
+HEAVY_TABLES = {"documents", "conversations", "events", "pages"}
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
