@@ -35,7 +35,9 @@ def rag_retrieve(questions: DataFrame, passages: DataFrame, k: int = 20, hops: i
     rewriter, one-hot hashed-token MaxSim for the late-interaction model;
     the reranker sees the question (the stand-in rewriter makes vectors, not text)."""
     hits = retrieve_hits(questions, passages, k, hops, dim, **knn_kw)
-    dd = dedup_first(hits.drop("embedding"))
+    # one exchange on query_id serves both the dedup (query, passage) and the rerank window (query);
+    # every query holds at most k * hops hits, so no partition can be skewed by a key
+    dd = dedup_first(hits.drop("embedding").repartition("query_id"))
     qt = questions.select("query_id", term_buckets("question", dim).alias("q_b"))
     scored = dd.join(qt, "query_id").withColumn("p_b", term_buckets("text", dim))
     rr = rerank(scored, overlap_maxsim(F.col("q_b"), F.col("p_b")), rerank_k)
