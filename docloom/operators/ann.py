@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.knn import SCORE_DECIMALS, _block_topk, _matrix, _merge_topk
+from docloom.operators.knn import _block_topk, _matrix, _merge_topk
 
 MAX_CENTROID_BYTES = 64 << 20
 

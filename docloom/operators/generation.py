@@ -13,7 +13,6 @@ import json
 import time
 from typing import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from docloom.functions.ids import seeded_key
 from docloom.operators.embed import terms
 from docloom.operators.generation import parse_fenced_json
 from docloom.operators.knn import knn_topk
+from docloom.session import materialize
 
 
 def keyphrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, min_k: int = 3) -> DataFrame:
@@ -28,7 +28,8 @@ def keyphrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     skew-join handling; the top-k window gets a partial limit before its shuffle."""
     n_docs = df.select(id_col).count()
     t = df.select(id_col, F.explode_outer(terms(text_col)).alias("term")).where(F.col("term").isNotNull())
-    tf = t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # written once: otherwise Catalyst rebuilds the df branch from the raw text (second scan and explode)
+    tf = materialize(t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = tf.join(dfreq, "term").withColumn(
         "score", F.round(F.col("tf") * F.log(F.lit(float(max(n_docs, 1))) / F.col("df")), 9))

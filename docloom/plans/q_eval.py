@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from docloom.operators import testset as TS
+from docloom.operators.collection import publish_testset
 from docloom.operators.chunk import chunk_documents
 from docloom.operators.clean import clean_text
-from docloom.plans.q_generation import VERDICT_SQL, _q, _verdict_replies
+from docloom.plans.q_generation import VERDICT_SQL, _verdict_replies
 from docloom.plans.registry import register
 from docloom.plans.sqlparts import chunk_ctes, clean, l2sq
-from docloom.session import read_table
+from docloom.session import read_table, scratch
 from docloom.sources import fixtures as FX
 
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
@@ -181,10 +184,6 @@ def q_assemble_testset(spark, sf):
 @register("publish_testset", f"""WITH {QUOTA_SQL}
 SELECT q.item_id, q.text AS question, q.evolution_type FROM qq q""")
 def q_publish_testset(spark, sf):
-    import os
-
-    from docloom.operators.collection import publish_testset
-    from docloom.plans.q_retrieval import scratch
     b = read_table(spark, sf, "benchmark")
     t = TS.evolution_quota(b, "item_id", 10).select("item_id", F.col("text").alias("question"), "evolution_type")
     path = os.path.join(scratch(spark, "testset"), "published")

@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.vectors import cut_tokens
 from docloom.operators import collection as coll
 from docloom.operators import metrics as MET
 from docloom.operators.ann import ann_topk
 from docloom.operators.knn import knn_topk
-from docloom.operators.retrieve import (assemble_context, attach_source, context_positions, dedup_first,
-                                        multi_hop_retrieve, rerank_maxsim)
+from docloom.operators.retrieve import (assemble_context, attach_source, dedup_first, multi_hop_retrieve,
+                                        rerank_maxsim)
 from docloom.plans.ingest import chunk_corpus, passages_from_staged
 from docloom.plans.rag import retrieve_hits
 from docloom.plans.registry import _passages, register
 from docloom.plans.sqlparts import FILE, chunk_ctes, clean, hops_ctes, l2sq, maxsim, passages_ctes, suffix_label
-from docloom.session import ensure_checkpoint_dir, materialize, read_table
+from docloom.session import materialize, read_table, scratch
 from docloom.sources import fixtures as FX
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never a
-    machine-local temp folder)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "docloom-scratch", f"{name}-{uuid.uuid4().hex}")
-
-
 VEC = "vq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings), vp AS (SELECT vec_id AS passage_id, embedding, 'label-' || label AS source FROM embeddings)"
 
 
@@ -87,11 +76,6 @@ def q_attach_source(spark, sf):
         "query_id", F.col("rerank_pos").cast("int").alias("rerank_pos"), "passage_id", "source_by_id", "source_positional")
 
 
-RAG_HITS_SQL = f"""WITH {passages_ctes()},
-qb AS (SELECT item_id AS query_id, 'query: ' || text AS qtext FROM benchmark),
-""" 
-
-
 def _assemble_sql() -> str:
     from docloom.plans.sqlparts import embed_ctes
     return f"""WITH {passages_ctes()},

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.operators import collection as coll
 from docloom.plans.oracles import _rag_sql
-from docloom.plans.q_retrieval import scratch
 from docloom.plans.registry import _passages, register
 from docloom.plans.sqlparts import passages_ctes
-from docloom.session import read_table
+from docloom.session import read_table, scratch
 from docloom.sources import fixtures as FX
 from docloom.streaming.streams import stream_dedup, stream_ingest, stream_rag_query
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as TX
-from docloom.functions.ids import md5_id
 from docloom.operators import clean as CL
 from docloom.operators.chunk import chunk_documents, with_chunk_id
 from docloom.operators.embed import cls_pool, query_prefix, with_hash_embedding
