@@ -36,3 +36,18 @@ def test_no_registered_query_plans_a_cartesian_product(spark):
             continue
         p = _plan(fn(spark, SF))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_row_local_text_operators_do_not_shuffle(spark):
+    from docloom.operators.chunk import explode_chunks, stage_chunks
+    from docloom.operators.clean import clean_text
+    from docloom.operators.embed import with_hash_embedding
+    d = clean_text(read_table(spark, SF, "documents", ["doc_id", "text"], spread_rows=False))
+    for df in (explode_chunks(stage_chunks(d)), explode_chunks(stage_chunks(d, engine="sql")), with_hash_embedding(d)):
+        p = _plan(df)
+        assert "Exchange" not in p, p[:2000]
+
+
+def test_flagship_has_one_exchange_after_the_hops(spark):
+    p = _plan(E.queries()["rag_retrieve"](spark, SF))
+    assert p.count("Exchange hashpartitioning") == 1
