@@ -156,7 +156,8 @@ def word_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text", t: float = 0.8,
-                       block_rows: int = 512, token_buckets: int = 64) -> DataFrame:
+                       block_rows: int = 512, token_buckets: int = 64, rows_per_task: int = 200_000,
+                       hash_payload: bool = True) -> DataFrame:
     """Near-duplicate graph ``(id_a, id_b, jaccard)``, exact for Jaccard >= t.
 
     Each distinct word set is represented by its least id. Copies (same word
@@ -173,11 +174,21 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
        into blocks and every (left block, right block) pair is one task. A
        task forms the candidates sharing a token in pandas, verifies them and
        emits only pairs that reach t: a hot token never yields one huge task
-       nor a row per candidate pair.
+       nor a row per candidate pair. The number of token buckets grows with
+       the prefix rows (``rows_per_task``), so tasks stay bounded;
+    4. the set shipped with each prefix row is the sorted 64-bit hashes of its
+       words (compact, fast to intersect), not the words. Hashing can only
+       hide a true pair if two words of one set share a hash; that is checked
+       globally first (strings are shipped instead if it ever happens), and
+       every emitted pair is re-verified exactly on the words.
     """
     ws = word_sets(df, id_col, text_col).where(F.size("ws") > 0)
     sets = ws.withColumn("sk", F.md5(F.array_join("ws", "\u0001")))
     uniq = sets.groupBy("sk").agg(F.first("ws").alias("ws"))
+    uniq = uniq.withColumn("hs", F.array_sort(F.array_distinct(F.transform("ws", lambda w: F.xxhash64(w)))))
+    uniq = materialize(uniq, "word-sets")
+    collide = (not hash_payload) or uniq.where(F.size("hs") < F.size("ws")).limit(1).count() > 0
+    payload = uniq.select("sk", F.col("ws" if collide else "hs").alias("ws"))
     tok = uniq.select("sk", F.explode("ws").alias("tok"))
     freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
     ranked = tok.join(freq, "tok").groupBy("sk").agg(
@@ -186,11 +197,13 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     plen = size - F.ceil(F.lit(t) * size - F.lit(1e-9)) + 1      # guard against float error making the prefix short
     pref = ranked.select("sk", size.alias("n"), F.posexplode(F.slice("order", 1, plen)).alias("pi", "ft")) \
         .select("sk", "n", F.col("ft.tok").alias("tok"))
+    pref = materialize(pref, "prefix")
+    buckets = max(token_buckets, math.ceil(pref.count() / rows_per_task))
     gsize = pref.groupBy("tok").agg(F.count(F.lit(1)).alias("g"))
     pref = pref.join(gsize, "tok").withColumn("nb", F.ceil(F.col("g") / block_rows).cast("int")) \
         .withColumn("blk", F.pmod(F.xxhash64("sk"), F.col("nb")).cast("int")) \
-        .withColumn("tb", F.pmod(F.xxhash64("tok"), F.lit(token_buckets)).cast("int"))
-    pref = pref.join(uniq, "sk")
+        .withColumn("tb", F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int"))
+    pref = pref.join(payload, "sk")
     schema = T.StructType([T.StructField("sa", T.StringType()), T.StructField("sb", T.StringType()),
                            T.StructField("jaccard", T.DoubleType())])
     thr = float(t)
@@ -248,7 +261,13 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     right = right.select(*[F.col(c).alias(c if c in keys else "r_" + c) for c in cols])
     pairs_big = left.select(*cols).groupBy("tb", "bi", "bj").cogroup(right.groupBy("tb", "bi", "bj")) \
         .applyInPandas(verify_pair, schema)
-    pairs = pairs_small.unionByName(pairs_big).dropDuplicates(["sa", "sb"])
+    cand = pairs_small.unionByName(pairs_big).select("sa", "sb").dropDuplicates(["sa", "sb"])
+    # exact re-check on the words (the emitted pairs are few: results plus any hash false positives)
+    wa = uniq.select(F.col("sk").alias("sa"), F.col("ws").alias("wa"))
+    wb = uniq.select(F.col("sk").alias("sb"), F.col("ws").alias("wb"))
+    chk = cand.join(wa, "sa").join(wb, "sb").withColumn("_i", F.size(F.array_intersect("wa", "wb")))
+    jac = F.col("_i") / (F.size("wa") + F.size("wb") - F.col("_i"))
+    pairs = chk.select("sa", "sb", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(thr))
     reps = sets.groupBy("sk").agg(F.min(id_col).alias("rep"))
     cross = (pairs.join(reps.withColumnRenamed("sk", "sa").withColumnRenamed("rep", "id_x"), "sa")
              .join(reps.withColumnRenamed("sk", "sb").withColumnRenamed("rep", "id_y"), "sb"))
