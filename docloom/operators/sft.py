@@ -74,8 +74,9 @@ def train_test_split(df: DataFrame, id_col: str, frac: float = 0.01, seed: int =
 
     ``exact``: test = the ceil(frac * n) rows with the smallest seeded key.
     The cut key is found with two bounded histograms over key prefixes
-    (65,536 cells each) and one small ordered limit inside the boundary cell,
-    so no task ever sorts the table. Keys are unique when ids are.
+    (65,536 cells each) and the distinct keys of the boundary cell, so no
+    task ever sorts the table. Rows with the same id share a key and land on
+    the same side.
     ``hash``: map-only, test when the 32-bit key bucket < frac * 2^32."""
     key = seeded_key(seed, id_col)
     if mode == "hash":
@@ -108,8 +109,14 @@ def _kth_key(k: DataFrame, m: int) -> str | None:
                 break
             acc += row["count"]
         scope = k.where(F.substring("_key", 1, len(prefix)) == prefix)
-    last = scope.select("_key").orderBy("_key").limit(need).agg(F.max("_key")).first()[0]
-    return last
+    # distinct keys of the boundary cell with their counts (about n / 2^32 keys; repeated ids collapse
+    # map-side), then the cut is the first key whose running count reaches ``need``
+    acc = 0
+    for row in scope.groupBy("_key").count().orderBy("_key").collect():
+        acc += row["count"]
+        if acc >= need:
+            return row["_key"]
+    return None
 
 
 def split_counts(df: DataFrame) -> DataFrame:
