@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.knn import _block_topk, _matrix, _merge_topk
+from docloom.operators.knn import _matrix, _merge_topk, _tiled_topk
 
 MAX_CENTROID_BYTES = 64 << 20
 
@@ -79,7 +79,7 @@ def ann_topk(queries: DataFrame, passages: DataFrame, k: int = 20, cells: int |
     def score(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ppdf) == 0:
             return pd.DataFrame({f.name: [] for f in fields})
-        top = _block_topk(qpdf["query_id"].to_numpy(), _matrix(qpdf["_qv"]), ppdf, "passage_id", vec, carry, k, "l2sq", False)
+        top = _tiled_topk(qpdf["query_id"].to_numpy(), _matrix(qpdf["_qv"]), ppdf, "passage_id", vec, carry, k, "l2sq", False)
         return _merge_topk([top], k)[[f.name for f in fields]]
 
     hits = (qc.select("cell", "sub", "query_id", "_qv").groupBy("cell", "sub")

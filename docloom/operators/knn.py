@@ -84,6 +84,23 @@ def _block_topk(qids, Q, pdf: pd.DataFrame, pid: str, pvec: str, carry: list[str
     return out
 
 
+TILE = 1 << 24   # distances per numpy tile (16M float64 = 128 MB): bounds task memory at any block size
+
+
+def _tiled_topk(qids, Q, pdf: pd.DataFrame, pid: str, pvec: str, carry: list[str], k: int, metric: str,
+                exclude_self: bool, tile: int = TILE) -> pd.DataFrame:
+    """``_block_topk`` over tiles of at most ``tile`` distances, merged per query."""
+    n_p, n_q = len(pdf), len(qids)
+    p_step = max(1, min(n_p, tile))
+    q_step = max(1, tile // max(1, min(n_p, p_step)))
+    if n_p <= p_step and n_q <= q_step:
+        return _block_topk(qids, Q, pdf, pid, pvec, carry, k, metric, exclude_self)
+    parts = [_block_topk(qids[qs:qs + q_step], Q[qs:qs + q_step], pdf.iloc[ps:ps + p_step], pid, pvec, carry, k,
+                         metric, exclude_self)
+             for ps in range(0, n_p, p_step) for qs in range(0, n_q, q_step)]
+    return _merge_topk(parts, k)
+
+
 def _merge_topk(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
     df = pd.concat(frames, ignore_index=True)
     return df.sort_values(["query_id", "score", "passage_id"], kind="stable").groupby("query_id", sort=False).head(k)
@@ -134,7 +151,7 @@ def knn_topk(queries: DataFrame, passages: DataFrame, k: int = 20, metric: str =
             for pdf in batches:
                 if len(pdf) == 0:
                     continue
-                top = _block_topk(qids, Q, pdf, p_id, p_vec, carry, k, metric, exclude_self)
+                top = _tiled_topk(qids, Q, pdf, p_id, p_vec, carry, k, metric, exclude_self)
                 best = top if best is None else _merge_topk([best, top], k)
             if best is not None and len(best):
                 yield best[schema.fieldNames()]
@@ -153,7 +170,7 @@ def knn_topk(queries: DataFrame, passages: DataFrame, k: int = 20, metric: str =
         def pair(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
             if len(qpdf) == 0 or len(ppdf) == 0:
                 return pd.DataFrame({f: [] for f in schema.fieldNames()})
-            top = _block_topk(qpdf["_qid"].to_numpy(), _matrix(qpdf["_qv"]), ppdf, p_id, p_vec, carry, k,
+            top = _tiled_topk(qpdf["_qid"].to_numpy(), _matrix(qpdf["_qv"]), ppdf, p_id, p_vec, carry, k,
                               metric, exclude_self)
             return _merge_topk([top], k)[schema.fieldNames()]
 

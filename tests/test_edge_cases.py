@@ -106,6 +106,22 @@ def test_knn_small_corpus_and_paths_agree(spark):
         assert b1 == b2
 
 
+def test_knn_tiles_merge_exactly():
+    import numpy as np
+    import pandas as pd
+    from docloom.operators import knn as K
+    rng = np.random.default_rng(5)
+    P = rng.random((50, 4))
+    pdf = pd.DataFrame({"passage_id": np.arange(50), "embedding": list(P), "text": [f"t{i}" for i in range(50)]})
+    Q = P[:9]
+    qids = np.arange(9)
+    key = lambda df: sorted(map(tuple, df[["query_id", "passage_id", "score", "text"]].values.tolist()))
+    whole = K._merge_topk([K._block_topk(qids, Q, pdf, "passage_id", "embedding", ["text"], 7, "l2sq", True)], 7)
+    for tile in (12, 49, 60):                   # many query and passage tiles
+        tiled = K._tiled_topk(qids, Q, pdf, "passage_id", "embedding", ["text"], 7, "l2sq", True, tile=tile)
+        assert key(tiled) == key(whole)
+
+
 def test_parse_fenced_json(spark):
     replies = ['```json\n{"verdict": "1"}\n```', '```{"verdict": 1}```', '```json\n{"verdict": "-1"}```',
                '```json\n{"verdict": "clarté"}\n```', '```json\n{"verdict": 1, ']
