@@ -20,14 +20,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.operators.knn import _matrix, _merge_topk, _tiled_topk
+from docloom.operators.knn import TILE, _matrix, _merge_topk, _tiled_topk
 
 MAX_CENTROID_BYTES = 64 << 20
 
 
-def fit_cells(passages: DataFrame, cells: int, vec: str = "embedding", seed: int = 7, max_iter: int = 10):
-    """k-means centroids as a numpy matrix (cells x dim; size-checked)."""
-    data = passages.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+def fit_cells(passages: DataFrame, cells: int, vec: str = "embedding", seed: int = 7, max_iter: int = 10,
+              train_fraction: float | None = None):
+    """k-means centroids as a numpy matrix (cells x dim; size-checked).
+
+    ``train_fraction`` fits the centroids on a seeded sample of the vectors
+    (the usual index-building practice for very large corpora); every
+    passage is still assigned to a cell and searched, so no result is dropped."""
+    src = passages if not train_fraction else passages.sample(fraction=train_fraction, seed=seed)
+    data = src.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
     cent = np.vstack(model.clusterCenters())
     if cent.nbytes > MAX_CENTROID_BYTES:
@@ -44,24 +50,30 @@ def _nearest_cells(spark, cent: np.ndarray, nprobe: int):
         if len(vs) == 0:
             return pd.Series([], dtype=object)
         Q = _matrix(vs)
-        d = (Q * Q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * Q @ c.T
         k = min(nprobe, c.shape[0])
-        idx = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.Series([list(map(int, r)) for r in idx])
+        cc = (c * c).sum(1)[None, :]
+        step = max(1, TILE // c.shape[0])          # bound the query x centroid tile
+        out = []
+        for s0 in range(0, Q.shape[0], step):
+            q = Q[s0:s0 + step]
+            d = (q * q).sum(1)[:, None] + cc - 2.0 * q @ c.T
+            idx = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out += [list(map(int, r)) for r in idx]
+        return pd.Series(out)
 
     return cells
 
 
 def ann_topk(queries: DataFrame, passages: DataFrame, k: int = 20, cells: int | None = None, nprobe: int = 4,
              q_id: str = "query_id", p_id: str = "passage_id", vec: str = "embedding", block_rows: int = 50_000,
-             carry: list[str] | None = None, seed: int = 7) -> DataFrame:
+             carry: list[str] | None = None, seed: int = 7, train_fraction: float | None = None) -> DataFrame:
     """Approximate k nearest passages (squared L2), same output as knn_topk."""
     spark = queries.sparkSession
     carry = list(carry or [])
     p = passages.select(F.col(p_id).alias("passage_id"), vec, *carry).where(F.col(vec).isNotNull())
     n_p = p.count()
     cells = cells or max(1, int(math.sqrt(n_p)))
-    cent = fit_cells(p, cells, vec, seed)
+    cent = fit_cells(p, cells, vec, seed, train_fraction=train_fraction)
     to_cells = _nearest_cells(spark, cent, 1)
     pc = p.withColumn("cell", F.element_at(to_cells(F.col(vec)), 1))
     sizes = pc.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
