@@ -59,6 +59,7 @@ def file_stem(col) -> Column:
     return F.substring_index(_c(col), ".", 1)
 
 
+# Fixed value: the subject marker after which letter text starts.
 DEFAULT_MARKER = r"(?i)OBJET\s?:"
 
 

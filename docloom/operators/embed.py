@@ -84,6 +84,10 @@ def cls_pool(token_vectors) -> Column:
     return F.get(_c(token_vectors), 0)
 
 
-def query_prefix(col, prefix: str = "query: ") -> Column:
+# Fixed value: the prefix the embedding model expects on queries.
+QUERY_PREFIX = "query: "
+
+
+def query_prefix(col, prefix: str = QUERY_PREFIX) -> Column:
     """Queries (not passages) get the model's query prefix before embedding."""
     return F.concat(F.lit(prefix), _c(col))

@@ -20,7 +20,7 @@ from docloom.functions.replies import fenced_json_text, json_field, json_int, js
 from docloom.functions.text import py_strip
 
 # Default generation settings of the hosted-model backend.
-TGI_DEFAULTS = {"temperature": "0.01", "max_tokens": "75", "top_p": "0.97", "n": "1", "stop": '["\\n","\\n\\n"]'}
+HOSTED_DEFAULTS = {"temperature": "0.01", "max_tokens": "75", "top_p": "0.97", "n": "1", "stop": '["\\n","\\n\\n"]'}
 # OpenAI-style setting names -> Hugging Face generate names.
 RENAMES = {"n": "num_return_sequences", "frequency_penalty": "repetition_penalty",
            "presence_penalty": "diversity_penalty", "max_tokens": "max_new_tokens"}
@@ -61,17 +61,17 @@ def prompt_text(df: DataFrame, prompt_col: str) -> Column:
 
 
 def build_requests(df: DataFrame, prompt_col: str = "prompt", params_col: str | None = "params",
-                   defaults: dict | None = None, backend: str = "tgi", id_col: str = "request_id") -> DataFrame:
+                   defaults: dict | None = None, backend: str = "hosted", id_col: str = "request_id") -> DataFrame:
     """Prompt table + per-row setting maps -> (request_id, inputs, parameters, payload).
 
-    ``tgi``: ``do_sample``/``details`` when n > 1, ``best_of`` = n, temperature
+    ``hosted``: ``do_sample``/``details`` when n > 1, ``best_of`` = n, temperature
     floored at 0.1, then renamed. ``local``: defaults and call settings are
     renamed separately and overlaid; ``do_sample`` when the *call* asks for
     n > 1 or temperature > 0.1."""
     call = F.col(params_col) if params_col else F.create_map().cast("map<string,string>")
     call = F.coalesce(call, F.create_map().cast("map<string,string>"))
-    if backend == "tgi":
-        merged = overlay(_map_lit(TGI_DEFAULTS if defaults is None else defaults), call)
+    if backend == "hosted":
+        merged = overlay(_map_lit(HOSTED_DEFAULTS if defaults is None else defaults), call)
         n = F.coalesce(merged["n"].cast("int"), F.lit(1))
         flags = F.create_map(F.lit("do_sample"), F.when(n > 1, "true").otherwise("false"),
                              F.lit("best_of"), n.cast("string"),

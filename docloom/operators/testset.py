@@ -118,6 +118,8 @@ def multi_context_pairs(vectors: DataFrame, id_col: str = "passage_id", vec: str
     return nn.select(F.col("query_id").alias("context1"), F.col("passage_id").alias("context2"), "score")
 
 
+# Rules of the question-rewrite contracts (phrases a question must not use,
+# word limits per evolution type).
 CONTEXT_PHRASES = r"(?i)(provided context|according to the context)"
 MAX_WORDS = {"reasoning": 15, "conditional": 25}
 

@@ -61,7 +61,7 @@ def q_few_shot(spark, sf):
     return render_few_shot_prompt(rows, SHORTEN_SPEC).select("query_id", "prompt")
 
 
-def _requests(spark, sf, backend="tgi"):
+def _requests(spark, sf, backend="hosted"):
     ev = read_table(spark, sf, "events", ["event_id", "user_id", "event_type", "value", "props"])
     params = F.create_map(F.lit("n"), (1 + F.pmod("user_id", F.lit(3))).cast("string"),
                           F.lit("temperature"), (F.col("value") / 100).cast("string"),
