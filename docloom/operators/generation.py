@@ -198,6 +198,13 @@ def cached_generate(requests: DataFrame, cache: DataFrame, generate: Callable[[D
     return hits.unionByName(got)
 
 
+def append_cache(result: DataFrame, path: str) -> None:
+    """Append the freshly generated (key, response) rows of
+    :func:`cached_generate` to the cache table (one row per key)."""
+    fresh = result.where(~F.col("from_cache")).groupBy("key").agg(F.min("response").alias("response"))
+    fresh.write.mode("append").parquet(path)
+
+
 def request_log(df: DataFrame, prompt_col: str = "inputs", response_col: str = "raw", kwargs_col: str = "parameters",
                 raw_kwargs_col: str = "params") -> DataFrame:
     """Rows to append to the request log: prompt, response, merged and raw settings."""

@@ -216,3 +216,23 @@ def test_near_dups_against_brute_force(spark):
 def test_quotas_largest_remainder():
     assert TS.quotas(10, TS.DEFAULT_SHARES) == [("simple", 4), ("reasoning", 2), ("multi_context", 2), ("conditional", 2)]
     assert sum(n for _, n in TS.quotas(7, TS.DEFAULT_SHARES)) == 7
+
+
+def test_response_cache_round_trip(spark, scratch):
+    import os
+    req = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "request_id int, payload string")
+    cache_path = os.path.join(scratch, "cache")
+    spark.createDataFrame([], "key string, response string").write.parquet(cache_path)
+    calls = []
+
+    def gen(todo):
+        calls.append(todo.count())
+        return todo.select("key", F.concat(F.lit("r:"), "payload").alias("response"))
+
+    first = G.cached_generate(req, spark.read.parquet(cache_path), gen)
+    assert sorted((r.request_id, r.response, r.from_cache) for r in first.collect()) == \
+        [(1, "r:a", False), (2, "r:b", False), (3, "r:a", False)]
+    G.append_cache(first, cache_path)
+    second = G.cached_generate(req, spark.read.parquet(cache_path), gen)
+    assert all(r.from_cache for r in second.collect())
+    assert calls[0] == 2                      # identical requests were generated once
