@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.text import py_strip
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -34,9 +36,4 @@ def json_int(json_text, field: str) -> Column:
 def labelled_field(col, label: str) -> Column:
     """Text after ``Label:`` up to the next ``\\nWord:`` line or the end."""
     lab = label[:1].upper() + label[1:]
-    return py_strip_simple(F.regexp_extract(_c(col), rf"(?s){lab}:\s*(.*?)(?:\n\w+:|\z)", 1))
-
-
-def py_strip_simple(c: Column) -> Column:
-    from docloom.functions.text import py_strip
-    return py_strip(c)
+    return py_strip(F.regexp_extract(_c(col), rf"(?s){lab}:\s*(.*?)(?:\n\w+:|\z)", 1))

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.replies import fenced_json_text, json_field, json_int, json_is_valid, labelled_field
-from docloom.functions.text import py_strip
 
 # Default generation settings of the hosted-model backend.
 HOSTED_DEFAULTS = {"temperature": "0.01", "max_tokens": "75", "top_p": "0.97", "n": "1", "stop": '["\\n","\\n\\n"]'}
@@ -231,9 +230,3 @@ def parse_fenced_json(df: DataFrame, col: str, int_fields: tuple[str, ...] = (),
 
 def parse_labelled_field(df: DataFrame, col: str, label: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out or label, labelled_field(col, label))
-
-
-def extract_prediction(out: Column, prompt: Column, skip: int = 7) -> Column:
-    """Generated text from character ``len(prompt) + skip`` on, stripped like
-    Python ``str.strip`` (wider than SQL ``trim``)."""
-    return py_strip(F.substr(out, F.length(prompt) + F.lit(skip + 1)))
