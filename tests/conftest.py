@@ -21,6 +21,8 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(ckpt)   # tests only: the cluster names its own shared folder
+    from docloom.session import ship_package
+    ship_package(s)
     yield s
 
 
