@@ -205,7 +205,6 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     pref = pref.join(gsize, "tok").withColumn("nb", F.ceil(F.col("g") / block_rows).cast("int")) \
         .withColumn("blk", F.pmod(F.xxhash64("sk"), F.col("nb")).cast("int")) \
         .withColumn("tb", F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int"))
-    pref = pref.join(payload, "sk")
     schema = T.StructType([T.StructField("sa", T.StringType()), T.StructField("sb", T.StringType()),
                            T.StructField("jaccard", T.DoubleType())])
     thr = float(t)
@@ -233,8 +232,10 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
 
     def verify_self(g: pd.DataFrame) -> pd.DataFrame:
         """Tokens whose group fits one block: candidates are the members of a
-        token paired among themselves, all inside this task."""
-        cand = g[["tok", "sk"]].merge(g[["tok", "sk"]], on="tok", suffixes=("_a", "_b"))
+        token paired among themselves, all inside this task. Rows are one per
+        (bucket, set) with that set's prefix tokens in the bucket."""
+        toks = g[["sk", "toks"]].explode("toks").rename(columns={"toks": "tok"})
+        cand = toks.merge(toks, on="tok", suffixes=("_a", "_b"))
         cand = cand[cand["sk_a"] < cand["sk_b"]][["sk_a", "sk_b"]].drop_duplicates()
         cand.columns = ["a", "b"]
         if not len(cand):
@@ -252,9 +253,11 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
         return _check(cand, _sets(l["sk"], l["n"], l["ws"], set(cand["a"])),
                       _sets(r["r_sk"], r["r_n"], r["r_ws"], set(cand["b"])))
 
-    small = pref.where(F.col("nb") == 1).select("tb", "tok", "sk", "n", "ws")
+    # one row per (bucket, set): the set's words travel once per bucket, not once per prefix token
+    small = (pref.where(F.col("nb") == 1).groupBy("tb", "sk")
+             .agg(F.collect_list("tok").alias("toks"), F.first("n").alias("n")).join(payload, "sk"))
     pairs_small = small.groupBy("tb").applyInPandas(verify_self, schema)
-    big = pref.where(F.col("nb") > 1)
+    big = pref.where(F.col("nb") > 1).join(payload, "sk")
     left = big.withColumn("bj", F.explode(F.sequence(F.col("blk"), F.col("nb") - 1))).withColumnRenamed("blk", "bi")
     right = big.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blk")))).withColumnRenamed("blk", "bj")
     cols = ["tb", "tok", "bi", "bj", "sk", "n", "ws"]
