@@ -107,6 +107,15 @@ def q_ann(spark, sf):
 CD = f"cd AS (SELECT {FILE} AS file, md5({FILE}) AS doc_id, {suffix_label(FILE)} AS source, split_part({FILE}, '.', 1) AS stem, {clean('text')} AS text FROM documents)"
 
 
+@register("scan_text_corpus", f"SELECT {FILE} AS file, text FROM documents WHERE text IS NOT NULL")
+def q_scan_text_corpus(spark, sf):
+    from docloom.sources.corpus import scan_text_corpus
+    path = scratch(spark, "text-corpus")
+    # one text file per document (a folder per file name), as a corpus folder on shared storage
+    FX.corpus(spark, sf).where(F.col("text").isNotNull()).repartition("file").write.partitionBy("file").text(path)
+    return scan_text_corpus(spark, path, name_dir="file")
+
+
 @register("write_clean_text", f"WITH {CD} SELECT stem, text FROM cd")
 def q_write_clean_text(spark, sf):
     from docloom.operators.clean import prepare_corpus

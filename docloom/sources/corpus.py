@@ -20,11 +20,19 @@ PROMPT_SPEC_SCHEMA = T.StructType([
 ])
 
 
-def scan_text_corpus(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """One row per text file: ``(file, text)`` with the whole file as one value."""
+def scan_text_corpus(spark: SparkSession, path: str, recursive: bool = True, name_dir: str | None = None) -> DataFrame:
+    """One row per text file: ``(file, text)`` with the whole file as one value.
+
+    ``name_dir``: take the name from a ``<name_dir>=<name>`` folder level
+    instead of the file name (a corpus written by Spark's text writer with
+    ``partitionBy(name_dir)``, one file per document; the writer's trailing
+    newline is removed)."""
     # keyword form: ``text()`` would otherwise pass its own wholetext=False over an option
     df = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
-    return df.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    if name_dir is None:
+        return df.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), f"/{name_dir}=([^/]+)/", 1))
+    return df.select(name.alias("file"), F.regexp_replace("value", "\n$", "").alias("text"))
 
 
 def scan_instruction_set(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = "train") -> DataFrame:
