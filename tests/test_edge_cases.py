@@ -236,3 +236,25 @@ def test_response_cache_round_trip(spark, scratch):
     second = G.cached_generate(req, spark.read.parquet(cache_path), gen)
     assert all(r.from_cache for r in second.collect())
     assert calls[0] == 2                      # identical requests were generated once
+
+
+def test_spread_only_when_input_is_narrow(spark):
+    from docloom.session import spread
+    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 4)
+    assert spread(wide) is wide                                         # enough splits already: no shuffle added
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert spread(narrow).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_text_after_marker_default(spark):
+    from docloom.operators.clean import text_after_marker
+    df = spark.createDataFrame([("Lettre. Objet : inspection du site\nSuite",), ("pas de marqueur",)], "text string")
+    got = [(r.text, r.matched) for r in text_after_marker(df).collect()]
+    assert got == [("inspection du site\nSuite", True), ("pas de marqueur", False)]
+
+
+def test_chat_history_pairs(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2")],
+                                  "conv_id long, turn long, role string, text string")
+    got = sorted((r.idx, r.question, r.answer) for r in CH.chat_history_pairs(turns, greeting="hi").collect())
+    assert got == [(0, "", "hi"), (1, "q1", "a1")]
