@@ -258,3 +258,14 @@ def test_chat_history_pairs(spark):
                                   "conv_id long, turn long, role string, text string")
     got = sorted((r.idx, r.question, r.answer) for r in CH.chat_history_pairs(turns, greeting="hi").collect())
     assert got == [(0, "", "hi"), (1, "q1", "a1")]
+
+
+def test_local_backend_sampling_follows_the_call(spark):
+    df = spark.createDataFrame([(1, "p", {"n": "1"}), (2, "p", {"temperature": "0.5"}), (3, "p", {"n": "3", "model": "m"})],
+                               "request_id int, prompt string, params map<string,string>")
+    # defaults ask for a high temperature, but only the call's own settings decide sampling
+    out = {r.request_id: r.parameters for r in
+           G.build_requests(df, "prompt", "params", defaults={"temperature": "0.9", "max_tokens": "10"}, backend="local").collect()}
+    assert "do_sample" not in out[1] and out[1]["temperature"] == "0.9" and out[1]["max_new_tokens"] == "10"
+    assert out[2]["do_sample"] == "true" and out[2]["temperature"] == "0.5"
+    assert out[3]["do_sample"] == "true" and out[3]["num_return_sequences"] == "3" and "model" not in out[3]
