@@ -269,3 +269,15 @@ def test_local_backend_sampling_follows_the_call(spark):
     assert "do_sample" not in out[1] and out[1]["temperature"] == "0.9" and out[1]["max_new_tokens"] == "10"
     assert out[2]["do_sample"] == "true" and out[2]["temperature"] == "0.5"
     assert out[3]["do_sample"] == "true" and out[3]["num_return_sequences"] == "3" and "model" not in out[3]
+
+
+def test_pack_sequences_two_level_prefix_sum_matches_one_bucket(spark):
+    import random
+    rnd = random.Random(11)
+    rows = [(f"s{i}", None, rnd.randint(0, 900)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, ord string, n long").withColumn("ord", F.md5("id"))
+    one = sorted(tuple(r) for r in S.pack_sequences(df, "id", "ord", "n", 256, rows_per_bucket=10_000).collect())
+    many = sorted(tuple(r) for r in S.pack_sequences(df, "id", "ord", "n", 256, rows_per_bucket=7).collect())
+    assert one == many and len(one) > 0
+    total = sum(n for _, _, n in rows)
+    assert sum(t - f for _, _, f, t in one) == (total // 256) * 256           # full blocks, no gap or overlap
