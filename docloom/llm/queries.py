@@ -7,7 +7,10 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.common import table
+from docloom.llm.decontaminate import contamination
+from docloom.llm.mixing import mix
 from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.secrets import secrets
 from docloom.llm.toxicity import score_documents
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +28,21 @@ def op1_toxicity(spark, sf_dir):
     return score_documents(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op2_secret_scan(spark, sf_dir):
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_source_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
