@@ -207,3 +207,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("items"),
         F.coalesce("covered", F.lit(0)).alias("covered"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` without the rows that an item contaminates."""
+    _, found = overlaps(docs, benchmark, id_col, text_col, **kw)
+    gone, _ = bounded(stage(found.select(F.col("rk").alias("_rk")).distinct(), "contaminated-keys"))
+    return docs.withColumn("_rk", row_key(id_col, text_col)).join(gone, "_rk", "left_anti").select(*docs.columns)

@@ -8,10 +8,13 @@ two sets, counted exactly, reaches the threshold. Classes are the connected
 components of the links.
 
 No pairs are expanded within a group of copies. Texts of equal word sequences
-count as one node. In a band's bucket every node is compared with the bucket's
-smallest node; only buckets whose nodes then still stand in several components
-are compared further, across components, until no candidate pair that could
-join two components is left unchecked.
+count as one node. In a band's bucket every node is compared with a few of the
+bucket's nodes, the same for all; that joins nearly all that belongs together.
+In buckets whose nodes then still stand in several components, the nodes
+outside the largest one are compared with all others, in blocks of bounded
+size whose tasks report the joined components alone. So every candidate pair
+that could join two components is checked, and no table of pairs grows with
+the square of a group.
 
 Cases: a null text and a text without a word are classes of their own (an
 empty set is similar to nothing), whatever their ids; texts of one to four
@@ -23,12 +26,13 @@ other columns are ignored, an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import words as W
-from docloom.llm.common import bounded, python_ready, stage
+from docloom.llm.common import bounded, python_ready, row_key, stage
 from docloom.llm.components import connected_components
 from docloom.llm.dartminhash import bands as band_hashes
 from docloom.llm.dartminhash import signatures
@@ -119,13 +123,56 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return common.where(F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c")) - 1e-9).select("a", "b")
 
 
+def _bridges(threshold: float):
+    """A group holds a block of a bucket's nodes outside its largest component
+    (``own``) and a block of others: the components that links join."""
+
+    def bridges(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, comp, own = pdf["n"].to_numpy(), pdf["c"].to_numpy(), pdf["own"].to_numpy()
+        _, code = np.unique(np.concatenate(pdf["sh"].tolist()), return_inverse=True)
+        start = np.cumsum(n) - n
+        mark = np.zeros(code.max() + 1, bool)
+        found = set()
+        for r in np.flatnonzero(own):
+            mine = code[start[r]:start[r] + n[r]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[code].astype(np.int64), start)
+            mark[mine] = False
+            near = (common >= threshold * (n + n[r] - common) - 1e-9) & (comp != comp[r])
+            found |= {(min(c, comp[r]), max(c, comp[r])) for c in comp[near]}
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    return bridges
+
+
+def _compare_across(placed: DataFrame, sets: DataFrame, threshold: float, block: int = 200_000) -> DataFrame:
+    """(a, b) components joined by links between nodes of one bucket. ``placed``:
+    (band, node, n, c) of buckets that hold several components."""
+    per = placed.groupBy("band", "c").agg(F.sum("n").alias("w"))
+    largest = per.groupBy("band").agg(F.max_by("c", F.struct("w", "c")).alias("g"), F.max("w").alias("wg"), F.sum("w").alias("w"))
+    blocks = stage(largest.select("band", "g", F.ceil(F.col("wg") / block).cast("int").alias("ng"),
+                                  F.ceil((F.col("w") - F.col("wg")) / block).cast("int").alias("no")), "open-blocks")
+    rows = placed.join(blocks, "band").withColumn("own", F.col("c") != F.col("g"))
+    rows = rows.withColumn("x", F.pmod(F.xxhash64(F.lit("block"), "node"), F.when(F.col("own"), F.col("no")).otherwise(F.col("ng"))).cast("int"))
+    # each of the blocks outside the largest component meets every block of it (j >= 0), and each other one of its kind (j < 0)
+    with_largest = F.when(F.col("own"), F.transform(F.sequence(F.lit(0), F.col("ng") - 1), lambda j: F.struct(
+        F.col("x").alias("i"), j.alias("j"), F.lit(True).alias("own")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda i: F.struct(i.alias("i"), F.col("x").alias("j"), F.lit(False).alias("own"))))
+    among = F.when(F.col("own"), F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda k: F.struct(
+        F.least("x", k).alias("i"), (-1 - F.greatest("x", k)).alias("j"), (F.col("x") <= k).alias("own")))).otherwise(
+        F.array().cast("array<struct<i:int,j:int,own:boolean>>"))
+    tasks = rows.select("band", "node", "n", "c", F.explode(F.concat(with_largest, among)).alias("t")).select(
+        "band", "t.i", "t.j", "t.own", "node", "n", "c")
+    return (tasks.join(sets, "node").select("band", "i", "j", "own", "n", "c", "sh").groupBy("band", "i", "j")
+            .applyInPandas(_bridges(threshold), "a bigint, b bigint").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-                    threshold: float = 0.8, n_bands: int = 24, rows: int = 5) -> DataFrame:
-    """One row per row of ``docs``: (id, class_id, n_links, kept). ``class_id``
-    is the smallest id of the row's class, ``n_links`` the number of verified
-    links its text was given to other texts, ``kept`` true where the id is
-    the class id. With 24 bands of 5 rows a pair of similarity 0.8 becomes a
-    candidate with probability 0.9999."""
+                    threshold: float = 0.8, n_bands: int = 24, rows: int = 5, leaders: int = 4) -> DataFrame:
+    """One row per row of ``docs``: (id, class_id, kept). ``class_id`` is the
+    smallest id of the row's class, ``kept`` true where the id is the class
+    id. With 24 bands of 5 rows a pair of similarity 0.8 becomes a candidate
+    with probability 0.9999."""
     python_ready(docs)
     rows_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketch = _sketch_udf(size, n_bands, rows)
@@ -136,18 +183,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     in_band = nodes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = stage(in_band.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m"))
-                    .where("m > 1").select("band", "a"), "buckets")
-    members = stage(in_band.join(buckets, "band").select("band", "a", F.col("node").alias("b"), F.col("n").alias("nb")),
+    # nodes that come first in a few orders of their ids; an order is the id with some bits turned over
+    turn = [0] + [int(x >> np.uint64(20)) for x in W.constants(leaders - 1, 71)]
+    buckets = stage(in_band.groupBy("band").agg(F.count(F.lit(1)).alias("m"), *[
+        F.min(F.col("node").bitwiseXOR(F.lit(x).cast("long"))).alias(f"l{i}") for i, x in enumerate(turn)]).where("m > 1").select(
+        "band", F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(x).cast("long")) for i, x in enumerate(turn)])).alias("leaders")),
+        "buckets")
+    members = stage(in_band.join(buckets, "band").select("band", "leaders", F.col("node").alias("b"), F.col("n").alias("nb")),
                     "members")
     sizes = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"))
 
-    def could_be(pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b) with sizes that allow the threshold."""
-        return (pairs.select("a", "b", "nb").where("a <> b").distinct().join(sizes, "a")
-                .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
-
-    pairs = stage(could_be(members), "pairs")
+    pairs = members.select(F.explode("leaders").alias("a"), "b", "nb").where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stage(pairs.join(sizes, "a").join(sizes.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b")
+                  .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9), "pairs")
 
     # texts of candidates alone: read again, one row per text
     wanted, small = bounded(stage(members.select(F.col("b").alias("node")).distinct().join(nodes, "node")
@@ -160,31 +209,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(_similar(pairs, sets, threshold), "links")
     comps = stage(connected_components(links), "components")
 
-    # buckets that the star left in several components: compare across components
     placed = members.join(comps.withColumnRenamed("node", "b"), "b", "left").select(
-        "band", "b", "nb", F.coalesce("component", "b").alias("c"))
+        "band", F.col("b").alias("node"), F.col("nb").alias("n"), F.coalesce("component", "b").alias("c"))
     open_ = stage(placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
                   .where("lo < hi").select("band"), "open")
     if not open_.isEmpty():
-        left = stage(placed.join(open_, "band").select("band", "b", "nb", "c"), "left")
-        other = left.select("band", F.col("b").alias("a"), F.col("c").alias("ca"))
-        across = left.join(other, "band").where("ca < c").select("a", "b", "nb")
-        known = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = stage(could_be(across).join(known, ["a", "b"], "left_anti"), "more")
-        found = stage(_similar(more, sets, threshold), "more-links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comps = stage(connected_components(links), "all-components")
-
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(
-        F.count(F.lit(1)).alias("n_links"))
+        joined = stage(_compare_across(stage(placed.join(open_, "band"), "open-members"), sets, threshold), "bridges")
+        if not joined.isEmpty():
+            comps = stage(connected_components(links.unionByName(joined)), "all-components")
+
     named = nodes.select("k1", "k2", "node", "first_id").join(comps, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    classes = stage(named.join(first, "component").join(degree, "node", "left").select(
-        "k1", "k2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-
-    some = base.where("n > 0").select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "class_id", "n_links")
-    none = base.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.unionByName(none).select(
-        F.col("id").alias(id_col), "class_id", "n_links", F.expr("id <=> class_id").alias("kept"))
+    classes = stage(named.join(first, "component").select("k1", "k2", "class_id"), "classes")
+
+    some = base.where("n > 0").select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "class_id")
+    none = base.where("n = 0").select("id", F.col("id").alias("class_id"))
+    return some.unionByName(none).select(F.col("id").alias(id_col), "class_id", F.expr("id <=> class_id").alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` with one row of every class, that of the smallest id (null
+    last); of rows equal in id and text one stays."""
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"))
+    found = near_duplicates(docs.select(name.alias("_name"), F.col(text_col).alias("_text")), "_name", "_text", **kw)
+    per = stage(found.select(F.col("_name.rk").alias("_rk"), "kept").groupBy("_rk").agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("m")), "kept")
+    gone, _ = bounded(per.where("not kept").select("_rk"))
+    twice, _ = bounded(per.where("kept and m > 1").select("_rk"))
+    rest = docs.withColumn("_rk", row_key(id_col, text_col)).join(gone, "_rk", "left_anti")
+    if twice.isEmpty():
+        return rest.select(*docs.columns)
+    once = rest.join(twice, "_rk", "left_anti")
+    return once.unionByName(rest.join(twice, "_rk", "left_semi").dropDuplicates(["_rk"])).select(*docs.columns)

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_key, stage
+from docloom.llm.common import BROADCAST_ROWS, row_key, stage
 
 # The base patterns, and the runs that the battery tests.
 ASSIGN = (r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -170,10 +170,14 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sha2(_line(F.filter(all_, lambda s: s["rank"] < 3)), 256).alias("base_sha256"), _line(all_).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
+           mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span's text replaced by ``mark`` (overlapping spans
-    by one); all columns and rows stay."""
+    by one); all columns and rows stay. ``length_col`` is set to the new
+    length in code points where a text changed."""
     _, per = find_secrets(docs, id_col, text_col)
+    n = per.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
+    per = F.broadcast(per) if n <= BROADCAST_ROWS else per
     joined = docs.withColumn("_rk", row_key(id_col, text_col)).join(
         per.select(F.col("rk").alias("_rk"), F.col("spans").alias("_spans")), "_rk", "left")
     merged = F.aggregate("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda a, s: F.when(
@@ -185,5 +189,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     kept = F.transform(F.sequence(F.lit(0), F.size("_m")), lambda i: F.substring(
         F.col(text_col), (F.coalesce(F.get("_m", i - 1)["end"], F.lit(0)) + 1).cast("int"),
         F.coalesce(F.get("_m", i)["start"] - F.coalesce(F.get("_m", i - 1)["end"], F.lit(0)), F.lit(2147483647)).cast("int")))
-    return joined.withColumn(text_col, F.when(F.col("_m").isNull(), F.col(text_col)).otherwise(F.array_join(kept, mark))).select(
-        *docs.columns)
+    changed = {text_col: F.when(F.col("_m").isNull(), F.col(text_col)).otherwise(F.array_join(kept, mark))}
+    if length_col in docs.columns:
+        changed[length_col] = F.when(F.col("_m").isNull(), F.col(length_col)).otherwise(
+            F.char_length(F.array_join(kept, mark))).cast(docs.schema[length_col].dataType)
+    return joined.withColumns(changed).select(*docs.columns)

@@ -33,6 +33,7 @@ from docloom.llm.common import python_ready, stage
 
 BITS = 20
 MAX_TRAIN = 20_000
+THRESHOLD = 0.3
 _U = np.uint64
 
 
@@ -159,18 +160,28 @@ def remainder(id_col: str, of: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % of
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    label_col: str = "toxic", threshold: float = 0.3, held_out: Column | None = None,
-                    max_train: int = MAX_TRAIN, **fit_kw) -> DataFrame:
-    """All columns of ``docs`` and ``held_out``, ``score``, ``predicted``
-    (columns of these names are replaced). Labels of held-out ids are not
-    learnt from; by default those whose crc32 leaves 2 modulo 4."""
+def learned_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  label_col: str = "toxic", held_out: Column | None = None, max_train: int = MAX_TRAIN, **fit_kw) -> Column:
+    """A score column for ``docs``, learnt from its labelled rows that aren't
+    held out; by default those are whose id's crc32 leaves 2 modulo 4."""
     test = F.coalesce(remainder(id_col, 4) == 2 if held_out is None else held_out, F.lit(False))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~test).groupBy(
         F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     chosen = F.broadcast(sample(known, "_id", max_train))          # bounded by max_train
     train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id").groupBy(
         "_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
-    model = fit(train, "_id", "_text", "_y", **fit_kw)
-    return (docs.withColumn("held_out", test).withColumn("score", score(F.col(text_col), model, docs.sparkSession))
-            .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)))
+    return score(F.col(text_col), fit(train, "_id", "_text", "_y", **fit_kw), docs.sparkSession)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD,
+                    held_out: Column | None = None, **kw) -> DataFrame:
+    """All columns of ``docs`` and ``held_out``, ``score``, ``predicted``
+    (columns of these names are replaced)."""
+    test = F.coalesce(remainder(id_col, 4) == 2 if held_out is None else held_out, F.lit(False))
+    scored = docs.withColumns({"held_out": test, "score": learned_score(docs, labels, id_col, held_out=held_out, **kw)})
+    return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold."""
+    return docs.where(learned_score(docs, labels, **kw) < threshold)
