@@ -7,8 +7,9 @@ weight until none is above. A document of a source is expected
 first (the integer part of the expected copies); the rest (the fractional
 part, its inclusion probability p) is drawn by Pareto order sampling: with a
 uniform number u of its own, decided by a hash, a document ranks by
-(u / (1 - u)) / (p / (1 - p)), and the first ones in rank are taken until the
-sample's fixed size in words is met, the last one if that comes nearer.
+(u / (1 - u)) / (p / (1 - p)), and the first ones in rank are taken while they
+fit the sample's fixed size in words; the last one, of those next in rank, is
+the one whose size comes nearest to what is still open.
 
 The order within a source is never sorted in one task: documents are dealt to
 slots of the ranking variable's distribution, slots are summed, and only the
@@ -102,9 +103,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = Window.partitionBy("src", "no_src").orderBy("rank_by", "id", "size")
     at_edge = placed.where("slot = at").withColumn(
         "upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    nearer = F.abs(F.col("upto") - F.col("quota")) < F.abs(F.col("upto") - F.col("size") - F.col("quota"))
-    at_edge = at_edge.withColumn("drawn", F.when(F.col("upto") <= F.col("quota"), True).otherwise(
-        (F.col("upto") - F.col("size") < F.col("quota")) & nearer)).drop("upto")
+    whole_slot = Window.partitionBy("src", "no_src")
+    fits = F.col("upto") <= F.col("quota")
+    at_edge = at_edge.withColumn("open", F.col("quota") - F.max(F.when(fits, F.col("upto")).otherwise(F.col("before"))).over(whole_slot))
+    gap = F.abs(F.col("size") - F.col("open"))
+    last = F.row_number().over(whole_slot.orderBy(fits, gap, "rank_by", "id")) == 1
+    at_edge = at_edge.withColumn("drawn", fits | (last & (gap < F.col("open")))).drop("upto", "open")
     rest = placed.where("at is null or slot <> at").withColumn(
         "drawn", F.when(F.col("at").isNull(), F.col("quota") > 0).otherwise(F.col("slot") < F.col("at")))
     out = rest.unionByName(at_edge)
