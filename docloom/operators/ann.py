@@ -3,14 +3,15 @@
 Cells are k-means centroids (``pyspark.ml`` KMeans). Each query probes its
 ``nprobe`` nearest cells; a cell's passages are scored against the queries
 that probe it in numpy, and only the top k per query leave the task. A cell
-larger than ``block_rows`` is split into hashed sub-blocks and its queries
-are replicated to each sub-block, so a cell holding a third of the corpus is
-still many bounded tasks. Recall is measured against the exact
+larger than ``block_rows`` is split into hashed sub-blocks, the queries that
+probe it into blocks of ``QUERY_BLOCK``, and a task compares one of each, so a
+cell holding a third of the corpus is still many bounded tasks. Recall is measured against the exact
 :func:`knn_topk`."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,24 +22,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.operators.knn import TILE, _matrix, _merge_topk, _tiled_topk
+from docloom.session import materialize, scratch
 
 MAX_CENTROID_BYTES = 64 << 20
+QUERY_BLOCK = 4_096          # queries of one cell scored by one task
 
 
-def fit_cells(passages: DataFrame, cells: int, vec: str = "embedding", seed: int = 7, max_iter: int = 10,
-              train_fraction: float | None = None):
-    """k-means centroids as a numpy matrix (cells x dim; size-checked).
+def cell_count(n_passages: int, dim: int) -> int:
+    """About the square root of the passages, as far as the centroid table
+    stays within ``MAX_CENTROID_BYTES``; decided before any fit."""
+    return max(1, min(int(math.sqrt(n_passages)), MAX_CENTROID_BYTES // (8 * max(dim, 1))))
 
-    ``train_fraction`` fits the centroids on a seeded sample of the vectors
-    (the usual index-building practice for very large corpora); every
-    passage is still assigned to a cell and searched, so no result is dropped."""
-    src = passages if not train_fraction else passages.sample(fraction=train_fraction, seed=seed)
-    data = src.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+
+def fit_cells(passages: DataFrame, cells: int, vec: str = "embedding", seed: int = 7, max_iter: int = 10):
+    """k-means centroids of all passages as a numpy matrix (cells x dim)."""
+    data = passages.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-    cent = np.vstack(model.clusterCenters())
-    if cent.nbytes > MAX_CENTROID_BYTES:
-        raise ValueError("centroid table over the broadcast limit; use fewer cells")
-    return cent
+    return np.vstack(model.clusterCenters())
+
+
+@dataclass
+class CellIndex:
+    """A fitted index: centroids and the passages with their cell, a table in
+    the checkpoint folder partitioned by cell, so a search reads the probed
+    cells alone. Fit once, search as often as wanted."""
+
+    centroids: np.ndarray
+    passages: DataFrame
+    id_col: str
+    vec: str
+
+
+def build_index(passages: DataFrame, cells: int | None = None, p_id: str = "passage_id", vec: str = "embedding",
+                seed: int = 7) -> CellIndex:
+    """Index of every passage with a vector (ids and vectors only)."""
+    spark = passages.sparkSession
+    p = passages.select(F.col(p_id).alias("passage_id"), vec).where(F.col(vec).isNotNull())
+    size = p.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    cent = fit_cells(p, cells or cell_count(size["n"], size["d"] or 1), vec, seed)
+    path = scratch(spark, "cells")
+    placed = p.withColumn("cell", F.element_at(_nearest_cells(spark, cent, 1)(F.col(vec)), 1))
+    # a file or a few for each cell: a cell's rows meet in four tasks at most, which stream them to disk
+    placed.repartition("cell", F.pmod(F.xxhash64("passage_id"), F.lit(4))).write.partitionBy("cell").parquet(path)
+    return CellIndex(cent, spark.read.parquet(path), p_id, vec)
 
 
 def _nearest_cells(spark, cent: np.ndarray, nprobe: int):
@@ -66,40 +92,49 @@ def _nearest_cells(spark, cent: np.ndarray, nprobe: int):
 
 def ann_topk(queries: DataFrame, passages: DataFrame, k: int = 20, cells: int | None = None, nprobe: int = 4,
              q_id: str = "query_id", p_id: str = "passage_id", vec: str = "embedding", block_rows: int = 50_000,
-             carry: list[str] | None = None, seed: int = 7, train_fraction: float | None = None) -> DataFrame:
-    """Approximate k nearest passages (squared L2), same output as knn_topk."""
+             carry: list[str] | None = None, seed: int = 7, index: CellIndex | None = None,
+             exclude_self: bool = False) -> DataFrame:
+    """Approximate k nearest passages (squared L2), same output as knn_topk.
+
+    ``index``: one from :func:`build_index`, else it is built here. Where the
+    probed cells hold fewer than k passages the query gets those alone; with
+    ``nprobe`` at the number of cells the answer is exact. Columns in
+    ``carry`` are joined to the final hits."""
     spark = queries.sparkSession
     carry = list(carry or [])
-    p = passages.select(F.col(p_id).alias("passage_id"), vec, *carry).where(F.col(vec).isNotNull())
-    n_p = p.count()
-    cells = cells or max(1, int(math.sqrt(n_p)))
-    cent = fit_cells(p, cells, vec, seed, train_fraction=train_fraction)
-    to_cells = _nearest_cells(spark, cent, 1)
-    pc = p.withColumn("cell", F.element_at(to_cells(F.col(vec)), 1))
+    index = index or build_index(passages, cells, p_id, vec, seed)
+    cent, pc = index.centroids, index.passages
     sizes = pc.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
     nsub = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("m") / block_rows)).cast("int").alias("nsub"))
     nsub = F.broadcast(nsub)            # one row per cell: bounded by ``cells``
     pc = pc.join(nsub, "cell").withColumn("sub", F.pmod(F.xxhash64("passage_id"), F.col("nsub")).cast("int"))
     q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("_qv")).where(F.col("_qv").isNotNull())
-    qc = q.withColumn("cell", F.explode(_nearest_cells(spark, cent, nprobe)(F.col("_qv"))))
-    qc = qc.join(nsub, "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("nsub") - 1)))
+    qc = materialize(q.withColumn("cell", F.explode(_nearest_cells(spark, cent, nprobe)(F.col("_qv")))), "probes")
+    # queries of one cell in blocks too: a task holds one block of queries and one of passages
+    nq = F.broadcast(qc.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("nq")))
+    qc = (qc.join(nq, "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).join(nsub, "cell")
+          .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("nsub") - 1))))
+    pc = pc.join(nq, "cell").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
     fields = [T.StructField("query_id", queries.schema[q_id].dataType),
               T.StructField("passage_id", passages.schema[p_id].dataType),
-              T.StructField("score", T.DoubleType())] + [T.StructField(c, passages.schema[c].dataType) for c in carry]
+              T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
+    vec = index.vec
 
     def score(qpdf: pd.DataFrame, ppdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(ppdf) == 0:
             return pd.DataFrame({f.name: [] for f in fields})
-        top = _tiled_topk(qpdf["query_id"].to_numpy(), _matrix(qpdf["_qv"]), ppdf, "passage_id", vec, carry, k, "l2sq", False)
+        top = _tiled_topk(qpdf["query_id"].to_numpy(), _matrix(qpdf["_qv"]), ppdf, "passage_id", vec, [], k, "l2sq", exclude_self)
         return _merge_topk([top], k)[[f.name for f in fields]]
 
-    hits = (qc.select("cell", "sub", "query_id", "_qv").groupBy("cell", "sub")
-            .cogroup(pc.select("cell", "sub", "passage_id", vec, *carry).groupBy("cell", "sub"))
+    hits = (qc.select("cell", "sub", "qb", "query_id", "_qv").groupBy("cell", "sub", "qb")
+            .cogroup(pc.select("cell", "sub", "qb", "passage_id", vec).groupBy("cell", "sub", "qb"))
             .applyInPandas(score, schema))
     w = Window.partitionBy("query_id").orderBy("score", "passage_id")
-    return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "passage_id", "score", "rank", *carry))
+    top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "passage_id", "score", "rank")
+    if carry:
+        top = top.join(passages.select(F.col(p_id).alias("passage_id"), *carry), "passage_id")
+    return top.select("query_id", "passage_id", "score", "rank", *carry)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import materialize
 from docloom.functions.replies import fenced_json_text, json_field, json_int, json_is_valid, labelled_field
 
 # Default generation settings of the hosted-model backend.
@@ -25,6 +26,32 @@ RENAMES = {"n": "num_return_sequences", "frequency_penalty": "repetition_penalty
            "presence_penalty": "diversity_penalty", "max_tokens": "max_new_tokens"}
 
 
+# JSON types of settings that are not strings; ``stop`` holds a JSON list.
+SETTING_TYPES = {"int": ("n", "best_of", "num_return_sequences", "max_tokens", "max_new_tokens", "top_k", "seed", "truncate"),
+                 "double": ("temperature", "top_p", "typical_p", "frequency_penalty", "presence_penalty", "repetition_penalty",
+                            "diversity_penalty"),
+                 "boolean": ("do_sample", "details", "return_full_text", "watermark")}
+
+
+def settings_json(params: Column) -> Column:
+    """JSON object of a string map of settings, keys ascending, each value in
+    the type its name has (numbers, booleans, ``stop`` as a list); others as strings."""
+    def value(k, v):
+        c = F.when(v.isNull(), F.lit("null")).when(k == "stop", v)
+        for kind, names in SETTING_TYPES.items():
+            c = c.when(k.isin(*names), F.coalesce(F.to_json(F.struct(v.try_cast(kind).alias("v"))), F.lit("{}")))
+        return c.otherwise(F.to_json(F.struct(v.alias("v"))))
+
+    def member(e):
+        typed = value(e["key"], e["value"])
+        # a value wrapped as {"v":...} is unwrapped; {} (not of its type) is sent as the string it is
+        inner = F.when(typed == "{}", F.to_json(F.struct(e["value"].alias("v")))).otherwise(typed)
+        body = F.when(inner.startswith('{"v":'), F.substring(inner, F.lit(6), F.length(inner) - 6)).otherwise(inner)
+        return F.concat(F.lit('"'), e["key"], F.lit('":'), body)
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(params)), member), ","), F.lit("}"))
+
+
 def _map_lit(d: dict) -> Column:
     if not d:
         return F.create_map().cast("map<string,string>")
@@ -48,7 +75,11 @@ def to_hf(params: Column) -> Column:
         for src in ("frequency_penalty", "presence_penalty", "max_tokens"):
             c = c.when(k == src, F.lit(RENAMES[src]))
         return c.otherwise(k)
-    return F.transform_keys(vals, rename)
+    # a setting given under both names: the one already in the target's spelling wins
+    entries = F.transform(F.map_entries(vals), lambda e: F.struct(
+        rename(e["key"], e["value"]).alias("key"), e["value"].alias("value"), (rename(e["key"], e["value"]) == e["key"]).alias("own")))
+    kept_ = F.filter(F.array_sort(entries), lambda e: e["own"] | ~F.exists(entries, lambda o: (o["key"] == e["key"]) & o["own"]))
+    return F.map_from_entries(F.transform(kept_, lambda e: F.struct(e["key"], e["value"])))
 
 
 def prompt_text(df: DataFrame, prompt_col: str) -> Column:
@@ -86,7 +117,10 @@ def build_requests(df: DataFrame, prompt_col: str = "prompt", params_col: str |
     else:
         raise ValueError(f"unknown backend {backend!r}")
     out = df.select(F.col(id_col).alias("request_id"), prompt_text(df, prompt_col).alias("inputs"), params.alias("parameters"))
-    return out.withColumn("payload", F.to_json(F.struct("inputs", "parameters")))
+    inputs = F.to_json(F.struct("inputs"))
+    return out.withColumn("payload", F.concat(F.substring(inputs, F.lit(1), F.length(inputs) - 1),
+                                              F.when(inputs == "{}", F.lit("")).otherwise(F.lit(",")), F.lit('"parameters":'),
+                                              settings_json(F.col("parameters")), F.lit("}")))
 
 
 class StubClient:
@@ -127,14 +161,16 @@ def batch_generate(requests: DataFrame, client_factory: Callable[[], Callable] =
                 params = [dict(p) if p is not None else {} for p in part["parameters"]]
                 for attempt in range(retries + 1):
                     try:
-                        r = client(part["inputs"].tolist(), params)
-                        raws += list(r)
+                        r = list(client(part["inputs"].tolist(), params))
+                        if len(r) != len(part):          # replies can't be told apart: none is used
+                            raise ValueError(f"{len(r)} replies for {len(part)} prompts")
+                        raws += r
                         errs += [None] * len(part)
                         break
                     except Exception as e:  # noqa: BLE001 - recorded per row
                         if attempt == retries:
                             raws += [None] * len(part)
-                            errs += [repr(e)[:500]] * len(part)
+                            errs += [repr(e)] * len(part)
                         else:
                             time.sleep(backoff_s * (2 ** attempt))
             out = pdf.copy()
@@ -183,24 +219,25 @@ def cached_generate(requests: DataFrame, cache: DataFrame, generate: Callable[[D
     """Identical requests are answered once.
 
     ``requests(request_id, payload)``, ``cache(key, response)``,
-    ``generate(df(key, payload)) -> df(key, response)``. Hits join the cache;
-    misses are de-duplicated by key before ``generate``. Returns
-    ``(request_id, key, response, from_cache)``; the new cache rows are
-    ``result.where(~from_cache).select(key, response).distinct()``."""
+    ``generate(df(key, payload)) -> df(key, response)``. Hits join the cache
+    (one row a key, failed replies never count); misses are de-duplicated by
+    key, generated once and written before they are used, so further actions
+    on the result pay for nothing again. Returns ``(request_id, key, response,
+    from_cache)``; :func:`append_cache` stores the new replies."""
     r = requests.withColumn("key", cache_key(F.col("payload")))
-    hits = r.join(cache.select("key", "response"), "key", "inner").select("request_id", "key", "response",
-                                                                          F.lit(True).alias("from_cache"))
-    misses = r.join(cache.select("key"), "key", "left_anti")
+    known = cache.where(F.col("response").isNotNull()).groupBy("key").agg(F.min("response").alias("response"))
+    hits = r.join(known, "key", "inner").select("request_id", "key", "response", F.lit(True).alias("from_cache"))
+    misses = r.join(known.select("key"), "key", "left_anti")
     todo = misses.groupBy("key").agg(F.min("payload").alias("payload"))
-    fresh = generate(todo).select("key", "response")
+    fresh = materialize(generate(todo).select("key", "response"), "replies")
     got = misses.join(fresh, "key", "left").select("request_id", "key", "response", F.lit(False).alias("from_cache"))
     return hits.unionByName(got)
 
 
 def append_cache(result: DataFrame, path: str) -> None:
     """Append the freshly generated (key, response) rows of
-    :func:`cached_generate` to the cache table (one row per key)."""
-    fresh = result.where(~F.col("from_cache")).groupBy("key").agg(F.min("response").alias("response"))
+    :func:`cached_generate` to the cache table (one row per key, no failures)."""
+    fresh = result.where(~F.col("from_cache") & F.col("response").isNotNull()).groupBy("key").agg(F.min("response").alias("response"))
     fresh.write.mode("append").parquet(path)
 
 

@@ -48,19 +48,42 @@ def _distances(Q: np.ndarray, P: np.ndarray, metric: str) -> np.ndarray:
         qn = np.linalg.norm(Q, axis=1)[:, None]
         pn = np.linalg.norm(P, axis=1)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            return 1.0 - (Q @ P.T) / (qn * pn)
+            d = 1.0 - (Q @ P.T) / (qn * pn)
+        return np.where(np.isfinite(d), d, np.inf)       # a zero vector has no direction: it is no one's neighbour
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def _exact_l2(Q: np.ndarray, P: np.ndarray) -> np.ndarray:
+    """Squared distances of row pairs from plain differences (the expanded
+    square loses digits where vectors are long and close)."""
+    d = Q - P
+    return np.einsum("ij,ij->i", d, d)
+
+
+def _slack(Q: np.ndarray, P: np.ndarray) -> np.ndarray:
+    """Bound, per query, on the rounding error of the expanded square."""
+    return 16 * np.finfo(float).eps * Q.shape[1] * ((Q * Q).sum(1) + (P * P).sum(1).max(initial=0.0))
+
+
 def _block_topk(qids, Q, pdf: pd.DataFrame, pid: str, pvec: str, carry: list[str], k: int, metric: str,
                 exclude_self: bool) -> pd.DataFrame:
     """Best k passages of ``pdf`` for every query row of Q, ties by id."""
     P = _matrix(pdf[pvec])
-    D = np.round(_distances(Q, P, metric), SCORE_DECIMALS)
+    D = _distances(Q, P, metric)
     pids = pdf[pid].to_numpy()
     if exclude_self:
         D[np.asarray(qids)[:, None] == pids[None, :]] = np.inf
     n = D.shape[1]
+    if metric == "l2sq" and n > k:                       # whatever may be among the best k is scored from differences
+        kth = np.partition(D, k - 1, axis=1)[:, k - 1:k]
+        near = (D <= kth + 2 * _slack(Q, P)[:, None]) & np.isfinite(D)
+        qi, pi = np.nonzero(near)
+        D[~near] = np.inf
+        D[qi, pi] = _exact_l2(Q[qi], P[pi])
+    elif metric == "l2sq":
+        qi, pi = np.nonzero(np.isfinite(D))
+        D[qi, pi] = _exact_l2(Q[qi], P[pi])
+    D = np.round(D, SCORE_DECIMALS)
     if n > k:
         kth = np.partition(D, k - 1, axis=1)[:, k - 1:k]
         keep = D <= kth                      # ties at the k-th value are all kept here ...
@@ -123,16 +146,18 @@ def knn_topk(queries: DataFrame, passages: DataFrame, k: int = 20, metric: str =
 
     Returns ``(query_id, passage_id, score, rank, *carry)``; ``score`` is the
     distance rounded to 9 decimals (l2sq: squared L2, cosine: 1 - cos,
-    ip: minus the inner product). Passage columns named in ``carry`` (text,
-    source, token ids, the vector itself) travel with the hits so later
-    steps need no join back to the passage table.
+    ip: minus the inner product; a zero vector has no cosine and is never a
+    hit). Only ids and scores go through the top-k; passage columns named in
+    ``carry`` (text, source, token ids, the vector itself) are joined to the
+    final k hits.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     carry = list(carry or [])
     spark = queries.sparkSession
     q = queries.select(q_id, q_vec).where(F.col(q_vec).isNotNull())
-    p = passages.select(p_id, p_vec, *[c for c in carry if c not in (p_id, p_vec)]).where(F.col(p_vec).isNotNull())
+    wanted, carry = carry, []
+    p = passages.select(p_id, p_vec).where(F.col(p_vec).isNotNull())
     schema = _out_schema(queries, passages, q_id, p_id, carry)
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(q_vec)).alias("d")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
@@ -177,5 +202,7 @@ def knn_topk(queries: DataFrame, passages: DataFrame, k: int = 20, metric: str =
         hits = qrep.groupBy("_qb", "_pb").cogroup(prep.groupBy("_qb", "_pb")).applyInPandas(pair, schema)
 
     w = Window.partitionBy("query_id").orderBy("score", "passage_id")
-    return (hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "passage_id", "score", "rank", *carry))
+    top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "passage_id", "score", "rank")
+    if wanted:
+        top = top.join(passages.select(F.col(p_id).alias("passage_id"), *[c for c in wanted if c != "passage_id"]), "passage_id")
+    return top.select("query_id", "passage_id", "score", "rank", *wanted)

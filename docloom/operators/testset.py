@@ -24,20 +24,26 @@ from docloom.session import materialize
 def keyphrases(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, min_k: int = 3) -> DataFrame:
     """Top-k terms per text by tf * ln(N / df) (ties by term), with a flag
     when fewer than ``min_k`` exist. tf and df are hash aggregates with
-    map-side combine; the tf/df join on a very common term is split by AQE's
-    skew-join handling; the top-k window gets a partial limit before its shuffle."""
+    map-side combine and written, so that AQE can split the join of a very
+    common term; the top-k window gets a partial limit before its shuffle. A
+    text without terms gives one row of nulls, flagged ``too_few``."""
     n_docs = df.select(id_col).count()
     t = df.select(id_col, F.explode_outer(terms(text_col)).alias("term")).where(F.col("term").isNotNull())
     # written once: otherwise Catalyst rebuilds the df branch from the raw text (second scan and explode)
     tf = materialize(t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")), "tf")
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # written too: against a table AQE can split a common term's partition, against an aggregate on the key it can't
+    dfreq = materialize(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
     scored = tf.join(dfreq, "term").withColumn(
         "score", F.round(F.col("tf") * F.log(F.lit(float(max(n_docs, 1))) / F.col("df")), 9))
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("term"))
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     cnt = Window.partitionBy(id_col)
-    return top.withColumn("too_few", F.count(F.lit(1)).over(cnt) < min_k).select(
+    found = top.withColumn("too_few", F.count(F.lit(1)).over(cnt) < min_k).select(
         id_col, F.col("rank").cast("int").alias("rank"), "term", "score", "too_few")
+    bare = df.where(F.coalesce(F.size(terms(text_col)), F.lit(0)) <= 0).select(
+        id_col, F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("term"),
+        F.lit(None).cast("double").alias("score"), F.lit(min_k > 0).alias("too_few"))
+    return found.unionByName(bare)
 
 
 SCORE_FIELDS = ("clarity", "depth", "structure", "relevance")
@@ -192,7 +198,7 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     collide = (not hash_payload) or uniq.where(F.size("hs") < F.size("ws")).limit(1).count() > 0
     payload = uniq.select("sk", F.col("ws" if collide else "hs").alias("ws"))
     tok = uniq.select("sk", F.explode("ws").alias("tok"))
-    freq = tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+    freq = materialize(tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f")), "token-counts")
     ranked = tok.join(freq, "tok").groupBy("sk").agg(
         F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("order"))     # one set's own tokens
     size = F.size("order")
@@ -201,7 +207,7 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
         .select("sk", "n", F.col("ft.tok").alias("tok"))
     pref = materialize(pref, "prefix")
     buckets = max(token_buckets, math.ceil(pref.count() / rows_per_task))
-    gsize = pref.groupBy("tok").agg(F.count(F.lit(1)).alias("g"))
+    gsize = materialize(pref.groupBy("tok").agg(F.count(F.lit(1)).alias("g")), "group-sizes")
     pref = pref.join(gsize, "tok").withColumn("nb", F.ceil(F.col("g") / block_rows).cast("int")) \
         .withColumn("blk", F.pmod(F.xxhash64("sk"), F.col("nb")).cast("int")) \
         .withColumn("tb", F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int"))
@@ -214,11 +220,11 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
         for a, b in zip(cand["a"], cand["b"]):
             n_a, w_a = sets_l[a]
             n_b, w_b = sets_r[b]
-            if min(n_a, n_b) < thr * max(n_a, n_b):
+            if min(n_a, n_b) < thr * max(n_a, n_b) - 1e-9:
                 continue
             inter = len(w_a & w_b)
             j = inter / (n_a + n_b - inter)
-            if j >= thr:
+            if inter >= thr * (n_a + n_b - inter) - 1e-9:
                 out_a.append(a); out_b.append(b); out_j.append(j)
         return pd.DataFrame({"sa": pd.Series(out_a, dtype="str"), "sb": pd.Series(out_b, dtype="str"),
                              "jaccard": pd.Series(out_j, dtype="float64")})
@@ -272,7 +278,7 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     wb = uniq.select(F.col("sk").alias("sb"), F.col("ws").alias("wb"))
     chk = cand.join(wa, "sa").join(wb, "sb").withColumn("_i", F.size(F.array_intersect("wa", "wb")))
     jac = F.col("_i") / (F.size("wa") + F.size("wb") - F.col("_i"))
-    pairs = chk.select("sa", "sb", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(thr))
+    pairs = chk.select("sa", "sb", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(thr - 1e-9))
     reps = sets.groupBy("sk").agg(F.min(id_col).alias("rep"))
     cross = (pairs.join(reps.withColumnRenamed("sk", "sa").withColumnRenamed("rep", "id_x"), "sa")
              .join(reps.withColumnRenamed("sk", "sb").withColumnRenamed("rep", "id_y"), "sb"))

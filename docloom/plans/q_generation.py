@@ -18,7 +18,7 @@ def _q(s: str) -> str:
 
 
 SEARCH_SIG = Signature(
-    instruction="Write a simple search query that will help answer a complex question.",
+    instruction="Given what has been found so far, state in a few words what to look for next.",
     inputs=[("context", "may contain relevant facts"), ("question", "")],
     output=("query", ""),
 )

@@ -68,14 +68,17 @@ def ship_package(spark: SparkSession) -> None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when none is configured (local tests)
-    fall back to a fresh scratch folder."""
+    ``spark.checkpoint.dir``. Where none is set, a local session gets a fresh
+    scratch folder; on a cluster that folder would not be shared, so it is an
+    error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="docloom-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -99,16 +102,17 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 # Tables whose rows carry CPU-heavy per-row work (text). Vector scans are numpy-vectorised per partition
 # and each partition emits k rows per query, so they are not spread.
+SPREAD_SPLITS = 8
 HEAVY_TABLES = {"documents", "conversations", "events", "pages"}
 
 
 def spread(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Round-robin repartition when the input has fewer partitions than the
-    cluster can run at once (e.g. one large row group); a no-op on big inputs,
-    whose scan already yields many splits, so no shuffle is added there."""
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(target)
+    """Round-robin repartition of an input that has a handful of splits only
+    (e.g. one file of one row group), so that its per-row work uses more than
+    one core. A table of ``SPREAD_SPLITS`` splits or more is never reshuffled,
+    however large the cluster is."""
+    if df.rdd.getNumPartitions() < SPREAD_SPLITS:
+        return df.repartition(SPREAD_SPLITS * factor)
     return df
 
 
@@ -122,7 +126,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never a
-    machine-local temp folder)."""
+    """A fresh folder under the checkpoint directory (see
+    :func:`ensure_checkpoint_dir`; on a cluster always the shared one)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "docloom-scratch", f"{name}-{uuid.uuid4().hex}")

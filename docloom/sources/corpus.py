@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,11 @@ PROMPT_SPEC_SCHEMA = T.StructType([
 ])
 
 
+def _percent_decode(c: Column) -> Column:
+    """Undo one level of percent escapes; a plus sign stays a plus sign."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def scan_text_corpus(spark: SparkSession, path: str, recursive: bool = True, name_dir: str | None = None) -> DataFrame:
     """One row per text file: ``(file, text)`` with the whole file as one value.
 
@@ -30,9 +35,10 @@ def scan_text_corpus(spark: SparkSession, path: str, recursive: bool = True, nam
     # keyword form: ``text()`` would otherwise pass its own wholetext=False over an option
     df = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive)
     if name_dir is None:
-        return df.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
-    name = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), f"/{name_dir}=([^/]+)/", 1))
-    return df.select(name.alias("file"), F.regexp_replace("value", "\n$", "").alias("text"))
+        return df.select(_percent_decode(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("text"))
+    # the writer escapes the name's odd characters in the folder name; the path is then URL-encoded as a whole
+    folder = _percent_decode(F.regexp_extract(F.col("_metadata.file_path"), f"/{name_dir}=([^/]+)/", 1))
+    return df.select(_percent_decode(folder).alias("file"), F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
 def scan_instruction_set(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = "train") -> DataFrame:
