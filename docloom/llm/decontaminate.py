@@ -212,5 +212,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without the rows that an item contaminates."""
     _, found = overlaps(docs, benchmark, id_col, text_col, **kw)
-    gone, _ = bounded(stage(found.select(F.col("rk").alias("_rk")).distinct(), "contaminated-keys"))
-    return docs.withColumn("_rk", row_key(id_col, text_col)).join(gone, "_rk", "left_anti").select(*docs.columns)
+    gone, _ = bounded(stage(found.select(F.col("rk").alias("_docloom_rk")).distinct(), "contaminated-keys"))
+    return docs.withColumn("_docloom_rk", row_key(id_col, text_col)).join(gone, "_docloom_rk", "left_anti").select(*docs.columns)

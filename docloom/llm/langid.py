@@ -199,8 +199,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     nothing; by default those whose id's crc32 leaves 0 modulo 5."""
     test = F.coalesce(remainder(id_col, 5) == 0 if held_out is None else held_out, F.lit(False))
     model = fit(docs.where(~test).select(id_col, text_col, lang_col), id_col, text_col, lang_col, **fit_kw)
-    p = docs.withColumn("held_out", test).withColumn("_p", predict(F.col(text_col), model, docs.sparkSession))
-    return p.withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score"), "n_langs": F.col("_p.n_langs")}).drop("_p")
+    p = docs.withColumn("held_out", test).withColumn("_docloom_p", predict(F.col(text_col), model, docs.sparkSession))
+    return p.withColumns({"lang_pred": F.col("_docloom_p.lang"), "score": F.col("_docloom_p.score"), "n_langs": F.col("_docloom_p.n_langs")}).drop("_docloom_p")
 
 
 __all__ = ["count_ngrams", "fit", "identify", "infer", "predict", "stage"]

@@ -232,13 +232,13 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """``docs`` with one row of every class, that of the smallest id (null
     last); of rows equal in id and text one stays."""
     name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"))
-    found = near_duplicates(docs.select(name.alias("_name"), F.col(text_col).alias("_text")), "_name", "_text", **kw)
-    per = stage(found.select(F.col("_name.rk").alias("_rk"), "kept").groupBy("_rk").agg(
+    found = near_duplicates(docs.select(name.alias("_docloom_name"), F.col(text_col).alias("_docloom_text")), "_docloom_name", "_docloom_text", **kw)
+    per = stage(found.select(F.col("_docloom_name.rk").alias("_docloom_rk"), "kept").groupBy("_docloom_rk").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("m")), "kept")
-    gone, _ = bounded(per.where("not kept").select("_rk"))
-    twice, _ = bounded(per.where("kept and m > 1").select("_rk"))
-    rest = docs.withColumn("_rk", row_key(id_col, text_col)).join(gone, "_rk", "left_anti")
+    gone, _ = bounded(per.where("not kept").select("_docloom_rk"))
+    twice, _ = bounded(per.where("kept and m > 1").select("_docloom_rk"))
+    rest = docs.withColumn("_docloom_rk", row_key(id_col, text_col)).join(gone, "_docloom_rk", "left_anti")
     if twice.isEmpty():
         return rest.select(*docs.columns)
-    once = rest.join(twice, "_rk", "left_anti")
-    return once.unionByName(rest.join(twice, "_rk", "left_semi").dropDuplicates(["_rk"])).select(*docs.columns)
+    once = rest.join(twice, "_docloom_rk", "left_anti")
+    return once.unionByName(rest.join(twice, "_docloom_rk", "left_semi").dropDuplicates(["_docloom_rk"])).select(*docs.columns)

@@ -15,13 +15,14 @@ from docloom.llm.langid import identify
 from docloom.llm.licenses import license_scan
 from docloom.llm.mixing import mix
 from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.oracles import ORACLES
 from docloom.llm.secrets import secrets
 from docloom.llm.substring_dedup import report
 from docloom.llm.toxicity import score_documents
 from docloom.llm.vector_dedup import vector_duplicates
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = dict(ORACLES)
 
 
 def query(fn):

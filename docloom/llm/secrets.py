@@ -178,19 +178,19 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     _, per = find_secrets(docs, id_col, text_col)
     n = per.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
     per = F.broadcast(per) if n <= BROADCAST_ROWS else per
-    joined = docs.withColumn("_rk", row_key(id_col, text_col)).join(
-        per.select(F.col("rk").alias("_rk"), F.col("spans").alias("_spans")), "_rk", "left")
-    merged = F.aggregate("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda a, s: F.when(
+    joined = docs.withColumn("_docloom_rk", row_key(id_col, text_col)).join(
+        per.select(F.col("rk").alias("_docloom_rk"), F.col("spans").alias("_docloom_spans")), "_docloom_rk", "left")
+    merged = F.aggregate("_docloom_spans", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda a, s: F.when(
         (F.size(a) > 0) & (s["start"] < F.element_at(a, -1)["end"]),
         F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(
             F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"))))).otherwise(
         F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
-    joined = joined.withColumn("_m", merged)
-    kept = F.transform(F.sequence(F.lit(0), F.size("_m")), lambda i: F.substring(
-        F.col(text_col), (F.coalesce(F.get("_m", i - 1)["end"], F.lit(0)) + 1).cast("int"),
-        F.coalesce(F.get("_m", i)["start"] - F.coalesce(F.get("_m", i - 1)["end"], F.lit(0)), F.lit(2147483647)).cast("int")))
-    changed = {text_col: F.when(F.col("_m").isNull(), F.col(text_col)).otherwise(F.array_join(kept, mark))}
+    joined = joined.withColumn("_docloom_m", merged)
+    kept = F.transform(F.sequence(F.lit(0), F.size("_docloom_m")), lambda i: F.substring(
+        F.col(text_col), (F.coalesce(F.get("_docloom_m", i - 1)["end"], F.lit(0)) + 1).cast("int"),
+        F.coalesce(F.get("_docloom_m", i)["start"] - F.coalesce(F.get("_docloom_m", i - 1)["end"], F.lit(0)), F.lit(2147483647)).cast("int")))
+    changed = {text_col: F.when(F.col("_docloom_m").isNull(), F.col(text_col)).otherwise(F.array_join(kept, mark))}
     if length_col in docs.columns:
-        changed[length_col] = F.when(F.col("_m").isNull(), F.col(length_col)).otherwise(
+        changed[length_col] = F.when(F.col("_docloom_m").isNull(), F.col(length_col)).otherwise(
             F.char_length(F.array_join(kept, mark))).cast(docs.schema[length_col].dataType)
     return joined.withColumns(changed).select(*docs.columns)
