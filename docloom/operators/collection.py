@@ -2,12 +2,13 @@
 
 A collection is a parquet folder ``root/name`` with the schema
 ``(chunk_id, embedding, text, metadata)``, stored as one sub-folder
-``part=<label>`` per add. Adding is insert-if-absent by ``chunk_id``:
-within a batch the least ``(doc_id, pos)`` wins, ids already stored are
-left untouched. Plain parquet has no transactions, so a collection has one
-writer at a time; each add writes a new part only, so a second ingest of
-the same input inserts 0 rows and a replayed stream batch rewrites only its
-own part.
+``part=<label>/prefix=<first character of the id>`` per add, so an add reads
+the stored ids of its own prefixes alone. Adding is insert-if-absent by
+``chunk_id``: within a batch the least ``(doc_id, pos)`` wins, ids already
+stored are left untouched. Plain parquet has no transactions, so a collection
+has one writer at a time; each add writes a new part only (a label that is
+there already is refused unless it is a retry of the same batch), so a second
+ingest of the same input inserts 0 rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import materialize
+
 COLLECTION_SCHEMA = T.StructType([
     T.StructField("chunk_id", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
@@ -34,20 +37,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def open_collection(spark: SparkSession, root: str, name: str, exclude_part: str | None = None) -> DataFrame:
+def open_collection(spark: SparkSession, root: str, name: str, exclude_part: str | None = None,
+                    with_prefix: bool = False) -> DataFrame:
     """Get or create a named collection; a second open never drops rows."""
     path = os.path.join(root, name)
     if not _exists(spark, path):
-        spark.createDataFrame([], COLLECTION_SCHEMA).write.mode("ignore").parquet(os.path.join(path, "part=init"))
-    df = spark.read.option("basePath", path).parquet(path)
+        spark.createDataFrame([], COLLECTION_SCHEMA).write.mode("ignore").parquet(os.path.join(path, "part=init", "prefix=none"))
+    stored = T.StructType([*COLLECTION_SCHEMA.fields, T.StructField("part", T.StringType()), T.StructField("prefix", T.StringType())])
+    df = spark.read.schema(stored).option("basePath", path).parquet(path)
     if exclude_part is not None:
         df = df.where(F.col("part") != exclude_part)
-    return df.select(*COLLECTION_SCHEMA.fieldNames())
+    return df.select(*COLLECTION_SCHEMA.fieldNames(), *(["prefix"] if with_prefix else []))
 
 
 def first_per_chunk(rows: DataFrame) -> DataFrame:
-    """One row per chunk id: the least (doc_id, pos). ``min_by`` is a hash
-    aggregate with map-side combine, so a chunk text repeated in a third of
+    """One row per chunk id: the least (doc_id, pos). ``min_by`` combines on
+    the map side (a sort aggregate), so a chunk text repeated in a third of
     all documents is reduced per partition before any shuffle."""
     payload = [c for c in rows.columns if c != "chunk_id"]
     best = rows.groupBy("chunk_id").agg(F.min_by(F.struct(*payload), F.struct("doc_id", "pos")).alias("_r"))
@@ -62,20 +67,38 @@ def to_collection_rows(chunks: DataFrame, metadata_cols: tuple[str, ...] = ("sou
 
 
 def new_rows(collection: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of a batch that the collection does not hold yet (batch-deduped)."""
-    first = first_per_chunk(rows)
-    return first.join(collection.select("chunk_id"), "chunk_id", "left_anti")
-
-
-def collection_add(spark: SparkSession, root: str, name: str, rows: DataFrame, part: str | None = None) -> int:
-    """Write the batch's new chunk ids as a new part; returns the number inserted.
-    With a fixed ``part`` label a retried add replaces only its own part."""
+    """Rows of a batch that the collection does not hold yet (batch-deduped).
+    Decided on ids alone, the payload is joined afterwards; ``collection`` has
+    a ``prefix`` column if it can be read by prefix."""
+    least = rows.groupBy("chunk_id").agg(F.min(F.struct("doc_id", "pos")).alias("_f"))
+    if "prefix" in collection.columns:
+        mine = [r[0] for r in rows.select(_prefix().alias("p")).distinct().collect()]       # at most one a character
+        collection = collection.where(F.col("prefix").isin(mine))
+    fresh = least.join(collection.select("chunk_id"), "chunk_id", "left_anti").select(
+        "chunk_id", F.col("_f.doc_id").alias("doc_id"), F.col("_f.pos").alias("pos"))
+    # one row an id even if a batch repeats (chunk_id, doc_id, pos): such rows are equal
+    return rows.join(fresh, ["chunk_id", "doc_id", "pos"], "left_semi").dropDuplicates(["chunk_id"])
+
+
+def _prefix():
+    return F.substring("chunk_id", 1, 1)
+
+
+def collection_add(spark: SparkSession, root: str, name: str, rows: DataFrame, part: str | None = None,
+                   retry: bool = False) -> int:
+    """Write the batch's new chunk ids as a new part; returns the number
+    inserted. A ``part`` label that is stored already is refused: it holds
+    other rows. ``retry=True`` says that it is the same batch again (a replayed
+    stream batch) and replaces that part."""
     part = part or uuid.uuid4().hex
-    coll = open_collection(spark, root, name, exclude_part=part)
-    fresh = new_rows(coll, rows).select(*COLLECTION_SCHEMA.fieldNames())
     target = os.path.join(root, name, f"part={part}")
-    fresh.write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target).count()
+    if not retry and _exists(spark, target):
+        raise ValueError(f"part {part!r} is stored already")
+    coll = open_collection(spark, root, name, exclude_part=part, with_prefix=True)
+    rows = materialize(rows, "batch")                     # embedded once; read for its ids, then for its payload
+    fresh = new_rows(coll, rows).select(*COLLECTION_SCHEMA.fieldNames(), _prefix().alias("prefix"))
+    fresh.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(target)
+    return spark.read.schema(COLLECTION_SCHEMA).parquet(target).count()
 
 
 def write_clean_text(df: DataFrame, path: str, stem_col: str = "stem", text_col: str = "text") -> None:
@@ -94,7 +117,9 @@ def publish_testset(df: DataFrame, path: str) -> None:
 
 def ingest_report(staged: DataFrame, reason_col: str = "fail_reason", chunks_col: str = "_chunks") -> DataFrame:
     """Totals from the document-level staging frame: files seen, failed,
-    chunks written (one pass, partial aggregates only)."""
+    chunks cut (one pass, partial aggregates only). ``chunks_written`` counts
+    the chunks of good documents before equal ids are joined; ``IngestResult.
+    inserted`` counts what the collection gained."""
     ok = F.col(reason_col).isNull()
     return staged.agg(
         F.count(F.lit(1)).alias("files_seen"),

@@ -64,17 +64,37 @@ def embed_texts(df: DataFrame, text_col: str = "text", out: str = "embedding", d
     return df.withColumn(out, embedder(F.col(text_col)))
 
 
-def model_embedder(load_model: Callable[[], Callable[[list], np.ndarray]]):
+def model_embedder(load_model: Callable[[], Callable[[list], np.ndarray]], keep_going: bool = False):
     """Wrap a model as an Arrow-batched pandas UDF. ``load_model`` runs once
-    per Python worker (cached), then each batch is one model call."""
+    per Python worker (cached), then each batch is one model call.
+    ``keep_going``: a batch that fails is tried text by text, and a text that
+    fails alone gets a null vector (:func:`ingest` reports its documents)."""
     cache: dict = {}
 
+    def call(texts: list) -> list:
+        vecs = np.asarray(cache["m"](texts), dtype=np.float32)
+        if len(vecs) != len(texts):
+            raise ValueError(f"{len(vecs)} vectors for {len(texts)} texts")
+        return list(vecs)
+
+    def one(text):
+        try:
+            return call([text])[0]
+        except Exception:  # noqa: BLE001 - the text's documents are reported
+            return None
+
     @F.pandas_udf("array<float>")
     def _embed(texts: pd.Series) -> pd.Series:
         if "m" not in cache:
             cache["m"] = load_model()
-        vecs = np.asarray(cache["m"](texts.fillna("").tolist()), dtype=np.float32)
-        return pd.Series(list(vecs))
+        batch = texts.fillna("").tolist()
+        try:
+            vecs = call(batch)
+        except Exception:  # noqa: BLE001
+            if not keep_going:
+                raise
+            vecs = [one(t) for t in batch]
+        return pd.Series(vecs, dtype=object)
 
     return _embed
 

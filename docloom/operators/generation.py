@@ -245,7 +245,7 @@ def request_log(df: DataFrame, prompt_col: str = "inputs", response_col: str = "
                 raw_kwargs_col: str = "params") -> DataFrame:
     """Rows to append to the request log: prompt, response, merged and raw settings."""
     return df.select("request_id", F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"),
-                     F.to_json(F.col(kwargs_col)).alias("kwargs"), F.to_json(F.col(raw_kwargs_col)).alias("raw_kwargs"))
+                     settings_json(F.col(kwargs_col)).alias("kwargs"), settings_json(F.col(raw_kwargs_col)).alias("raw_kwargs"))
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -55,10 +55,33 @@ def multi_hop_retrieve(questions: DataFrame, passages: DataFrame, max_hops: int
     return hits.select("query_id", "hop", "rank", "passage_id", "score", vec, *carry)
 
 
+#: (questions(query_id, question), hits so far or None, hop) -> (query_id, query)
+TextRewriter = Callable[[DataFrame, "DataFrame | None", int], DataFrame]
+
+
+def multi_hop_search(questions: DataFrame, passages: DataFrame, rewrite: TextRewriter,
+                     embed: Callable[[DataFrame], DataFrame], max_hops: int = 2, k: int = 20, metric: str = "l2sq",
+                     carry: tuple[str, ...] = ("text", "source"), **knn_kw) -> tuple[DataFrame, DataFrame]:
+    """Retrieval whose every hop, the first too, is searched with a text that
+    ``rewrite`` makes from the question and all passages found so far.
+
+    ``embed``: (query_id, query) -> (query_id, embedding). Returns the hits
+    (query_id, hop, rank, passage_id, score, *carry; repeats included) and the
+    last hop's queries (query_id, query). Queries and hits are written after
+    every hop, so a model behind ``rewrite`` runs once for each."""
+    hits = queries = None
+    for hop in range(1, max_hops + 1):
+        queries = materialize(rewrite(questions, hits, hop).select("query_id", "query"), "queries")
+        found = knn_topk(embed(queries), passages, k=k, metric=metric, carry=list(carry), **knn_kw)
+        found = materialize(found.withColumn("hop", F.lit(hop)), "hop")
+        hits = found if hits is None else hits.unionByName(found)
+    return hits.select("query_id", "hop", "rank", "passage_id", "score", *carry), queries
+
+
 def dedup_first(hits: DataFrame, key: str = "passage_id") -> DataFrame:
     """Drop repeated passages per query, keeping the first by (hop, rank).
 
-    A min over a struct is a hash aggregate with map-side combine, so even
+    A min over a struct combines on the map side (a sort aggregate), so even
     a passage repeated across many rows is reduced before the shuffle."""
     others = [c for c in hits.columns if c not in ("query_id", key, "hop", "rank")]
     first = hits.groupBy("query_id", key).agg(F.min(F.struct("hop", "rank", *others)).alias("_f"))

@@ -40,20 +40,44 @@ def passages_from_staged(staged: DataFrame, dim: int = 64, embedder=None) -> Dat
 
 
 def build_passages(corpus: DataFrame, budget: int = 510, dim: int = 64, label_mode: str = "suffix",
-                   embedder=None) -> DataFrame:
+                   embedder=None, cost=None) -> DataFrame:
     """(file, text) corpus -> passages(passage_id, doc_id, pos, text, source, embedding)."""
-    p = passages_from_staged(chunk_corpus(corpus, budget, label_mode=label_mode), dim, embedder)
+    p = passages_from_staged(chunk_corpus(corpus, budget, cost, label_mode), dim, embedder)
     return p.withColumnRenamed("chunk_id", "passage_id")
 
 
+EMBED_FAILED = "embedding failed"
+
+
+def good_and_failed(staged: DataFrame, dim: int = 64, embedder=None) -> tuple[DataFrame, DataFrame]:
+    """Collection rows of the documents that went through all steps, and
+    (file, reason) of those that didn't: a document fails as a whole, whether
+    it can't be chunked or one of its chunks can't be embedded. A chunk that a
+    good document shares with a failed one stays."""
+    failed = staged.where(F.col("fail_reason").isNotNull()).select("file", F.col("fail_reason").alias("reason"))
+    chunks = passages_from_staged(staged, dim, embedder)
+    if embedder is None:                                    # the built-in embedder has a vector for every text
+        return chunks, failed
+    chunks = materialize(chunks, "embedded")
+    bad = chunks.where(F.col("embedding").isNull()).select("chunk_id")
+    if bad.isEmpty():
+        return chunks, failed
+    ok, _ = split_failures(explode_chunks(staged))
+    cut = with_chunk_id(ok)
+    lost = cut.join(bad, "chunk_id", "left_semi").select("file").distinct()
+    whole = coll.first_per_chunk(cut.join(lost, "file", "left_anti").select("chunk_id", "doc_id", "pos", "text", "source"))
+    return (whole.join(chunks.select("chunk_id", "embedding"), "chunk_id"),
+            failed.unionByName(lost.select("file", F.lit(EMBED_FAILED).alias("reason"))))
+
+
 def ingest(corpus: DataFrame, root: str, name: str, quarantine: str | None = None, budget: int = 510,
-           dim: int = 64, label_mode: str = "suffix", embedder=None) -> IngestResult:
+           dim: int = 64, label_mode: str = "suffix", embedder=None, cost=None) -> IngestResult:
+    """Plug points: ``embedder`` (see :func:`embed_texts`) and ``cost`` (see :func:`stage_chunks`)."""
     spark = corpus.sparkSession
     coll.open_collection(spark, root, name)
-    staged = materialize(chunk_corpus(corpus, budget, label_mode=label_mode))
-    chunks = passages_from_staged(staged, dim, embedder)
+    staged = materialize(chunk_corpus(corpus, budget, cost, label_mode))
+    chunks, failed = good_and_failed(staged, dim, embedder)
     inserted = coll.collection_add(spark, root, name, coll.to_collection_rows(chunks))
-    failed = staged.where(F.col("fail_reason").isNotNull()).select("file", F.col("fail_reason").alias("reason"))
     if quarantine:
         coll.append_failures(failed, quarantine)
     return IngestResult(inserted, coll.ingest_report(staged), failed)

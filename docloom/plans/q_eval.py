@@ -11,8 +11,11 @@ from docloom.operators.collection import publish_testset
 from docloom.operators.chunk import chunk_documents
 from docloom.operators.clean import clean_text
 from docloom.plans.q_generation import VERDICT_SQL, _verdict_replies
-from docloom.plans.registry import register
-from docloom.plans.sqlparts import chunk_ctes, clean, l2sq
+from docloom.operators.knn import knn_topk
+from docloom.operators.retrieve import assemble_context
+from docloom.plans.rag import embed_questions
+from docloom.plans.registry import _passages, register
+from docloom.plans.sqlparts import chunk_ctes, clean, embed_ctes, l2sq, passages_ctes
 from docloom.session import read_table, scratch
 from docloom.sources import fixtures as FX
 
@@ -158,27 +161,35 @@ def q_rules(spark, sf):
 @register("seed_question_inputs", f"""WITH {KEYPHRASE_SQL},
 cd AS (SELECT doc_id, {clean('text')} AS text FROM documents), {chunk_ctes('cd', 'doc_id')}
 SELECT ck_out.doc_id, CAST(top.rank AS INTEGER) AS rank, top.term AS keyphrase, ck_out.text AS context
-FROM ck_out JOIN top USING (doc_id) WHERE ck_out.pos = 0""")
+  , ck_out.pos FROM ck_out JOIN top USING (doc_id)""")
 def q_seed_inputs(spark, sf):
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
     ch = chunk_documents(clean_text(d))
-    first = ch.where(F.col("pos") == 0).select("doc_id", F.col("text").alias("context"))
+    every = ch.where(F.col("pos").isNotNull()).select("doc_id", "pos", F.col("text").alias("context"))
     phrases = TS.keyphrases(d, "doc_id", "text", 5)
-    return TS.seed_question_inputs(first, phrases).select("doc_id", F.col("rank").cast("int").alias("rank"), "keyphrase", "context")
-
-
-@register("assemble_testset", f"""WITH {QUOTA_SQL}
-SELECT q.item_id, q.text AS question, {clean('d.text')} AS context, c.text AS ground_truth, q.evolution_type, d.source
-FROM qq q LEFT JOIN documents d ON d.doc_id = q.item_id LEFT JOIN conversations c ON c.conv_id = q.item_id AND c.turn = 1""")
+    return TS.seed_question_inputs(every, phrases).select("doc_id", F.col("rank").cast("int").alias("rank"), "keyphrase", "context", "pos")
+
+
+@register("assemble_testset", f"""WITH {QUOTA_SQL}, {passages_ctes()},
+tq AS (SELECT item_id AS query_id, 'query: ' || text AS qtext FROM qq),
+{embed_ctes('tq', 'query_id', 'qtext', 'te')},
+th AS (SELECT v.query_id, p.passage_id, p.text, p.source, round({l2sq('v.embedding', 'p.embedding')}, 9) AS score FROM te_vec v, psg p),
+tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, passage_id) AS rank FROM th QUALIFY rank <= 3),
+a AS (SELECT conv_id AS item_id, min(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT q.item_id, q.text AS question, CAST(r.rank AS INTEGER) AS ctx_pos, r.text AS context, c.text AS ground_truth, q.evolution_type, s.source
+FROM qq q JOIN tr r ON r.query_id = q.item_id JOIN tr s ON s.query_id = q.item_id AND s.rank = 1
+LEFT JOIN a ON a.item_id = q.item_id LEFT JOIN conversations c ON c.conv_id = a.item_id AND c.turn = a.turn AND c.role = 'assistant'""")
 def q_assemble_testset(spark, sf):
     b = read_table(spark, sf, "benchmark")
     qs = TS.evolution_quota(b, "item_id", 10).select("item_id", F.col("text").alias("question"), "evolution_type")
-    d = clean_text(read_table(spark, sf, "documents", ["doc_id", "text", "source"]))
-    ctx = d.select(F.col("doc_id").alias("item_id"), F.array("text").alias("contexts"), "source")
-    ans = read_table(spark, sf, "conversations").where(F.col("turn") == 1).select(F.col("conv_id").alias("item_id"),
-                                                                                   F.col("text").alias("ground_truth"))
-    t = TS.assemble_testset(qs, ctx, ans)
-    return t.select("item_id", "question", F.element_at("contexts", 1).alias("context"), "ground_truth", "evolution_type", "source")
+    # contexts: the three nearest passages of the question, in order; an answer: the first assistant turn of the conversation
+    hits = knn_topk(embed_questions(qs.withColumnRenamed("item_id", "query_id")), _passages(spark, sf), k=3, carry=["text", "source"])
+    ctx = assemble_context(hits, "text", ("rank",)).join(hits.where("rank = 1").select("query_id", "source"), "query_id")
+    c = read_table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    ans = c.groupBy(F.col("conv_id").alias("item_id")).agg(F.min_by("text", "turn").alias("ground_truth"))
+    t = TS.assemble_testset(qs, ctx.withColumnRenamed("query_id", "item_id"), ans)
+    return t.select("item_id", "question", F.posexplode("contexts").alias("p", "context"), "ground_truth", "evolution_type", "source").select(
+        "item_id", "question", (F.col("p") + 1).cast("int").alias("ctx_pos"), "context", "ground_truth", "evolution_type", "source")
 
 
 @register("publish_testset", f"""WITH {QUOTA_SQL}

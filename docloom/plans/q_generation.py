@@ -118,17 +118,24 @@ def q_batch_generate(spark, sf):
     return G.batch_generate(req).select("request_id", "raw", "error")
 
 
-@register("request_log", f"""WITH r AS (SELECT event_id AS request_id, concat_ws(' ', event_type, props) AS inputs, 1 + user_id % 3 AS n FROM events)
+@register("request_log", f"""WITH r AS (SELECT event_id AS request_id, concat_ws(' ', event_type, props) AS inputs, CAST(1 + user_id % 3 AS INTEGER) AS n,
+   value / 100 AS temperature, CAST((user_id % 4) * 0.25 AS DOUBLE) AS penalty FROM events)
 SELECT request_id, inputs AS prompt, {STUB_SQL} AS response,
   'best_of,details,do_sample,max_new_tokens,num_return_sequences,repetition_penalty,stop,temperature,top_p' AS kwargs_keys,
-  'frequency_penalty,max_tokens,model,n,temperature' AS raw_kwargs_keys FROM r""")
+  'frequency_penalty,max_tokens,model,n,temperature' AS raw_kwargs_keys, n AS raw_n, n AS best_of, n > 1 AS details, temperature AS raw_temperature,
+  greatest(0.1, temperature) AS temperature, 0.97::DOUBLE AS top_p, penalty AS raw_penalty, 1 - penalty AS penalty, 2 AS n_stop FROM r""")
 def q_request_log(spark, sf):
     rows, req = _requests(spark, sf)
     gen = G.batch_generate(req).join(rows.select("request_id", "params"), "request_id")
     log = G.request_log(gen)
     keys = lambda c: F.array_join(F.sort_array(F.map_keys(F.from_json(c, "map<string,string>"))), ",")
-    return log.select("request_id", "prompt", "response", keys("kwargs").alias("kwargs_keys"),
-                      keys("raw_kwargs").alias("raw_kwargs_keys"))
+    k = F.from_json("kwargs", "best_of int, details boolean, temperature double, top_p double, repetition_penalty double, stop array<string>",
+                    {"mode": "FAILFAST"})
+    raw = F.from_json("raw_kwargs", "n int, temperature double, frequency_penalty double", {"mode": "FAILFAST"})
+    return log.select("request_id", "prompt", "response", keys("kwargs").alias("kwargs_keys"), keys("raw_kwargs").alias("raw_kwargs_keys"),
+                      raw["n"].alias("raw_n"), k["best_of"].alias("best_of"), k["details"].alias("details"),
+                      raw["temperature"].alias("raw_temperature"), k["temperature"].alias("temperature"), k["top_p"].alias("top_p"),
+                      raw["frequency_penalty"].alias("raw_penalty"), k["repetition_penalty"].alias("penalty"), F.size(k["stop"]).alias("n_stop"))
 
 
 def _raw_completions(spark, sf):

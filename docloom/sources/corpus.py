@@ -51,7 +51,8 @@ def scan_instruction_set(spark: SparkSession, path: str, fmt: str = "parquet", s
     return df.select(*[F.col(c).cast("string") for c in INSTRUCTION_SCHEMA.fieldNames()])
 
 
-def scan_prompt_specs(spark: SparkSession, path: str) -> DataFrame:
-    """One multi-line JSON prompt spec per file; ``examples`` hold values of
-    mixed shape, read as MAP<STRING,STRING> (objects kept as JSON text)."""
-    return spark.read.schema(PROMPT_SPEC_SCHEMA).option("multiLine", True).json(path)
+def scan_prompt_specs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Prompt specs, one multi-line JSON document a file (or, with
+    ``multi_line=False``, one a line, for large sets); ``examples`` hold values
+    of mixed shape, read as MAP<STRING,STRING> (objects kept as JSON text)."""
+    return spark.read.schema(PROMPT_SPEC_SCHEMA).option("multiLine", multi_line).json(path)
