@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,5 +37,5 @@ def json_int(json_text, field: str) -> Column:
 
 def labelled_field(col, label: str) -> Column:
     """Text after ``Label:`` up to the next ``\\nWord:`` line or the end."""
-    lab = label[:1].upper() + label[1:]
+    lab = re.escape(label[:1].upper() + label[1:])
     return py_strip(F.regexp_extract(_c(col), rf"(?s){lab}:\s*(.*?)(?:\n\w+:|\z)", 1))

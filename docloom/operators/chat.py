@@ -66,7 +66,9 @@ def chat_event_expand(turns: DataFrame, sources: DataFrame | None = None, link_b
                           msg("bot", "end", F.lit(""))),
                   F.transform("_src", lambda s: F.struct(F.lit("bot").alias("sender"), F.lit("sources").alias("type"),
                                                          s.alias("message"),
-                                                         F.concat(F.lit(link_base), F.url_encode(s) if encode_links else s).alias("link"))))
+                                                         # a blank source has nothing to search for
+                                                         F.when(~s.rlike(r"^\s*$"), F.concat(
+                                                             F.lit(link_base), F.url_encode(s) if encode_links else s)).alias("link"))))
     err = F.array(*head, msg("bot", "error", F.lit(ERROR_TEXT)))
     events = F.when(F.col("answer").isNotNull(), ok).otherwise(err)
     out = qa.select("conv_id", "turn", F.posexplode_outer(events).alias("seq", "m"))

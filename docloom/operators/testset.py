@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from docloom.functions.ids import seeded_key
 from docloom.operators.embed import terms
 from docloom.operators.generation import parse_fenced_json
+from docloom.operators.ann import ann_topk
 from docloom.operators.knn import knn_topk
 from docloom.session import materialize
 
@@ -116,11 +117,17 @@ def evolution_quota(df: DataFrame, id_col: str, test_size: int = 10, shares: dic
     return pos.withColumn("evolution_type", expr).drop("_k")
 
 
-def multi_context_pairs(vectors: DataFrame, id_col: str = "passage_id", vec: str = "embedding", **knn_kw) -> DataFrame:
-    """Second context for each seed context: its nearest other vector."""
+def multi_context_pairs(vectors: DataFrame, id_col: str = "passage_id", vec: str = "embedding", index=None,
+                        nprobe: int = 4, **knn_kw) -> DataFrame:
+    """Second context for each seed context: its nearest other vector, exact,
+    or with a cell ``index`` of the vectors (RET-2) among the probed cells:
+    for large tables, where comparing all with all is not wanted."""
     q = vectors.select(F.col(id_col).alias("query_id"), vec)
     p = vectors.select(F.col(id_col).alias("passage_id"), vec)
-    nn = knn_topk(q, p, k=1, exclude_self=True, **knn_kw)
+    if index is not None:
+        nn = ann_topk(q, p, k=1, nprobe=nprobe, vec=vec, index=index, exclude_self=True, **knn_kw)
+    else:
+        nn = knn_topk(q, p, k=1, exclude_self=True, **knn_kw)
     return nn.select(F.col("query_id").alias("context1"), F.col("passage_id").alias("context2"), "score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import generation as G
 from docloom.operators import testset as TS
-from docloom.operators.ann import ann_topk
+from docloom.operators.ann import ann_topk, build_index
 from docloom.operators.knn import knn_topk
 from docloom.operators.prompts import signature_header
 from docloom.plans.q_generation import SAMPLES_SQL, _q, _requests
@@ -129,6 +129,14 @@ def q_ann_exact(spark, sf):
     return ann_topk(q, v, k=20, cells=16, nprobe=16).select("query_id", "passage_id", "rank", "score")
 
 
+@register("multi_context_pairs_index", f"""SELECT a.vec_id AS context1, b.vec_id AS context2, round({l2sq('a.embedding', 'b.embedding')}, 9) AS score
+FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY score, b.vec_id) = 1""")
+def q_pairs_index(spark, sf):
+    v = FX.vectors(spark, sf)
+    return TS.multi_context_pairs(v, index=build_index(v, cells=16), nprobe=16)
+
+
 EXTRA_ORACLES["question_near_dups_loose"] = EXTRA_ORACLES.get("question_near_dups", "").replace("0.8", "0.55")
 
 

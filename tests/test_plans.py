@@ -20,8 +20,20 @@ def test_text_queries_do_not_read_vectors_and_push_filters(spark):
     p = _plan(d)
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,fr)]" in p
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in p
+    labels = _plan(FX.vectors(spark, SF).where("label = 1").select("passage_id"))
+    assert "embedding" not in labels.split("ReadSchema:")[1].split("\n")[0] and "EqualTo(label,1)" in labels
 
 
+def test_only_ids_and_scores_go_through_the_top_k(spark):
+    v = FX.vectors(spark, SF).withColumn("text", F.lit("t"))
+    q = v.select(F.col("passage_id").alias("query_id"), "embedding")
+    p = _plan(knn_topk(q, v, k=5, carry=["text", "embedding"]))
+    window = p[p.index("WindowGroupLimit"):]
+    exchange = window[window.index("Exchange"):]
+    assert "Exchange hashpartitioning(query_id" in exchange
+    below = exchange.split("MapInPandas")[0]
+    assert "embedding" not in below and "text" not in below
+
 def test_knn_has_partial_topk_and_no_pair_join(spark):
     v = FX.vectors(spark, SF)
     q = v.select(F.col("passage_id").alias("query_id"), "embedding")
