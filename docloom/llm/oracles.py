@@ -26,16 +26,21 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT node AS vec_id, coalesce(max(n.n), 0) AS n_links, min(seen) AS component_id, node = min(seen) AS kept
 FROM r LEFT JOIN n ON n.vec_id = r.node GROUP BY node"""
 
-OP8 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines,
-             string_split({_FOLD}, chr(10)) AS folded FROM documents),
-u AS (SELECT doc_id, text, i, lines[i] AS line,
-        coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS start,
-        {_WORDS.format('folded[i]')} AS w FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM t)),
-k AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, start) AS nth FROM u WHERE len(w) >= 8),
-p AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (nth > 1) AS n_removed, sum(length(line)) FILTER (nth > 1) AS gone,
-        string_agg(CAST(start AS VARCHAR) || ':' || CAST(start + length(line) AS VARCHAR), ',' ORDER BY start) FILTER (nth > 1) AS spans
-      FROM k GROUP BY doc_id)
+# a unit ends before a newline (kept here as chr(2)) or after a stop before a blank; pieces cover the whole text
+_PIECES = r"string_split(replace(regexp_replace({}, '([.!?])([ \t])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(2) || chr(1)), chr(1))"
+OP8 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_PIECES.format("coalesce(text, '')")} AS parts,
+             {_PIECES.format(_FOLD)} AS folded FROM documents),
+u AS (SELECT doc_id, coalesce(list_sum(list_transform(parts[1:j - 1], lambda x: length(x))), 0)::BIGINT AS start,
+        length(parts[j]) - CAST(ends_with(parts[j], chr(2)) AS INTEGER) AS n,
+        {_WORDS.format('folded[j]')} AS w FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS j FROM t)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i,
+        row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, start) AS nth FROM u WHERE len(w) >= 5),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM k WHERE nth > 1),
+g AS (SELECT doc_id, min(start) AS a, max(start + n) AS b FROM r GROUP BY doc_id, run HAVING sum(len(w)) >= 25),
+p AS (SELECT doc_id, count(*) AS n_removed, sum(b - a) AS gone, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM g GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_units FROM k GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(n_units, 0) AS INTEGER) AS n_units, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
-  CAST(length(t.text) - coalesce(gone, 0) AS BIGINT) AS kept_chars, coalesce(spans, '') AS spans FROM t LEFT JOIN p USING (doc_id)"""
+  CAST(length(t.text) - coalesce(gone, 0) AS BIGINT) AS kept_chars, coalesce(spans, '') AS spans
+FROM t LEFT JOIN p USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 ORACLES = {"op5_minhash_near_dedup": OP5, "op7_embedding_near_dedup": OP7, "op8_substring_dedup": OP8}

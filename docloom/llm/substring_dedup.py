@@ -1,11 +1,15 @@
-"""Repeated lines or paragraphs removed by global hashing.
-
-A text's units (lines, or paragraphs between blank lines) are normalised to
-their word sequences and hashed to 128 bits. Digests are grouped over the
-whole table; the occurrence ranked first (by id, null last, then row, then
-place) stays, all others are removed, and what is removed is reported as spans
-of code points in the original text. Units of fewer than ``min_words`` words
-say too little to be a repetition and always stay.
+"""Repeated passages removed by global hashing of lines, paragraphs or the
+sentences in lines.
+
+A text's units are normalised to their word sequences and hashed to 128 bits.
+Digests are grouped over the whole table; the occurrence ranked first (by id,
+null last, then row, then place) stays. Other occurrences are repetitions, and
+runs of repeated units that follow each other are removed if they have
+``least`` words in all; what is removed is reported as spans of code points
+in the original text. Shorter repetitions (greetings, common lines) stay, and
+units of fewer than ``min_words`` words are not judged: one between two units
+of a run goes with it. The default unit is the sentence within a line, since a
+repeated passage need not start where a line starts.
 
 A digest that stands in a large part of all rows is aggregated before the
 shuffle, and its occurrences are joined back with a written table, a join that
@@ -21,37 +25,45 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import words as W
 from docloom.llm.common import python_ready, stage
 
-MIN_WORDS = 8
+MIN_WORDS = 5
+LEAST = 25
 _ROW = pa.struct([("n_chars", pa.int64()), ("k1", pa.list_(pa.int64())), ("k2", pa.list_(pa.int64())),
-                  ("start", pa.list_(pa.int32())), ("end", pa.list_(pa.int32()))])
-_DDL = "struct<n_chars:bigint,k1:array<bigint>,k2:array<bigint>,start:array<int>,end:array<int>>"
+                  ("start", pa.list_(pa.int32())), ("end", pa.list_(pa.int32())), ("words", pa.list_(pa.int32()))])
+_DDL = "struct<n_chars:bigint,k1:array<bigint>,k2:array<bigint>,start:array<int>,end:array<int>,words:array<int>>"
 
 
-def _unit_bounds(data: np.ndarray, off: np.ndarray, paragraphs: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Byte bounds of all units of a slice of texts."""
+def _unit_bounds(data: np.ndarray, off: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """Byte bounds of all units of a slice of texts: between newlines; for
+    paragraphs between blank lines; for sentences also after a full stop,
+    exclamation or question mark before white space."""
     newline = np.flatnonzero(data == 10)
-    if paragraphs and len(newline):                        # a newline whose next non-blank byte is a newline too
+    if unit == "paragraph" and len(newline):               # a newline with none but blanks up to another newline
         solid = np.flatnonzero((data != 10) & (data != 32) & (data != 9) & (data != 13))
         before = np.searchsorted(solid, newline)
         newline = newline[np.append(before[1:] == before[:-1], False) | np.append(False, before[1:] == before[:-1])]
-    start = np.concatenate([off[:-1], newline + 1])
-    end = np.concatenate([off[1:], newline])
-    return np.sort(start), np.sort(end)
+    start, end = [off[:-1], newline + 1], [off[1:], newline]
+    if unit == "sentence" and len(data) > 1:
+        stop = (data[:-1] == 0x2E) | (data[:-1] == 0x21) | (data[:-1] == 0x3F)
+        cut = np.flatnonzero(stop & ((data[1:] == 32) | (data[1:] == 9))) + 1
+        cut = cut[~np.isin(cut, off)]                      # a text's end is a bound already
+        start.append(cut)
+        end.append(cut)
+    return np.sort(np.concatenate(start)), np.sort(np.concatenate(end))
 
 
-def _units_udf(min_words: int, paragraphs: bool):
+def _units_udf(min_words: int, unit: str):
     @F.arrow_udf(_DDL)
     def units(text: pa.Array) -> pa.Array:
         out = []
         for part in W.slices(text):
             w = W.Words(part)
-            start, end = _unit_bounds(w.data, w.off, paragraphs)
+            start, end = _unit_bounds(w.data, w.off, unit)
             a, b = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
             doc = np.searchsorted(w.off, start, "right") - 1
             empty = start >= end
@@ -72,28 +84,32 @@ def _units_udf(min_words: int, paragraphs: bool):
             out.append(pa.StructArray.from_arrays(
                 [pa.array(np.diff(chars[w.off])), W.lists(keys[0], per, pa.int64()), W.lists(keys[1], per, pa.int64()),
                  W.lists((chars[start] - base).astype(np.int32), per, pa.int32()),
-                 W.lists((chars[end] - base).astype(np.int32), per, pa.int32())], fields=list(_ROW)))
+                 W.lists((chars[end] - base).astype(np.int32), per, pa.int32()), W.lists((b - a).astype(np.int32), per, pa.int32())],
+                fields=list(_ROW)))
         return pa.concat_arrays(out) if out else pa.array([], _ROW)
 
     return units
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                   paragraphs: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence",
+                   min_words: int = MIN_WORDS, least: int = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: id, the columns in ``keep``, n_chars,
     n_units (units long enough to be judged) and ``removed``, an array of
     (start, end) in order of place."""
     python_ready(docs)
     base = stage(docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_k_{c}") for c in keep],
-                             _units_udf(min_words, paragraphs)(text_col).alias("s"))
+                             _units_udf(min_words, unit)(text_col).alias("s"))
                  .select("*", "s.*").drop("s").withColumn("_row", F.monotonically_increasing_id()), "units")
-    units = base.where(F.size("k1") > 0).select(
-        "_id", "_row", F.explode(F.arrays_zip("k1", "k2", "start", "end")).alias("u")).select("_id", "_row", "u.*")
-    rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("start").alias("s"))
+    units = base.where(F.size("k1") > 0).select("_id", "_row", F.posexplode(F.arrays_zip("k1", "k2", "start", "end", "words")).alias(
+        "i", "u")).select("_id", "_row", "i", "u.*")
+    rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_row").alias("r"), F.col("i").alias("i"))
     first = stage(units.groupBy("k1", "k2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("m"))
-                  .where("m > 1").select("k1", "k2", F.col("first.r").alias("r"), F.col("first.s").alias("s")), "repeated")
-    gone = units.join(first, ["k1", "k2"]).where("not (_row = r and start = s)").groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))        # the units of one text
+                  .where("m > 1").select("k1", "k2", F.col("first.r").alias("r"), F.col("first.i").alias("f")), "repeated")
+    again = units.join(first, ["k1", "k2"]).where("not (_row = r and i = f)").select("_row", "i", "start", "end", "words")
+    run = F.col("i") - F.row_number().over(Window.partitionBy("_row").orderBy("i"))          # the units of one text
+    gone = again.withColumn("run", run).groupBy("_row", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words")).where(F.col("words") >= least).groupBy(
+        "_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return base.join(gone, "_row", "left").select(
         F.col("_id").alias(id_col), *[F.col(f"_k_{c}").alias(c) for c in keep], F.coalesce("n_chars", F.lit(0)).alias("n_chars"),
@@ -111,8 +127,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` with the repeated units cut out of the text (line ends stay)
-    and ``removed``, the spans in the original text."""
+    """``docs`` with the repeated passages cut out of the text and
+    ``removed``, their spans in the original text."""
     r = repeated_units(docs, id_col, text_col, keep=tuple(c for c in docs.columns if c != id_col), **kw)
     kept = F.transform(F.sequence(F.lit(0), F.size("removed")), lambda i: F.substring(
         F.col(text_col), F.coalesce(F.get("removed", i - 1)["end"], F.lit(0)) + 1,

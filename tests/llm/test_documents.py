@@ -233,19 +233,34 @@ def test_repeated_lines_odd_rows_and_round_trip(spark, odd_docs, no_docs):
     long_line = "this line has more than eight words in it for sure"
     d = spark.createDataFrame([(2, f"x\n{long_line}\nü end"), (1, f"{long_line.upper()}!\nown words here"), (None, long_line),
                                (3, f"{long_line}\n{long_line}")], "doc_id bigint, text string").withColumn("start", F.lit(0))
-    out = {r.doc_id: r for r in substring_dedup.report(d).collect()}
+    out = {r.doc_id: r for r in substring_dedup.report(d, unit="line", least=1).collect()}
     n = len(long_line)
-    assert out[1].spans == "" and out[2].spans == f"2:{2 + n}" and out[3].spans == f"0:{n},{n + 1}:{2 * n + 1}" and out[None].spans == f"0:{n}"
-    cut = {r.doc_id: r for r in substring_dedup.without_repeats(d).collect()}
-    assert cut[2].text == "x\n\nü end" and cut[3].text == "\n" and cut[2].start == 0
-    odd = substring_dedup.report(odd_docs).collect()
+    assert out[1].spans == "" and out[2].spans == f"2:{2 + n}" and out[3].spans == f"0:{2 * n + 1}" and out[None].spans == f"0:{n}"
+    cut = {r.doc_id: r for r in substring_dedup.without_repeats(d, unit="line", least=1).collect()}
+    assert cut[2].text == "x\n\nü end" and cut[3].text == "" and cut[2].start == 0
+    odd = substring_dedup.report(odd_docs, least=10).collect()
     assert len(odd) == N and sum(r.n_removed for r in odd) == 3        # four rows of one line: one stays
     assert substring_dedup.report(no_docs).count() == 0
     pars = substring_dedup.report(spark.createDataFrame(
-        [(1, f"a b\n{long_line}\n\n{long_line}"), (2, f"{long_line}\n \nz")], "doc_id bigint, text string"), paragraphs=True).collect()
+        [(1, f"a b\n{long_line}\n\n{long_line}"), (2, f"{long_line}\n \nz")], "doc_id bigint, text string"), unit="paragraph", least=1).collect()
     assert {r.doc_id: r.n_removed for r in pars} == {1: 0, 2: 1}
 
 
+def test_passages_inside_lines_are_found_and_short_repetitions_stay(spark):
+    rng = np.random.default_rng(9)
+    some = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10 ** 9, n))
+    passage = ". ".join(some(14) for _ in range(4)) + "."
+    rows = [(i, f"{some(30)}, {passage} {some(20)}\n{some(12)}") for i in range(5)] + [(9, f"common line of seven words stays here\n{some(40)}") for _ in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r for r in substring_dedup.report(df.where("doc_id < 9")).collect()}
+    assert out[0].n_removed == 0 and all(out[i].n_removed == 1 for i in range(1, 5))
+    text = dict(rows)
+    for i in range(1, 5):
+        a, b = map(int, out[i].spans.split(":"))
+        assert text[i][a:b].strip() == passage[passage.index(". ") + 2:]
+    assert sum(r.n_removed for r in substring_dedup.report(df.where("doc_id = 9")).collect()) == 0
+
+
 # ---------------------------------------------------------------- benchmark
 def test_contamination_equals_whole_item_search(spark, docs, odd_docs, no_docs):
     items = {r.item_id: words(r.text) for r in table(spark, SF, "benchmark").collect()}
