@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.ids import md5_bucket32, seeded_key
+from docloom.session import materialize
 from docloom.functions.text import py_strip
 
 # Prompt templates of the instruction data (inner lines carry
@@ -84,9 +85,9 @@ def train_test_split(df: DataFrame, id_col: str, frac: float = 0.01, seed: int =
     if mode != "exact":
         raise ValueError(f"unknown mode {mode!r}")
     k = df.withColumn("_key", key)
-    n = k.count()
-    n_test = math.ceil(frac * n)
-    cut = _kth_key(k, n_test)
+    keys = materialize(k.select("_key"), "split-keys")    # the input runs once for the cut, then for the split
+    n_test = math.ceil(frac * keys.count())
+    cut = _kth_key(keys, n_test)
     split = F.when(F.lit(cut).isNotNull() & (F.col("_key") <= F.lit(cut)), "test").otherwise("train")
     return k.withColumn("split", split).drop("_key")
 

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.functions.ids import seeded_key
 from docloom.operators.embed import terms
@@ -171,7 +169,6 @@ def word_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text", t: float = 0.8,
-                       block_rows: int = 512, token_buckets: int = 64, rows_per_task: int = 200_000,
                        hash_payload: bool = True) -> DataFrame:
     """Near-duplicate graph ``(id_a, id_b, jaccard)``, exact for Jaccard >= t.
 
@@ -180,116 +177,43 @@ def question_near_dups(df: DataFrame, id_col: str = "id", text_col: str = "text"
     copies costs rows linear in its size; distinct sets that reach t give
     ``(rep_a < rep_b, jaccard)``. Clusters follow by connected components.
 
-    1. identical word sets are grouped first;
-    2. distinct sets emit their prefix tokens (global order: rare first); two
-       sets can reach t only if their prefixes share a token (prefix filter),
-       and only if their sizes are within t of each other (length filter);
-    3. prefix-token groups that fit one block (``block_rows``) are verified
-       per hash bucket of tokens in one grouped pass; larger groups are cut
-       into blocks and every (left block, right block) pair is one task. A
-       task forms the candidates sharing a token in pandas, verifies them and
-       emits only pairs that reach t: a hot token never yields one huge task
-       nor a row per candidate pair. The number of token buckets grows with
-       the prefix rows (``rows_per_task``), so tasks stay bounded;
-    4. the set shipped with each prefix row is the sorted 64-bit hashes of its
-       words (compact, fast to intersect), not the words. Hashing can only
-       hide a true pair if two words of one set share a hash; that is checked
-       globally first (strings are shipped instead if it ever happens), and
-       every emitted pair is re-verified exactly on the words.
+    1. identical word sets are grouped first and numbered;
+    2. distinct sets emit their prefix tokens (global order: rare first) as
+       narrow rows (token hash, set number, size, place); two sets can reach t
+       only if their prefixes share a token, their sizes are within t of each
+       other, and the places of the shared token leave room for the overlap;
+    3. prefix rows are joined on the token as a written table, a join that
+       Spark can split where a token is common; candidates are reduced to
+       distinct pairs of numbers before any word travels;
+    4. the words of candidate pairs are fetched by two joins and compared
+       exactly. Token hashes only propose candidates: equal words have equal
+       hashes, so no pair is lost, and a collision costs one comparison
+       (``hash_payload=False``: the words themselves travel).
     """
     ws = word_sets(df, id_col, text_col).where(F.size("ws") > 0)
-    sets = ws.withColumn("sk", F.md5(F.array_join("ws", "\u0001")))
-    uniq = sets.groupBy("sk").agg(F.first("ws").alias("ws"))
-    uniq = uniq.withColumn("hs", F.array_sort(F.array_distinct(F.transform("ws", lambda w: F.xxhash64(w)))))
-    uniq = materialize(uniq, "word-sets")
-    collide = (not hash_payload) or uniq.where(F.size("hs") < F.size("ws")).limit(1).count() > 0
-    payload = uniq.select("sk", F.col("ws" if collide else "hs").alias("ws"))
-    tok = uniq.select("sk", F.explode("ws").alias("tok"))
-    freq = materialize(tok.groupBy("tok").agg(F.count(F.lit(1)).alias("f")), "token-counts")
-    ranked = tok.join(freq, "tok").groupBy("sk").agg(
-        F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("order"))     # one set's own tokens
+    sets = materialize(ws.withColumn("sk", F.md5(F.array_join("ws", "\u0001"))), "word-sets")
+    uniq = materialize(sets.groupBy("sk").agg(F.first("ws").alias("ws"), F.min(id_col).alias("rep"))
+                       .withColumn("nr", F.monotonically_increasing_id()), "distinct-sets")
+    tok = uniq.select("nr", F.explode(F.transform("ws", lambda w: F.xxhash64(w)) if hash_payload else F.col("ws")).alias("h"))
+    freq = materialize(tok.groupBy("h").agg(F.count(F.lit(1)).alias("f")), "token-counts")
+    ranked = tok.join(freq, "h").groupBy("nr").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("order"))   # one set's tokens
     size = F.size("order")
     plen = size - F.ceil(F.lit(t) * size - F.lit(1e-9)) + 1      # guard against float error making the prefix short
-    pref = ranked.select("sk", size.alias("n"), F.posexplode(F.slice("order", 1, plen)).alias("pi", "ft")) \
-        .select("sk", "n", F.col("ft.tok").alias("tok"))
-    pref = materialize(pref, "prefix")
-    buckets = max(token_buckets, math.ceil(pref.count() / rows_per_task))
-    gsize = materialize(pref.groupBy("tok").agg(F.count(F.lit(1)).alias("g")), "group-sizes")
-    pref = pref.join(gsize, "tok").withColumn("nb", F.ceil(F.col("g") / block_rows).cast("int")) \
-        .withColumn("blk", F.pmod(F.xxhash64("sk"), F.col("nb")).cast("int")) \
-        .withColumn("tb", F.pmod(F.xxhash64("tok"), F.lit(buckets)).cast("int"))
-    schema = T.StructType([T.StructField("sa", T.StringType()), T.StructField("sb", T.StringType()),
-                           T.StructField("jaccard", T.DoubleType())])
-    thr = float(t)
-
-    def _check(cand: pd.DataFrame, sets_l: dict, sets_r: dict) -> pd.DataFrame:
-        out_a, out_b, out_j = [], [], []
-        for a, b in zip(cand["a"], cand["b"]):
-            n_a, w_a = sets_l[a]
-            n_b, w_b = sets_r[b]
-            if min(n_a, n_b) < thr * max(n_a, n_b) - 1e-9:
-                continue
-            inter = len(w_a & w_b)
-            j = inter / (n_a + n_b - inter)
-            if inter >= thr * (n_a + n_b - inter) - 1e-9:
-                out_a.append(a); out_b.append(b); out_j.append(j)
-        return pd.DataFrame({"sa": pd.Series(out_a, dtype="str"), "sb": pd.Series(out_b, dtype="str"),
-                             "jaccard": pd.Series(out_j, dtype="float64")})
-
-    def _sets(keys, ns, wss, wanted) -> dict:
-        out = {}
-        for k, n, w in zip(keys, ns, wss):
-            if k in wanted and k not in out:
-                out[k] = (n, set(w))
-        return out
-
-    def verify_self(g: pd.DataFrame) -> pd.DataFrame:
-        """Tokens whose group fits one block: candidates are the members of a
-        token paired among themselves, all inside this task. Rows are one per
-        (bucket, set) with that set's prefix tokens in the bucket."""
-        toks = g[["sk", "toks"]].explode("toks").rename(columns={"toks": "tok"})
-        cand = toks.merge(toks, on="tok", suffixes=("_a", "_b"))
-        cand = cand[cand["sk_a"] < cand["sk_b"]][["sk_a", "sk_b"]].drop_duplicates()
-        cand.columns = ["a", "b"]
-        if not len(cand):
-            return _check(cand, {}, {})
-        st = _sets(g["sk"], g["n"], g["ws"], set(cand["a"]) | set(cand["b"]))
-        return _check(cand, st, st)
-
-    def verify_pair(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        """A large token group: one (left block, right block) pair per task."""
-        if not len(l) or not len(r):
-            return _check(pd.DataFrame({"a": [], "b": []}), {}, {})
-        cand = l[["tok", "sk"]].merge(r[["tok", "r_sk"]], on="tok")
-        cand = cand[cand["sk"] < cand["r_sk"]][["sk", "r_sk"]].drop_duplicates()
-        cand.columns = ["a", "b"]
-        return _check(cand, _sets(l["sk"], l["n"], l["ws"], set(cand["a"])),
-                      _sets(r["r_sk"], r["r_n"], r["r_ws"], set(cand["b"])))
-
-    # one row per (bucket, set): the set's words travel once per bucket, not once per prefix token
-    small = (pref.where(F.col("nb") == 1).groupBy("tb", "sk")
-             .agg(F.collect_list("tok").alias("toks"), F.first("n").alias("n")).join(payload, "sk"))
-    pairs_small = small.groupBy("tb").applyInPandas(verify_self, schema)
-    big = pref.where(F.col("nb") > 1).join(payload, "sk")
-    left = big.withColumn("bj", F.explode(F.sequence(F.col("blk"), F.col("nb") - 1))).withColumnRenamed("blk", "bi")
-    right = big.withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("blk")))).withColumnRenamed("blk", "bj")
-    cols = ["tb", "tok", "bi", "bj", "sk", "n", "ws"]
-    keys = ("tb", "tok", "bi", "bj")
-    # the two sides come from one frame: rename one side so the cogroup is not an ambiguous self-join
-    right = right.select(*[F.col(c).alias(c if c in keys else "r_" + c) for c in cols])
-    pairs_big = left.select(*cols).groupBy("tb", "bi", "bj").cogroup(right.groupBy("tb", "bi", "bj")) \
-        .applyInPandas(verify_pair, schema)
-    cand = pairs_small.unionByName(pairs_big).select("sa", "sb").dropDuplicates(["sa", "sb"])
-    # exact re-check on the words (the emitted pairs are few: results plus any hash false positives)
-    wa = uniq.select(F.col("sk").alias("sa"), F.col("ws").alias("wa"))
-    wb = uniq.select(F.col("sk").alias("sb"), F.col("ws").alias("wb"))
-    chk = cand.join(wa, "sa").join(wb, "sb").withColumn("_i", F.size(F.array_intersect("wa", "wb")))
-    jac = F.col("_i") / (F.size("wa") + F.size("wb") - F.col("_i"))
-    pairs = chk.select("sa", "sb", jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(thr - 1e-9))
-    reps = sets.groupBy("sk").agg(F.min(id_col).alias("rep"))
-    cross = (pairs.join(reps.withColumnRenamed("sk", "sa").withColumnRenamed("rep", "id_x"), "sa")
-             .join(reps.withColumnRenamed("sk", "sb").withColumnRenamed("rep", "id_y"), "sb"))
-    cross = cross.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"), "jaccard")
-    copies = (sets.join(reps, "sk").where(F.col(id_col) != F.col("rep"))
+    pref = materialize(ranked.select("nr", size.alias("n"), F.posexplode(F.slice("order", 1, plen)).alias("i", "ft"))
+                       .select(F.col("ft.h").alias("h"), "nr", "n", "i"), "prefix")
+    other = pref.select("h", F.col("nr").alias("b"), F.col("n").alias("nb"), F.col("i").alias("j"))
+    overlap = F.least("i", "j") + 1 + F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("j")) - 1     # most words in common
+    cand = (pref.withColumnRenamed("nr", "a").join(other, "h")
+            .where((F.col("a") < F.col("b")) & (F.least("n", "nb") >= t * F.greatest("n", "nb") - 1e-9)
+                   & (overlap * (1 + t) >= t * (F.col("n") + F.col("nb")) - 1e-6)).select("a", "b").distinct())
+    cand = materialize(cand, "candidates")
+    left = uniq.select(F.col("nr").alias("a"), F.col("ws").alias("wa"), F.col("rep").alias("id_x"))
+    right = uniq.select(F.col("nr").alias("b"), F.col("ws").alias("wb"), F.col("rep").alias("id_y"))
+    both = cand.join(left, "a").join(right, "b").select("id_x", "id_y", F.size("wa").alias("na"), F.size("wb").alias("nb"),
+                                                        F.size(F.array_intersect("wa", "wb")).alias("c"))
+    near = both.where(F.col("c") >= t * (F.col("na") + F.col("nb") - F.col("c")) - 1e-9)
+    cross = near.select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"),
+                        (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jaccard"))
+    copies = (sets.join(uniq.select("sk", "rep"), "sk").where(F.col(id_col) != F.col("rep"))
               .select(F.col("rep").alias("id_a"), F.col(id_col).alias("id_b"), F.lit(1.0).alias("jaccard")))
     return cross.unionByName(copies).withColumn("jaccard", F.round("jaccard", 6))

@@ -195,7 +195,7 @@ def test_near_dups_against_brute_force(spark):
     texts = ["the cat sat on the mat", "the cat sat on a mat", "the cat sat on the mat", "dogs bark loudly at night",
              "dogs bark loudly at night today", "completely different words here", "the cat sat on the mat"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = sorted(tuple(r) for r in TS.question_near_dups(df, "id", "text", 0.7, block_rows=2).collect())
+    got = sorted(tuple(r) for r in TS.question_near_dups(df, "id", "text", 0.7).collect())
     strings = sorted(tuple(r) for r in TS.question_near_dups(df, "id", "text", 0.7, hash_payload=False).collect())
     assert got == strings
     sets = [set(t.split()) for t in texts]
