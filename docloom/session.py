@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,9 +99,29 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "docloom-stages", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
+    if getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
     return spark.read.parquet(path)
 
 
+_SCOPE = threading.local()
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """The tables that :func:`materialize` writes inside are deleted at the
+    end. For work that ends in a write (a micro-batch): whatever was made
+    lazily from those tables must have been written by then."""
+    outer, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
+    try:
+        yield
+    finally:
+        made, _SCOPE.paths = _SCOPE.paths, outer
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # Tables whose rows carry CPU-heavy per-row work (text). Vector scans are numpy-vectorised per partition
 # and each partition emits k rows per query, so they are not spread.
 SPREAD_SPLITS = 8

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from docloom.operators import collection as coll
 from docloom.plans.ingest import chunk_corpus, good_and_failed
 from docloom.plans.rag import answer_events, rag_answer, rag_retrieve
-from docloom.session import materialize
+from docloom.session import materialize, stage_scope
 
 CORPUS_SCHEMA = T.StructType([T.StructField("file", T.StringType()), T.StructField("text", T.StringType())])
 
@@ -43,11 +43,12 @@ def stream_ingest(spark: SparkSession, source_dir: str, root: str, name: str, ch
 
     def each(batch: DataFrame, batch_id: int) -> None:
         part = f"stream-{label}-{batch_id}"
-        staged = materialize(chunk_corpus(batch, budget, cost), "stream-staged")
-        chunks, failed = good_and_failed(staged, dim, embedder)
-        if quarantine:
-            failed.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch={part}"))
-        coll.collection_add(spark, root, name, coll.to_collection_rows(chunks), part=part, retry=True)
+        with stage_scope(spark):
+            staged = materialize(chunk_corpus(batch, budget, cost), "stream-staged")
+            chunks, failed = good_and_failed(staged, dim, embedder)
+            if quarantine:
+                failed.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch={part}"))
+            coll.collection_add(spark, root, name, coll.to_collection_rows(chunks), part=part, retry=True)
 
     q = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -72,8 +73,9 @@ def stream_rag_query(spark: SparkSession, questions_dir: str, passages: DataFram
     src = spark.readStream.schema(schema).parquet(questions_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        out = rag_retrieve(batch, passages, **rag_kw)
-        out.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={label}-{batch_id}"))
+        with stage_scope(spark):
+            out = rag_retrieve(batch, passages, **rag_kw)
+            out.write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={label}-{batch_id}"))
 
     q = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -89,9 +91,10 @@ def stream_answers(spark: SparkSession, questions_dir: str, passages: DataFrame,
     src = spark.readStream.schema(schema).parquet(questions_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        answers, ranked = rag_answer(materialize(batch, "questions"), passages, **answer_kw)
-        answer_events(answers, ranked, link_base, encode_links).write.mode("overwrite").parquet(
-            os.path.join(sink_dir, f"batch_id={label}-{batch_id}"))
+        with stage_scope(spark):
+            answers, ranked = rag_answer(materialize(batch, "questions"), passages, **answer_kw)
+            answer_events(answers, ranked, link_base, encode_links).write.mode("overwrite").parquet(
+                os.path.join(sink_dir, f"batch_id={label}-{batch_id}"))
 
     q = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -33,6 +33,15 @@ def test_streams_with_other_checkpoints_never_overwrite(spark, scratch):
     assert coll.open_collection(spark, scratch, "c").count() == 4
 
 
+def test_stage_tables_of_a_micro_batch_are_deleted(spark, scratch):
+    stages = os.path.join(spark.sparkContext.getCheckpointDir().removeprefix("file:"), "docloom-stages")
+    corpus(spark, ["1.pdf"]).write.parquet(os.path.join(scratch, "in"))
+    before = set(os.listdir(stages)) if os.path.isdir(stages) else set()
+    stream_ingest(spark, os.path.join(scratch, "in"), scratch, "c", os.path.join(scratch, "ck"))
+    assert coll.open_collection(spark, scratch, "c").count() == 1
+    assert set(os.listdir(stages)) <= before
+
+
 def test_a_stored_part_is_refused_unless_retried(spark, scratch):
     rows = lambda *names: coll.to_collection_rows(spark.createDataFrame(
         [(n * 8, n, 0, n, [1.0], "s") for n in names], "chunk_id string, doc_id string, pos int, text string, embedding array<float>, source string"))
