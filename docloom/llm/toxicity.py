@@ -9,8 +9,8 @@ exactly zero, so the model is a short list of (coordinate, weight) pairs whose
 size the number of coordinates bounds; that list goes to the workers.
 
 Fitting: FTRL is sequential, so the labelled rows are cut into shards by a hash
-of their id and the state (z, n) passes from shard to shard, a task each; a
-task holds one shard and the state alone. The fit uses at most about
+of their id and the state (z, n) passes from shard to shard as a table, a task
+each; a task holds one shard and the state alone. The fit uses at most about
 ``max_train`` labelled rows, a uniform sample by a hash of the id; a
 coordinate seen in one document of a shard alone is not admitted there.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from docloom.llm import words as W
 from docloom.llm.common import python_ready, stage
 
-BITS = 20
+BITS = 18
 MAX_TRAIN = 20_000
 THRESHOLD = 0.3
 _U = np.uint64
@@ -105,29 +105,30 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, bits: i
                          F.xxhash64(F.lit("order"), F.col(id_col)).alias("turn"), F.col(label_col).cast("int").alias("y"),
                          _features_udf(bits)(text_col).alias("x")), "toxicity-fit")
     dims = (1 << bits) + 1
-    z, n = np.zeros(dims), np.zeros(dims)
-    for turn in range(rounds * shards):
-        state = rows.sparkSession.sparkContext.broadcast((z, n))
-
-        def run(pdf, *, state=state):
-            import pandas as pd
-            z0, n0 = state.value
-            model = Ftrl(z0.copy(), n0.copy(), alpha, beta, l1, l2)
-            pdf = pdf.sort_values("turn")
-            seen = np.bincount(np.concatenate(pdf["x"].tolist()).astype(np.int64), minlength=dims)
-            for y, x in zip(pdf["y"], pdf["x"]):
+
+    def run(docs, state):
+        import pandas as pd
+        z, n = np.zeros(dims), np.zeros(dims)
+        z[state["at"]], n[state["at"]] = state["z"], state["n"]
+        model = Ftrl(z, n, alpha, beta, l1, l2)
+        if len(docs):
+            docs = docs.sort_values("turn")
+            seen = np.bincount(np.concatenate(docs["x"].tolist()).astype(np.int64), minlength=dims)
+            for y, x in zip(docs["y"], docs["x"]):
                 model.learn(np.append(x[seen[x] > 1], dims - 1).astype(np.int64), float(y))
-            at = np.flatnonzero(model.n != n0)
-            return pd.DataFrame({"at": at, "z": model.z[at], "n": model.n[at]})
-
-        # bounded: a shard has its share of the sampled rows, a change is at most one row a coordinate
-        change = rows.where(F.col("shard") == turn % shards).groupBy("shard").applyInPandas(
-            run, "at bigint, z double, n double").toPandas()
-        z[change["at"]], n[change["at"]] = change["z"], change["n"]
-        state.unpersist()
-    w = Ftrl(z, n, alpha, beta, l1, l2).weights()
-    at = np.flatnonzero(w)
-    return {"at": at, "weight": w[at], "bits": bits}
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
+
+    # bounded: a task holds one shard of the sampled rows and the state, at most a row a coordinate
+    schema = "at bigint, z double, n double"
+    state = rows.sparkSession.createDataFrame([], schema)
+    for turn in range(rounds * shards):
+        mine = rows.where(F.col("shard") == turn % shards).select(F.lit(0).alias("g"), "turn", "y", "x")
+        held = state.select(F.lit(0).alias("g"), "at", "z", "n")
+        state = stage(mine.groupBy("g").cogroup(held.groupBy("g")).applyInPandas(run, schema), "ftrl-state")
+    kept = state.where(F.abs("z") > l1).orderBy("at").collect()                     # the non-zero weights
+    at, z, n = (np.array([r[i] for r in kept], kind) for i, kind in enumerate((np.int64, float, float)))
+    return {"at": at, "weight": Ftrl(z, n, alpha, beta, l1, l2).weights(), "bits": bits}
 
 
 def score(text: Column | str, model: dict, spark) -> Column:
