@@ -39,9 +39,18 @@ def row_key(*cols: str) -> Column:
     return F.md5(F.concat(*parts))
 
 
+#: Rows that travel to Python at once; texts are long, and memory on both sides grows with a batch.
+BATCH_ROWS = 1_000
+
+
 def python_ready(df: DataFrame) -> DataFrame:
-    """Call before a plan with Python functions: workers can import the package."""
-    ship_package(df.sparkSession)
+    """Call before a plan with Python functions: workers can import the
+    package, and Arrow batches have at most ``BATCH_ROWS`` rows from now on."""
+    spark = df.sparkSession
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     return df
 
 
