@@ -189,8 +189,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     kept = F.transform(F.sequence(F.lit(0), F.size("_docloom_m")), lambda i: F.substring(
         F.col(text_col), (F.coalesce(F.get("_docloom_m", i - 1)["end"], F.lit(0)) + 1).cast("int"),
         F.coalesce(F.get("_docloom_m", i)["start"] - F.coalesce(F.get("_docloom_m", i - 1)["end"], F.lit(0)), F.lit(2147483647)).cast("int")))
-    changed = {text_col: F.when(F.col("_docloom_m").isNull(), F.col(text_col)).otherwise(F.array_join(kept, mark))}
+    masked = F.when(F.col("_docloom_m").isNull(), F.col(text_col)).otherwise(F.array_join(kept, mark))
+    joined = joined.withColumn(text_col, masked)
     if length_col in docs.columns:
-        changed[length_col] = F.when(F.col("_docloom_m").isNull(), F.col(length_col)).otherwise(
-            F.char_length(F.array_join(kept, mark))).cast(docs.schema[length_col].dataType)
-    return joined.withColumns(changed).select(*docs.columns)
+        joined = joined.withColumn(length_col, F.when(F.col("_docloom_m").isNull(), F.col(length_col)).otherwise(
+            F.char_length(text_col)).cast(docs.schema[length_col].dataType))
+    return joined.select(*docs.columns)
