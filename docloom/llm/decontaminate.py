@@ -10,14 +10,19 @@ compared with the item's, and runs of words that mostly agree count as
 overlap. A text is contaminated by an item if verified runs cover enough of
 the item's words.
 
+The masks miss nothing that the verification accepts: every run of at least
+``SHORT`` equal words with gaps of at most ``GAP`` and a share of 0.6 equal
+words keeps the positions of some mask, wherever its unequal words stand (a
+test goes through all such runs). Texts are thus judged as if all diagonals
+had been verified. Calls that ask for less than that need masks of their own.
+
 The windows of a text whose hash no benchmark item has can't join; where the
 benchmark's hashes are few (a checked bound) they are sent to the tasks and
 drop such windows before the join, else all windows are joined by shuffling.
 
 Cases: null and empty texts have no words and are clean; items that are null
 or have fewer than ``SHORT`` words contaminate nothing (too little to tell);
-items shorter than the masks' window are found by a plain run of ``SHORT``
-words; repeated rows and repeated items give the same answers for each; rows
+repeated rows and repeated items give the same answers for each; rows
 of a null id are judged like others; other columns are ignored; an empty
 table gives no rows, an empty benchmark leaves every text clean.
 """
@@ -32,17 +37,17 @@ from pyspark.sql import functions as F
 from docloom.llm import words as W
 from docloom.llm.common import bounded, python_ready, row_key, stage
 
-#: Kept positions of each mask, fixed values; a window is 12 words.
-MASKS = ((0, 1, 2, 4, 7, 8, 11), (0, 2, 3, 5, 6, 9, 11), (0, 1, 4, 5, 8, 10, 11), (0, 3, 4, 6, 7, 9, 11))
-WINDOW = 12
+#: Kept positions of each mask, fixed values that together meet every run the verification accepts.
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 4, 5), (0, 1, 5, 6), (0, 2, 4, 6), (0, 1, 3, 7), (0, 1, 4, 7), (0, 2, 5, 7), (0, 1, 8, 9))
 SHORT = 6
+GAP = 6
 #: Most benchmark hashes that are sent to the tasks.
 MOST_HASHES = 4_000_000
 
 
 def _seeds(w: W.Words, masks) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, word index) of every window under every mask, and of every plain short run."""
-    found = [w.grams(m, 100 + i) for i, m in enumerate(masks)] + [w.grams(range(SHORT), 99)]
+    """(hash, word index) of every window under every mask."""
+    found = [w.grams(m, 100 + i) for i, m in enumerate(masks)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -57,25 +62,20 @@ _HIT = pa.struct([("words", pa.int32()), ("h", pa.list_(pa.int64())), ("pos", pa
 def _hits_udf(masks, known):
     """text -> (number of words, hashes and places of windows that ``known``
     may hold, and the hashes of all words of a text that has such windows)."""
-    plain = ~np.uint64(0)
-
     @F.arrow_udf("struct<words:int,h:array<bigint>,pos:array<int>,toks:array<bigint>>")
     def hits(text: pa.Array) -> pa.Array:
         if known is not None:
-            long_, short = known.value
-            small = [np.zeros(1 << 20, bool), np.zeros(1 << 20, bool)]
-            for flags, have in zip(small, (long_, short)):
-                flags[(have & plain) >> np.uint64(44)] = True
+            have = known.value
+            small = np.zeros(1 << 20, bool)
+            small[have >> np.uint64(44)] = True
         out = []
         for part in W.slices(text):
             w = W.Words(part)
             hs, ats = [], []
-            for i, m in enumerate((*masks, range(SHORT))):
-                h, at = w.grams(m, 100 + i if i < len(masks) else 99)
+            for i, m in enumerate(masks):
+                h, at = w.grams(m, 100 + i)
                 if known is not None:
-                    which = i == len(masks)
-                    maybe = np.flatnonzero(small[which][h >> np.uint64(44)])
-                    have = (long_, short)[which]
+                    maybe = np.flatnonzero(small[h >> np.uint64(44)])
                     h, at = h[maybe], at[maybe]
                     if len(h) and len(have):
                         sure = have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h
@@ -97,7 +97,7 @@ def _hits_udf(masks, known):
 
 
 def _item_udf(masks):
-    """item text -> (its words' hashes, its seeds' hashes and places); short items have plain runs alone."""
+    """item text -> (its words' hashes, its seeds' hashes and places); items of fewer than ``SHORT`` words have no seeds."""
     kind = pa.struct([("toks", pa.list_(pa.int64())), ("h", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))])
 
     @F.arrow_udf("struct<toks:array<bigint>,h:array<bigint>,pos:array<int>>")
@@ -105,11 +105,7 @@ def _item_udf(masks):
         rows = []
         for t in text:
             w = W.Words(pa.array([t.as_py()], pa.string()))
-            if len(w.h) >= WINDOW:
-                found = [w.grams(m, 100 + i) for i, m in enumerate(masks)]
-            else:
-                found = [w.grams(range(SHORT), 99)]
-            h, at = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            h, at = _seeds(w, masks) if len(w.h) >= SHORT else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             rows.append({"toks": _signed(w.h).tolist(), "h": _signed(h).tolist(), "pos": at.tolist()})
         return pa.array(rows, kind)
 
@@ -130,7 +126,7 @@ def runs(text: np.ndarray, item: np.ndarray, diagonal: int, least: int, agree: f
     i = 0
     while i < len(at):
         j = best = i
-        while j + 1 < len(at) and (j + 2 - i) >= agree * (at[j + 1] - at[i] + 1) - 2 and at[j + 1] - at[j] <= 6:
+        while j + 1 < len(at) and (j + 2 - i) >= agree * (at[j + 1] - at[i] + 1) - 2 and at[j + 1] - at[j] <= GAP:
             j += 1
             if (j + 1 - i) >= agree * (at[j] - at[i] + 1):
                 best = j
@@ -171,14 +167,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = stage(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("t")).where("t is not null")
                   .distinct().select("item", _item_udf(masks)("t").alias("s")).select("item", "s.*")
                   .withColumn("nr", F.monotonically_increasing_id()), "items")
-    seeds = items.select("nr", F.size("toks").alias("m"), F.explode(F.arrays_zip("h", "pos")).alias("s")).select(
-        "nr", "m", "s.h", F.col("s.pos").alias("at"))
+    seeds = items.select("nr", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("nr", "s.h", F.col("s.pos").alias("at"))
     known = None
-    hashes = seeds.select("h", (F.col("m") < WINDOW).alias("short")).distinct()
+    hashes = seeds.select("h").distinct()
     if hashes.limit(most_hashes + 1).count() <= most_hashes:
         got = hashes.toPandas()                          # bounded: at most most_hashes rows
-        both = [np.sort(got.loc[got["short"] == s, "h"].to_numpy(np.int64).view(np.uint64)) for s in (False, True)]
-        known = docs.sparkSession.sparkContext.broadcast(both)
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(got["h"].to_numpy(np.int64).view(np.uint64)))
     base = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
                  .select("id", row_key("id", "text").alias("rk"), _hits_udf(masks, known)("text").alias("s"))
                  .select("id", "rk", "s.*"), "seed-hits")

@@ -294,3 +294,40 @@ def test_contamination_tolerates_substitutions_and_joins_by_shuffle_alike(spark)
     got = sorted(map(tuple, decontaminate.contamination(d, b).collect()))
     assert [r[2] for r in got] == [True] * 40 + [False] * 10
     assert got == sorted(map(tuple, decontaminate.contamination(d, b, most_hashes=0).collect()))
+
+
+def test_every_run_that_verifies_keeps_the_positions_of_a_mask():
+    from itertools import combinations
+    masks = {sum(1 << x for x in m) for m in decontaminate.MASKS}
+    for n in range(decontaminate.SHORT, 20):      # a longer run holds a shorter one: of its halves one has the share
+        for inner in combinations(range(1, n - 1), max(decontaminate.SHORT, -(-3 * n // 5)) - 2):
+            at = (0, *inner, n - 1)
+            if max(b - a for a, b in zip(at, at[1:])) <= decontaminate.GAP:
+                bits = sum(1 << x for x in at)
+                assert any(bits >> i & m == m for m in masks for i in range(n)), at
+
+
+def test_contamination_equals_verifying_every_diagonal(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: [f"z{x}" for x in rng.integers(0, 10 ** 9, n)]
+    items = {1: some(22), 2: some(200), 3: some(15), 4: some(9)}
+    texts = [items[1][:11] + items[1][12:], items[1][:11] + ["new"] + items[1][11:]]       # a word left out, one put in
+    texts += [[w if (i + k) % 4 else "new" for i, w in enumerate(items[2])] for k in range(4)]
+    for i in range(200):                          # random words replaced
+        t = list(items[1 + i % 4])
+        for p in rng.choice(len(t), len(t) * (1 + i % 5) // 10 + 1, replace=False):
+            t[p] = "new"
+        texts.append(t)
+    texts = [some(5) + t + some(5) for t in texts]
+    code = {w: i for i, w in enumerate({w for t in [*texts, *items.values()] for w in t})}
+    num = lambda ws: np.array([code[w] for w in ws])
+
+    def judged(t, it):
+        cover = sum(decontaminate.runs(num(t), num(it), d, 6, 0.6) for d in range(-len(it), len(t))) > 0
+        return cover.sum() >= 13 or cover.sum() >= 0.6 * len(it)
+
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.contamination(d, b).collect()}
+    assert got == {i: ",".join(str(k) for k, it in items.items() if judged(t, it)) for i, t in enumerate(texts)}
+    assert all(got[i] for i in range(6))
