@@ -1,8 +1,8 @@
 """Near-duplicate documents by DartMinHash signatures and banded joins.
 
-Each text is the set of its runs of five words, weighted by a damped count (1
-for a run seen once, a quarter more for every doubling). Signatures of weighted
-sets (``dartminhash``) are cut into bands; texts that share a band are
+Each text is the set of its runs of five words, each of weight 1 however often
+it is repeated, so that signatures (``dartminhash``) see the similarity that
+links are judged by. Signatures are cut into bands; texts that share a band are
 candidates; a candidate pair is linked if the plain Jaccard similarity of the
 two sets, counted exactly, reaches the threshold. Classes are the connected
 components of the links.
@@ -79,9 +79,9 @@ def _sketch_udf(size: int, n_bands: int, rows: int):
         out = []
         for part in W.slices(text):
             w = W.Words(part)
-            doc, sh, count = shingle_sets(w, size)
+            doc, sh, _ = shingle_sets(w, size)
             n = np.bincount(doc, minlength=w.n_texts)
-            sig = signatures(doc, sh, 1 + np.log2(count) / 4, w.n_texts, n_bands * rows)
+            sig = signatures(doc, sh, np.ones(len(sh)), w.n_texts, n_bands * rows)
             b = _signed(band_hashes(sig, n_bands))
             some = n > 0
             k1, k2 = w.digests()

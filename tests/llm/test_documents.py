@@ -331,3 +331,17 @@ def test_contamination_equals_verifying_every_diagonal(spark):
     got = {r.doc_id: r["items"] for r in decontaminate.contamination(d, b).collect()}
     assert got == {i: ",".join(str(k) for k, it in items.items() if judged(t, it)) for i, t in enumerate(texts)}
     assert all(got[i] for i in range(6))
+
+
+# ---------------------------------------------------------------- near duplicates of unequal counts
+def test_a_text_and_its_repetitions_are_one_class(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        t = " ".join(f"v{x}" for x in rng.integers(0, 10 ** 9, 60))
+        rows += [(10 * i, t)] + [(10 * i + k, " ".join([t] * n)) for k, n in enumerate((16, 64, 256), 1)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(r.class_id == r.doc_id // 10 * 10 for r in out)
+    alone = [r for r in rows if r[0] % 10 in (0, 2)]                # no text of a middle count between the two
+    out = near_dedup.near_duplicates(spark.createDataFrame(alone, "doc_id bigint, text string")).collect()
+    assert all(r.class_id == r.doc_id // 10 * 10 for r in out)
