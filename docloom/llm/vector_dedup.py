@@ -4,7 +4,9 @@ Vectors are scaled to length one. A tree splits at random directions, at the
 median of the projections; vectors within a margin of the split go to both
 sides, so that a pair near the threshold is seldom parted (the margin is a
 multiple of the spread that such a pair's projections have). Several trees
-make a miss rarer still. Trees are fitted on a bounded sample; every vector is
+make a miss rarer still. A split is made only if both sides together have
+little more rows than before, so that no cluster multiplies its rows from
+level to level. Trees are fitted on a bounded sample; every vector is
 indexed, and vectors are compared within leaves by cosine in double precision.
 
 A leaf of many rows (a dense cluster, that no split can part) is cut into
@@ -39,6 +41,8 @@ SAMPLE = 50_000
 LEAF = 512
 BLOCK = 1_024
 TREES = 6
+#: Most rows on both sides of a split, for each row that is split.
+SPILL = 1.2
 
 
 def usable(vec: str) -> Column:
@@ -72,7 +76,8 @@ def fit_forest(sample: np.ndarray, scale: float, threshold: float, trees: int, l
                     p = sample[rows] @ r
                     t = float(np.median(p))
                     left, right = rows[p < t + margin], rows[p > t - margin]
-                    if max(len(left), len(right)) <= 0.8 * len(rows):
+                    # a split that parts nothing (a dense cluster) would only multiply rows
+                    if max(len(left), len(right)) <= 0.8 * len(rows) and len(left) + len(right) <= SPILL * len(rows):
                         split = (r, t, left, right)
                         break
             if split is None:
@@ -181,7 +186,7 @@ def _of_one_length(nodes: DataFrame, threshold: float, trees: int, leaf: int, bl
     sent = spark.sparkContext.broadcast(fit_forest(x, n / len(x), threshold, trees, leaf, spill, seed))
     placed = stage(nodes.withColumn("leaves", _index_udf(sent)("vec")), "leaves")
     rows = placed.withColumn("leaf", F.explode("leaves"))
-    # at most a few leaves for every sampled vector
+    # the leaves are bounded by the sample: splits under SPILL leave at most about 24 copies of a sampled vector in a tree
     sizes = stage(rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "leaf-sizes")
     rows = rows.join(F.broadcast(sizes), "leaf").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
     pairs = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(

@@ -45,6 +45,15 @@ def test_vector_links_and_recall_against_brute_force(spark):
     assert all(out[i].kept == (out[i].component_id == i) for i in ids)
 
 
+def test_a_loose_dense_cluster_does_not_multiply_its_rows():
+    rng = np.random.default_rng(0)
+    spread = vector_dedup.unit(rng.standard_normal((4000, 64)))
+    dense = vector_dedup.unit(np.sqrt(0.95) * spread[0] + np.sqrt(0.05) * vector_dedup.unit(rng.standard_normal((1000, 64))))
+    for x in (dense, np.concatenate([spread, dense])):
+        (tree,) = vector_dedup.fit_forest(x, 50.0, 0.95, 1, 512, 0.55, 5)
+        assert len(vector_dedup.leaves_of(x, [tree])[0]) <= 6 * len(x)
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0]
