@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import ORACLE_SQL, run as run_pipeline
 from docloom.llm.common import table
 from docloom.llm.decontaminate import contamination
+from docloom.llm.divergence import divergence
 from docloom.llm.html import main_text
 from docloom.llm.langid import identify
 from docloom.llm.licenses import license_scan
@@ -17,8 +18,10 @@ from docloom.llm.mixing import mix
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.oracles import ORACLES
 from docloom.llm.secrets import secrets
+from docloom.llm.sharding import shard_report
 from docloom.llm.substring_dedup import report
 from docloom.llm.toxicity import score_documents
+from docloom.llm.vector_codes import compress
 from docloom.llm.vector_dedup import vector_duplicates
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +86,21 @@ def op10_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_source_divergence(spark, sf_dir):
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_sharding(spark, sf_dir):
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark, sf_dir):
+    return compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 LLM_QUERIES["pipeline"] = run_pipeline
 if ORACLE_SQL is not None:
     LLM_ORACLES["pipeline"] = ORACLE_SQL
