@@ -18,6 +18,7 @@ from docloom.plans.registry import _passages, register
 from docloom.plans.sqlparts import chunk_ctes, clean, embed_ctes, l2sq, passages_ctes
 from docloom.session import read_table, scratch
 from docloom.sources import fixtures as FX
+from docloom.sources.committed import read_table as read_committed
 
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
 
@@ -199,4 +200,4 @@ def q_publish_testset(spark, sf):
     t = TS.evolution_quota(b, "item_id", 10).select("item_id", F.col("text").alias("question"), "evolution_type")
     path = os.path.join(scratch(spark, "testset"), "published")
     publish_testset(t, path)
-    return spark.read.parquet(path)
+    return read_committed(spark, path)

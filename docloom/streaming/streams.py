@@ -1,10 +1,10 @@
 """Streaming operators (STR-1..3).
 
 Each micro-batch reuses the batch operators in ``foreachBatch``. Writes go
-to a folder named by the stream's own label, kept in its checkpoint, and the
-batch id: a batch replayed after a failure rewrites the same folder
-(idempotent), while a stream with another checkpoint writes beside it and
-never over it."""
+to a part or folder named by the stream's own label, kept in its checkpoint,
+and the batch id: a batch replayed after a failure finds its part done or
+rewrites the same folder (idempotent), while a stream with another checkpoint
+writes beside it and never over it."""
 
 from __future__ import annotations
 
@@ -36,7 +36,7 @@ def stream_ingest(spark: SparkSession, source_dir: str, root: str, name: str, ch
                   quarantine: str | None = None, embedder=None, cost=None):
     """Arriving corpus files are cleaned, chunked, embedded and added to the
     collection; documents that fail go to ``quarantine`` (file, reason), a
-    folder per batch. Runs until the folder is drained (availableNow)."""
+    part per batch. Runs until the folder is drained (availableNow)."""
     coll.open_collection(spark, root, name)
     label = stream_label(spark, checkpoint)
     src = spark.readStream.schema(schema).format(fmt).load(source_dir)
@@ -47,7 +47,7 @@ def stream_ingest(spark: SparkSession, source_dir: str, root: str, name: str, ch
             staged = materialize(chunk_corpus(batch, budget, cost), "stream-staged")
             chunks, failed = good_and_failed(staged, dim, embedder)
             if quarantine:
-                failed.write.mode("overwrite").parquet(os.path.join(quarantine, f"batch={part}"))
+                coll.append_failures(failed, quarantine, part)
             coll.collection_add(spark, root, name, coll.to_collection_rows(chunks), part=part, retry=True)
 
     q = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

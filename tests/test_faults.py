@@ -15,6 +15,7 @@ from docloom.operators.knn import knn_topk
 from docloom.operators.testset import keyphrases, question_near_dups
 from docloom.plans.ingest import EMBED_FAILED, ingest
 from docloom.plans.rag import rag_answer
+from docloom.sources.committed import read_table
 from docloom.sources.corpus import scan_text_corpus
 from docloom.streaming.streams import stream_ingest
 
@@ -69,7 +70,7 @@ def test_embedding_failures_are_reported_by_document(spark, scratch):
     stream_ingest(spark, os.path.join(scratch, "in"), scratch, "s", os.path.join(scratch, "ck"), quarantine=os.path.join(scratch, "sq"),
                   embedder=model_embedder(failing_model, keep_going=True))
     assert coll.open_collection(spark, scratch, "s").count() == 2
-    assert spark.read.parquet(os.path.join(scratch, "sq")).count() == 2
+    assert read_table(spark, os.path.join(scratch, "sq")).count() == 2
 
 
 def test_a_cluster_needs_a_shared_folder():
