@@ -16,6 +16,7 @@ from docloom.plans.rag import retrieve_hits
 from docloom.plans.registry import _passages, register
 from docloom.plans.sqlparts import FILE, chunk_ctes, clean, hops_ctes, l2sq, maxsim, passages_ctes, suffix_label
 from docloom.session import materialize, read_table, scratch
+from docloom.sources import committed as CT
 from docloom.sources import fixtures as FX
 
 
@@ -124,27 +125,41 @@ def q_write_clean_text(spark, sf):
     return spark.read.parquet(path)
 
 
-def _ingest_twice(spark, sf):
-    root = scratch(spark, "collections")
-    corpus = FX.corpus(spark, sf)
-    coll.open_collection(spark, root, "docs")
-    coll.open_collection(spark, root, "docs")          # a second open must not lose anything
-    staged = materialize(chunk_corpus(corpus))
-    rows = coll.to_collection_rows(passages_from_staged(staged))
-    first = coll.collection_add(spark, root, "docs", rows)
-    second = coll.collection_add(spark, root, "docs", rows)
-    total = coll.open_collection(spark, root, "docs").count()
-    return spark.createDataFrame([("first", first, total), ("second", second, total)],
-                                 "batch string, inserted bigint, total bigint")
+#: Deliveries that overlap: most documents come two or three times, in another company each time.
+DELIVERIES = (("first", "lang <> 'es'"), ("second", "lang <> 'fr'"), ("third", "true"))
+CHUNKS_SQL = f"""WITH cdl AS (SELECT md5({FILE}) AS doc_id, {suffix_label(FILE)} AS source, lang, {clean('text')} AS text FROM documents),
+{chunk_ctes('cdl', 'doc_id, source, lang')},
+dl AS (SELECT *, md5(text) AS chunk_id, CASE WHEN lang <> 'es' THEN 1 WHEN lang <> 'fr' THEN 2 ELSE 3 END AS came FROM ck_out)"""
 
 
-CHUNKS_SQL = f"WITH {CD}, {chunk_ctes('cd', 'doc_id, source')}"
+def _deliver(spark, sf, root, **kw) -> list[tuple]:
+    """Ingest the deliveries, and the last one again; (batch, inserted, total) of each."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "text", "source", "lang"])
+    coll.open_collection(spark, root, "docs")
+    out = []
+    for batch, which in (*DELIVERIES, ("again", "true")):
+        coll.open_collection(spark, root, "docs")          # a second open must not lose anything
+        staged = materialize(chunk_corpus(FX.corpus_of(docs.where(which))))
+        n = coll.collection_add(spark, root, "docs", coll.to_collection_rows(passages_from_staged(staged)), **kw)
+        out.append((batch, n, coll.open_collection(spark, root, "docs").count()))
+    return out
+
+
+@register("collection_add", CHUNKS_SQL + """, u AS (SELECT chunk_id, min(came) AS came FROM dl GROUP BY chunk_id),
+o AS (SELECT * FROM (VALUES ('first', 1), ('second', 2), ('third', 3), ('again', 4)) v(batch, i))
+SELECT batch, count(*) FILTER (came = i) AS inserted, count(*) FILTER (came <= i) AS total FROM o, u GROUP BY batch, i""")
+def q_collection_add(spark, sf):
+    return spark.createDataFrame(_deliver(spark, sf, scratch(spark, "collections")), "batch string, inserted bigint, total bigint")
 
 
-@register("collection_add", CHUNKS_SQL + """, u AS (SELECT count(DISTINCT md5(text)) AS n FROM ck_out)
-SELECT 'first' AS batch, n AS inserted, n AS total FROM u UNION ALL SELECT 'second', 0, n FROM u""")
-def q_collection_add(spark, sf):
-    return _ingest_twice(spark, sf)
+@register("collection_merged", CHUNKS_SQL + """
+SELECT chunk_id, text, source FROM dl QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY came, doc_id, pos) = 1""")
+def q_collection_merged(spark, sf):
+    """The collection after its parts have been merged and what they replace has been deleted."""
+    root = scratch(spark, "collections")
+    _deliver(spark, sf, root, file_rows=500, fan=2)
+    CT.vacuum(f"{root}/docs")
+    return coll.open_collection(spark, root, "docs").select("chunk_id", "text", F.col("metadata")["source"].alias("source"))
 
 
 @register("collection_rows", f"""WITH {passages_ctes()}

@@ -14,9 +14,12 @@ from docloom.session import read_table
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, text) with file = 'pdf-<source>-<doc_id>.pdf'."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
-    return d.select(F.concat(F.lit("pdf-"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file"),
-                    "text")
+    return corpus_of(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
+
+
+def corpus_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.concat(F.lit("pdf-"), "source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file"),
+                       "text")
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
