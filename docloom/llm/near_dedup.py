@@ -140,6 +140,8 @@ def _bridges(threshold: float):
             mark[mine] = False
             near = (common >= threshold * (n + n[r] - common) - 1e-9) & (comp != comp[r])
             found |= {(min(c, comp[r]), max(c, comp[r])) for c in comp[near]}
+        del code, mark
+        W.release()
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     return bridges

@@ -117,6 +117,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, bits: i
             for y, x in zip(docs["y"], docs["x"]):
                 model.learn(np.append(x[seen[x] > 1], dims - 1).astype(np.int64), float(y))
         at = np.flatnonzero(n)
+        W.release()
         return pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
 
     # bounded: a task holds one shard of the sampled rows and the state, at most a row a coordinate

@@ -12,6 +12,8 @@ Null and empty texts have no words. Work is cut into slices of bounded bytes
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -133,8 +135,19 @@ def word_hashes(text: str) -> np.ndarray:
     return Words(pa.array([text], pa.string())).h
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker lives on, idle,
+    after its task, beside whatever the executor runs next."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc; elsewhere the allocator decides by itself
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
-    """Consecutive slices of at most ``most`` bytes (or one text)."""
+    """Consecutive slices of at most ``most`` bytes (or one text). After the last one freed memory is given back."""
     n = len(texts)
     if not n:
         return
@@ -146,6 +159,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
         j = max(i + 1, int(np.searchsorted(at, base + most, "right")))
         yield texts.slice(i, j - i)
         i = j
+    release()
 
 
 def lists(values: np.ndarray, per: np.ndarray, kind) -> pa.Array:
