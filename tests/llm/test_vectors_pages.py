@@ -91,6 +91,79 @@ def test_one_page():
     assert html.extract("just text &am", []) == "just text &am"
 
 
+LONG_P = "A sentence of the article that is long enough to count as text of the page. " * 4
+L = LONG_P.strip()
+
+
+@pytest.mark.parametrize("page, want", [
+    # the parts of one article, whatever holds most of it
+    (f"<article><h1>Title</h1><p>The lead of it</p><section><p>{L}</p></section></article>", f"Title\n\nThe lead of it\n\n{L}"),
+    (f"<article><div><p>{L}</p></div><div><p>The smaller part.</p></div></article>", f"{L}\n\nThe smaller part."),
+    (f"<body><article><p>Intro here.</p><table><tr><td>{L}</td></tr></table><p>Outro here.</p></article></body>", f"Intro here.\n\n{L}\n\nOutro here."),
+    (f"<body><div class='wrap'><div id='c'><h1>Title</h1><p>Lead.</p><div class='text'><p>{L}</p></div></div></div></body>", f"Title\n\nLead.\n\n{L}"),
+    # self-closed and unclosed elements hold nothing
+    (f"<p>Before<svg/>it</p><p>{L}</p>", f"Beforeit\n\n{L}"), (f"<p>One</p><iframe/><p>{L}</p>", f"One\n\n{L}"),
+    (f"<p>One</p><select><option>x<p>{L}</p>", f"One\n\nx\n\n{L}"), (f"<p>One <svg><text>x</text></svg>more</p><p>{L}</p>", f"One more\n\n{L}"),
+    (f"<p>One<noscript>no</noscript> and more</p><nav>x<p>{L}</p>", f"One and more\n\nx\n\n{L}"),
+    (f"<p>One<select><option>x</select> two</p><textarea><p>{L}</p>", f"One two\n\n{L}"), (f"<p>{L}</p><script>var x = '<p>no</p>'", L),
+    # names that only sound like parts that are left out
+    (f"<div class='content no-sidebar'><p>{L}</p></div>", L), (f"<div class='post tags-news'><p>{L}</p></div>", L), (f"<div id='has-header'><p>{L}</p></div>", L),
+    (f"<div class='article-header-image'><p>{L}</p></div><div class='main-nav'><p>{L}</p></div><div class='x comments-area'><p>{L}</p></div>", L),
+    # wrappers that hold the article; a form without paragraphs and comments are none
+    (f"<form id='aspnet'><div><p>{L}</p></div></form>", L), (f"<div class='nav-menu'><h1>Title</h1><p>{L}</p></div>", f"Title\n\n{L}"),
+    (f"<p>Article text of this page.</p><form>{L}</form><div class='comments'><p>{L}{L}</p></div>", "Article text of this page."),
+    # unnamed menus beside the article
+    (f"<body><div><a href='/'>one</a> <a href='/'>two</a></div><p>{L}</p><div><ul><li><a href='/'>three</a></ul></div></body>", L)])
+def test_the_article_is_kept_whole(page, want):
+    assert html.extract(page, []) == want
+    assert html.extract(page, [html.choice(html.blocks(page)) or "none"]) == want
+
+
+def test_every_page_against_a_plain_reader(spark):
+    """The driver's pages keep to one form: blocks of the article, by another parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.text, self.on, self.out_of = [], [], False, 0
+
+        def end(self):
+            if t := " ".join("".join(self.text).split()):
+                self.out.append(t)
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("h1", "p", "li", "article"):
+                self.end()
+            self.on |= tag == "article"
+            self.text += [" "] if tag == "br" else []
+
+        def handle_endtag(self, tag):
+            if tag in ("h1", "p", "li", "article"):
+                self.end()
+            self.on &= tag != "article"
+
+        def handle_data(self, data):
+            self.text += [data] if self.on else []
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html)
+        reader.close()
+        reader.end()
+        assert got[r.page_id] == "\n\n".join(reader.out)
+
+
+def test_long_repeated_and_nameless_pages(spark):
+    page = "<body><article>" + "".join(f"<p>Paragraph {i} of a very long page.</p>" for i in range(30_000)) + "</article><footer>x</footer></body>"
+    rows = [(None, "http://a.b", page), (1, "http://a.b", page), (1, "http://a.b", page), (None, None, "<p>x")]
+    got = sorted((r.text.count("\n\n"), r.text[-9:]) for r in html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect())
+    assert got == [(0, "x")] + [(29_999, "ong page.")] * 3
+
+
 def test_hosts_outvote_a_misleading_page(spark):
     good = "<body><div class='story7'><p>" + "a real sentence of the story. " * 5 + "</p></div><div class='box'><p>short box text that is small</p></div></body>"
     odd = "<body><div class='story9'><p>a short story today</p></div><div class='box'><p>" + "boxed words in plenty " * 20 + "</p></div></body>"
