@@ -50,10 +50,55 @@ def test_a_loose_dense_cluster_does_not_multiply_its_rows():
     spread = vector_dedup.unit(rng.standard_normal((4000, 64)))
     dense = vector_dedup.unit(np.sqrt(0.95) * spread[0] + np.sqrt(0.05) * vector_dedup.unit(rng.standard_normal((1000, 64))))
     for x in (dense, np.concatenate([spread, dense])):
-        (tree,) = vector_dedup.fit_forest(x, 50.0, 0.95, 1, 512, 0.55, 5)
+        tree = vector_dedup.fit_tree(x, 50.0, 0.95, 512, 0.4, np.random.default_rng(5))
         assert len(vector_dedup.leaves_of(x, [tree])[0]) <= 6 * len(x)
 
 
+def around(mean, n, rng, d=64):
+    """Unit vectors whose mean cosine is ``mean``, the last 300 turned from the first 300 to a cosine of 0.95 to 0.97."""
+    m = vector_dedup.unit(rng.standard_normal((1, d)))
+    r = rng.standard_normal((n - 300, d))
+    x = np.sqrt(mean) * m + np.sqrt(1 - mean) * vector_dedup.unit(r - (r @ m.T) * m)
+    t = rng.standard_normal((300, d))
+    t = vector_dedup.unit(t - (t * x[:300]).sum(1, keepdims=True) * x[:300])
+    c = rng.uniform(0.9501, 0.97, (300, 1))
+    return np.concatenate([x, c * x[:300] + np.sqrt(1 - c * c) * t])
+
+
+@pytest.mark.parametrize("mean", [0, 0.6, 0.8])
+def test_leaves_hold_the_pairs_and_few_others_whatever_the_mean_cosine(mean):
+    x = around(mean, 8000, np.random.default_rng(3))
+    row, leaf = vector_dedup.leaves_of(x, vector_dedup.fit_forest(x, 1.0, 0.95, vector_dedup.TREES, vector_dedup.LEAF, 0.4, 5))
+    size = np.bincount(leaf).astype(float)
+    assert (size * (size - 1) / 2).sum() < 0.2 * 8000 * 7999 / 2
+    held = [set() for _ in x]
+    for r, at in zip(row, leaf):
+        held[r].add(at)
+    assert np.mean([bool(held[i] & held[7700 + i]) for i in range(300)]) >= 0.98
+
+
+def test_oversized_leaves_are_split_again(spark, monkeypatch):
+    """A sample too small for the table: links are found as with all of it, in small leaves."""
+    x = around(0.6, 4000, np.random.default_rng(8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    seen = []
+    stage = vector_dedup.stage
+    monkeypatch.setattr(vector_dedup, "stage", lambda d, name: seen.append(stage(d, name)) or seen[-1])
+    out = {r.vec_id: r for r in vector_dedup.vector_duplicates(df, sample=300).collect()}
+    sizes = next(d for d in seen if d.columns == ["leaf", "blocks"])
+    assert sizes.count() > 100 and sizes.where("blocks > 1").count() == 0
+    want = np.flatnonzero((x @ x.T >= 0.95).sum(1) > 1)
+    assert sum(out[i].n_links > 0 for i in want) >= 0.95 * len(want) and all(out[i].n_links == 0 for i in set(range(4000)) - set(want))
+
+
+def test_ties_at_the_threshold_link(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.95, (1 - 0.95 ** 2) ** 0.5]), (3, [0.9499, (1 - 0.9499 ** 2) ** 0.5]), (4, [19.0, 39.0 ** 0.5])],
+                               "vec_id bigint, embedding array<double>")
+    out = {r.vec_id: r.n_links for r in vector_dedup.vector_duplicates(df).collect()}
+    x = vector_dedup.unit(np.array([r.embedding for r in df.orderBy("vec_id").collect()]))
+    assert out == dict(zip((1, 2, 3, 4), ((x @ x.T >= 0.95).sum(1) - 1).tolist()))
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0]
