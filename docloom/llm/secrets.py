@@ -6,16 +6,19 @@ assign, access, hex) that are long enough. The method adds spans of kind
 ``random``: for every maximal run of 20 or more characters of
 ``[A-Za-z0-9+/_=-]`` that no base span overlaps,
 
-* the encoding is inferred (hex, lower or upper base 36, base 64), which gives
-  the alphabet and each character's place in it;
+* the encoding is inferred: the smallest of the alphabets below that holds the
+  run, which gives each character its place;
 * three tests ask if the run could be uniform over the alphabet: chi-squared
   over as many equal classes of the alphabet as the length allows, runs above
   and below the alphabet's middle, and the serial correlation of neighbours;
-* a token that passes all three is a discovery only if it is unlikely as an
-  ordinary token, whose neighbours seldom change between lower case, upper
-  case, digits and marks: the p-value of its number of changes has to fall
-  under the Benjamini-Hochberg threshold of its length class. P-values are
-  counted over the whole input on a fixed grid, so no task sees all of them.
+* a run that passes all three is a discovery only if it is unlikely as an
+  ordinary token. Ordinary tokens are a chain of characters whose pair counts
+  are taken over all words of all texts but the secrets found. The likelihood ratio of the inferred
+  encoding's uniform characters against that chain is at least r for an
+  ordinary token with a probability of at most 1 / r, so 1 / r is its p-value
+  (never too small if the chain holds), and it has to fall under the
+  Benjamini-Hochberg threshold of the run's length class. P-values are counted
+  over the whole input on a fixed grid, so no task sees all of them.
 
 Spans are [start, end) in code points.
 
@@ -26,6 +29,8 @@ rows of a null id too; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +46,16 @@ RUN = r"((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,})"
 MARKED = {"assign": ASSIGN, "access": r"(AKIA[A-Z0-9]{12,})", "hex": r"((?<![0-9a-f])[0-9a-f]{32,})", "random": RUN}
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-ALPHABETS = {"hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "lower36": DIGITS + LOWER, "upper36": DIGITS + LOWER.upper(),
+#: Alphabets of the encodings, smallest first; base 64's variants of its last two symbols and its padding share a place.
+ALPHABETS = {"digits": DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "lower": LOWER, "upper": LOWER.upper(),
+             "base32": LOWER.upper() + "234567", "lower36": DIGITS + LOWER, "upper36": DIGITS + LOWER.upper(),
              "base64": LOWER.upper() + LOWER + DIGITS + "+/_=-"}
+SIZES = {k: min(len(a), 64) for k, a in ALPHABETS.items()}
+SYMBOLS = ALPHABETS["base64"]
 
-#: Rate at which neighbours in an ordinary token change between classes; level of the three tests; false-discovery rate.
-CHANGE_RATE, Z_LIMIT, FDR = 0.15, 3.3, 0.01
+#: Level of the three tests; false-discovery rate; weights of pairs, single characters and none in an ordinary token's chain.
+Z_LIMIT, FDR = 3.3, 0.01
+CHAIN = (0.7, 0.2, 0.1)
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -76,19 +86,55 @@ def _spans(scanned: DataFrame) -> DataFrame:
     return placed.where(long_enough).select("rk", "kind", "rank", "start", "end", "m")
 
 
-def battery(tokens: DataFrame, token: str = "m") -> DataFrame:
-    """Adds ``encoding``, the z-values of the three tests (``z_chi``,
+def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(w, n): the words of all texts, runs of two or more of the battery's characters, and how often they stand there."""
+    return docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9+/_=-]+")).alias("w")).where(
+        F.length("w") > 1).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ordinary_chain(words: DataFrame) -> tuple[list[int], list[int], list[float]]:
+    """How often each symbol stands after each other one in ``words`` (w, n)
+    (the earlier symbol's row first), how often each is followed by another,
+    and the probability of each by itself."""
+    pairs = words.select("n", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i"), "w").select(
+        F.expr("substring(w, i, 2)").alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).collect()     # at most 67 x 67 rows
+    size = len(SYMBOLS)
+    place = {c: i for i, c in enumerate(SYMBOLS)}
+    count = [0] * (size * size)
+    for r in pairs:
+        count[place[r["p"][0]] * size + place[r["p"][1]]] = r["n"]
+    single = [sum(count[b::size]) + 1 for b in range(size)]
+    return count, [sum(count[i:i + size]) for i in range(0, size * size, size)], [x / sum(single) for x in single]
+
+
+def random_tokens(tokens: DataFrame, words: DataFrame, secret: DataFrame) -> DataFrame:
+    """The discoveries among ``tokens``. The chain is taken over ``words``
+    without those known to be ``secret`` (w), then again without what has been
+    discovered, while that finds more: random tokens must not teach the chain,
+    and a token is judged without its own occurrences."""
+    known, n = secret, 0
+    while True:
+        taught = words.join(known, "w", "left_anti")
+        own = tokens.join(taught.select(F.col("w").alias("m"), F.col("n").alias("own")), "m", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        found = stage(discoveries(stage(battery(own, ordinary_chain(taught)), "tested")), "discovered")
+        now = found.count()
+        if now <= n:
+            return found
+        known, n = secret.unionByName(found.select(F.col("m").alias("w"))).distinct(), now
+
+
+def battery(tokens: DataFrame, chain: tuple[list[int], list[int], list[float]], token: str = "m") -> DataFrame:
+    """For tokens (``token``, and ``own``: how often it is among the chain's
+    words) adds ``encoding``, the z-values of the three tests (``z_chi``,
     ``z_runs``, ``z_serial``), ``passes``, and ``nlp`` (minus log10 of the
     p-value as an ordinary token)."""
     t = F.col(token)
-    kind = (F.when(t.rlike("^[0-9a-f]+$"), "hex").when(t.rlike("^[0-9A-F]+$"), "HEX").when(t.rlike("^[0-9a-z]+$"), "lower36")
-            .when(t.rlike("^[0-9A-Z]+$"), "upper36").otherwise("base64"))
+    kind = F.coalesce(*[F.when(t.rlike("^[" + a + "]+$"), F.lit(k)) for k, a in ALPHABETS.items() if k != "base64"], F.lit("base64"))
     alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
     n = F.col("_n").cast("double")
-    size = F.when(F.col("encoding").isin("hex", "HEX"), 16).when(F.col("encoding") == "base64", 64).otherwise(36)
-    # places in the alphabet; base 64's variants of one symbol share a place
+    size = F.create_map(*[F.lit(x) for kv in SIZES.items() for x in kv])[F.col("encoding")]
     place = lambda c: F.least(F.instr(F.col("_alphabet"), c) - 1, F.col("_size") - 1)
-    divisors = {16: (16, 8, 4, 2), 36: (36, 18, 12, 9, 6, 4, 3, 2), 64: (64, 32, 16, 8, 4, 2)}
+    divisors = {s: [d for d in range(s, 1, -1) if s % d == 0] for s in sorted(set(SIZES.values()))}
     bins = F.coalesce(*[F.when((F.col("_size") == s) & (F.col("_n") >= 5 * d), d) for s, ds in divisors.items() for d in ds],
                       F.lit(2))
     df = (tokens.withColumn("encoding", kind).withColumn("_n", F.char_length(t)).withColumn("_size", size)
@@ -114,16 +160,23 @@ def battery(tokens: DataFrame, token: str = "m") -> DataFrame:
     var = F.aggregate("_x", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean")))
     cov = F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + (p["a"] - F.col("_mean")) * (p["b"] - F.col("_mean")))
     df = df.withColumn("z_serial", F.when(var > 0, cov / var * F.sqrt(n)).otherwise(F.lit(99.0)))
-    cls = lambda c: F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
-    kinds = F.transform("_c", cls)
-    df = df.withColumn("_k", kinds)
-    changes = F.size(F.filter(F.sequence(F.lit(1), F.col("_n") - 1), lambda i: F.get("_k", i) != F.get("_k", i - 1)))
-    z = (changes / (n - 1) - CHANGE_RATE) / F.sqrt(CHANGE_RATE * (1 - CHANGE_RATE) / (n - 1))
-    # the normal tail above z >= 0, close to exp(-0.717 z - 0.416 z^2); a fixed approximation
-    nlp = F.when(z > 0, (0.717 * z + 0.416 * z * z) / 2.302585092994046).otherwise(0.0)
+    # the likelihood ratio: uniform characters of the encoding against the chain of ordinary ones
+    (pair, row, one), wide, (two, alone, none) = (F.lit(c) for c in chain), len(SYMBOLS), CHAIN
+    df = df.withColumn("_s", F.transform("_c", lambda c: F.instr(F.lit(SYMBOLS), c) - 1))
+    steps = F.arrays_zip(F.slice("_s", F.lit(1), F.col("_n") - 1).alias("a"), F.slice("_s", F.lit(2), F.col("_n") - 1).alias("b"),
+                         F.array_repeat(F.col("own"), F.col("_n") - 1).alias("own"))
+
+    def log_chance(p):
+        after, seen = F.get(row, p["a"]) - p["own"], F.get(pair, p["a"] * wide + p["b"]) - p["own"]
+        return F.log2(two * F.greatest(seen, F.lit(0)) / F.greatest(after, F.lit(1)) + F.when(after > 0, alone).otherwise(alone + two)
+                      * F.get(one, p["b"]) + none / wide)
+
+    ordinary = F.aggregate(steps, F.lit(0.0), lambda x, p: x + log_chance(p)) + F.log2(F.get(one, F.get("_s", 0)))
+    bits = -n * F.log2(F.col("_size").cast("double")) - ordinary
+    nlp = F.greatest(bits, F.lit(0.0)) * math.log10(2)
     passes = (F.col("z_chi") < Z_LIMIT) & (F.abs("z_runs") < Z_LIMIT) & (F.abs("z_serial") < Z_LIMIT)
     return df.withColumn("nlp", nlp).withColumn("passes", passes).drop(
-        "_size", "_alphabet", "_bins", "_c", "_x", "_pairs", "_mean", "_k").withColumnRenamed("_n", "length")
+        "_size", "_alphabet", "_bins", "_c", "_x", "_pairs", "_mean", "_s").withColumnRenamed("_n", "length")
 
 
 def discoveries(tested: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -146,11 +199,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = stage(scan(docs, id_col, text_col), "scanned")
     found = stage(_spans(scanned), "matches")
     base = found.where("rank < 3").groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("base"))
-    tokens = found.where("rank = 3").join(base, "rk", "left").where(
-        ~F.exists(F.coalesce("base", F.array()), lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"])))
-    tested = stage(battery(tokens.drop("base")), "tested")
-    spans = found.where("rank < 3").select("rk", "start", "rank", "kind", "end").unionByName(
-        discoveries(tested).select("rk", "start", "rank", "kind", "end"))
+    over = F.exists(F.coalesce("base", F.array()), lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    runs = stage(found.where("rank = 3").join(base, "rk", "left").withColumn("over", over).drop("base"), "runs")
+    spans = found.where("rank < 3").select("rk", "start", "rank", "kind", "end")
+    tokens = runs.where("not over")
+    if not tokens.isEmpty():                                # else there is nothing to tell from ordinary tokens
+        words = stage(vocabulary(docs, text_col), "vocabulary")
+        secret = runs.where("over").select(F.col("m").alias("w")).distinct()
+        spans = spans.unionByName(random_tokens(tokens, words, secret).select("rk", "start", "rank", "kind", "end"))
     per = stage(spans.groupBy("rk").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans")),
                 "spans")                                                          # the spans of one text
     return scanned.select("rk", "id"), per
