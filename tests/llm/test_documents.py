@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,15 +83,62 @@ def test_base_secrets_equal_a_plain_scan(spark, docs):
         assert r.base_sha256 == hashlib.sha256(line(base_spans(docs[r.doc_id].text)).encode()).hexdigest()
 
 
-def test_battery_finds_random_tokens_and_leaves_ordinary_ones(spark):
+#: Token kinds: alphabet and length (32 digits or more are a base span of kind hex).
+TOKENS = {"base64": (secrets.SYMBOLS[:64], 44), "lower": (secrets.LOWER, 40), "upper": (secrets.LOWER.upper(), 40), "digits": (secrets.DIGITS, 30),
+          "base32": (secrets.ALPHABETS["base32"], 32), "base32 long": (secrets.ALPHABETS["base32"], 52), "lower36": (secrets.ALPHABETS["lower36"], 32),
+          "HEX": (secrets.ALPHABETS["HEX"], 40)}
+
+
+def test_battery_finds_random_tokens_of_every_kind_and_leaves_ordinary_ones(spark):
     rng = np.random.default_rng(1)
-    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    random_ = ["".join(rng.choice(list(b64), 44)) for _ in range(20)]
-    plain = [f"https_configuration_manager_instance_{w}" for w in ("alpha", "beta", "gamma", "delta")] * 20 + ["x" * 60, "xyxy" * 12, "ABCDEFGHIJ" * 5]
-    rows = [(i, f"see {t} here") for i, t in enumerate(random_ + plain)]
+    words = "configuration manager instance server alpha delta network session production backup storage client region status report".split()
+    plain = ["_".join(rng.choice(words, 4)) for _ in range(150)] + ["-".join(rng.choice(words, 4)) for _ in range(150)] + [
+        "".join(rng.choice(words, 4)) for _ in range(97)] + ["x" * 60, "xyxy" * 12, "ABCDEFGHIJ" * 5]
+    plain = [p for p in plain if len(p) >= 20]
+    random_ = [(k, "".join(rng.choice(list(a), n))) for k, (a, n) in TOKENS.items() for _ in range(20)]
+    rows = [(i, f"see {t} here") for i, (_, t) in enumerate(random_)] + [(1000 + i, f"see {t} here") for i, t in enumerate(plain)]
     out = {r.doc_id: r.spans for r in secrets.secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert sum(out[i] == f"random:4:{4 + 44}" for i in range(20)) >= 18
-    assert all(out[i] == "" for i in range(20, len(rows)))
+    found = {k: sum(out[i] == f"random:4:{4 + len(t)}" for i, (of, t) in enumerate(random_) if of == k) for k in TOKENS}
+    assert all(n >= 18 for n in found.values()), found
+    assert all(out[1000 + i] == "" for i in range(len(plain)))
+
+
+def test_battery_values_against_a_plain_version(spark):
+    rng = np.random.default_rng(4)
+    tokens = ["".join(rng.choice(list(a), n)) for a, n in TOKENS.values() for _ in range(5)] + ["a" * 25, "ab" * 15, "the_quick_brown_fox_jumps"]
+    docs = spark.createDataFrame([(t,) for t in tokens] + [("the quick brown fox",), (None,)], "text string")
+    chain = secrets.ordinary_chain(secrets.vocabulary(docs))
+    wide = len(secrets.SYMBOLS)
+    pair, row, one = chain
+    assert len(pair) == wide * wide and len(row) == len(one) == wide and abs(sum(one) - 1) < 1e-9
+    text = " ".join([*tokens, "the quick brown fox"])
+    pairs = Counter(w[i:i + 2] for w in text.split() for i in range(len(w) - 1))
+    assert {a + b: pair[i * wide + j] for i, a in enumerate(secrets.SYMBOLS) for j, b in enumerate(secrets.SYMBOLS) if pair[i * wide + j]} == pairs
+    own = {t: i % 2 for i, t in enumerate(tokens)}
+    got = {r.m: r for r in secrets.battery(spark.createDataFrame(list(own.items()), "m string, own bigint"), chain).collect()}
+    for t in tokens:
+        kind = next(k for k, a in secrets.ALPHABETS.items() if set(t) <= set(a))
+        size, n = secrets.SIZES[kind], len(t)
+        x = np.array([min(secrets.ALPHABETS[kind].index(c), size - 1) for c in t], float)
+        bins = next((d for d in range(size, 1, -1) if size % d == 0 and n >= 5 * d), 2)
+        e = n / bins
+        chi = ((np.bincount(x.astype(int) % bins, minlength=bins) - e) ** 2 / e).sum()
+        z_chi = ((chi / (bins - 1)) ** (1 / 3) - (1 - 2 / (9 * (bins - 1)))) / np.sqrt(2 / (9 * (bins - 1)))
+        high = x >= size / 2
+        n1, runs = high.sum(), 1 + (high[1:] != high[:-1]).sum()
+        even = 2 * n1 * (n - n1) / n
+        z_runs = (runs - even - 1) / np.sqrt(max(even * (even - 1) / (n - 1), 1e-9)) if 0 < n1 < n else 99.0
+        d = x - x.mean()
+        z_serial = (d[1:] * d[:-1]).sum() / (d * d).sum() * np.sqrt(n) if d.any() else 99.0
+        s = [secrets.SYMBOLS.index(c) for c in t]
+        two, alone, none = secrets.CHAIN
+        bits = -n * np.log2(size) - np.log2(one[s[0]])
+        for a, b in zip(s, s[1:]):
+            after = row[a] - own[t]
+            bits -= np.log2(two * max(pair[a * wide + b] - own[t], 0) / max(after, 1) + (alone + (after <= 0) * two) * one[b] + none / wide)
+        r = got[t]
+        assert (r.encoding, r.length) == (kind, n)
+        assert np.allclose([r.z_chi, r.z_runs, r.z_serial, r.nlp], [z_chi, z_runs, z_serial, max(bits, 0) * np.log10(2)], atol=1e-6), t
 
 
 def test_secrets_odd_rows_and_redaction(odd_docs, no_docs):
@@ -269,14 +317,15 @@ def test_contamination_equals_whole_item_search(spark, docs, odd_docs, no_docs):
         assert {i for i, w in items.items() if " " + " ".join(w) + " " in t} <= set(map(int, filter(None, r.items.split(","))))
         assert r.contaminated == bool(r.items) and r.n_words == len(words(docs[r.doc_id].text))
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog while seven wise owls watch"), (2, None), (3, "too short"),
-                                   (4, "seven wise owls watch from the old"), (5, "w5x1 nothing else of it stands anywhere in any text here now")],
+                                   (4, "seven wise owls watch from the old"), (5, "w5x1 nothing else of it stands anywhere in any text here now"), (6, "The lazy dog"), (7, "dog the lazy"),
+                                   (8, "one"), (9, "...")],
                                   "item_id bigint, text string")
     out = decontaminate.contamination(odd_docs, bench).collect()
-    assert sorted(r["items"] for r in out if r.contaminated) == ["1,4"] * 4 and len(out) == N
+    assert sorted(r["items"] for r in out if r.contaminated) == ["1,4,6"] * 4 + ["8"] and len(out) == N        # short items whole and exactly
     assert decontaminate.contamination(odd_docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(no_docs, bench).count() == 0
     left = decontaminate.without_contaminated(odd_docs, bench)
-    assert left.columns == odd_docs.columns and left.count() == N - 4
+    assert left.columns == odd_docs.columns and left.count() == N - 5
 
 
 def test_contamination_tolerates_substitutions_and_joins_by_shuffle_alike(spark):
@@ -293,7 +342,21 @@ def test_contamination_tolerates_substitutions_and_joins_by_shuffle_alike(spark)
     b = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
     got = sorted(map(tuple, decontaminate.contamination(d, b).collect()))
     assert [r[2] for r in got] == [True] * 40 + [False] * 10
-    assert got == sorted(map(tuple, decontaminate.contamination(d, b, most_hashes=0).collect()))
+    assert got == sorted(map(tuple, decontaminate.contamination(d, b, most_rows=0).collect()))
+
+
+def test_a_phrase_of_many_items_and_texts(spark):
+    """An opening that all items share and many texts hold: only texts with an item's own words are contaminated."""
+    rng = np.random.default_rng(6)
+    some = lambda n: [f"y{x}" for x in rng.integers(0, 10 ** 9, n)]
+    opening = "which of the following statements is".split()
+    items = [opening + some(14) for _ in range(400)]
+    texts = [some(40) + opening + some(300) for _ in range(100)] + [some(20) + items[i] + some(5) for i in range(3)]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    for most in (decontaminate.MOST_ROWS, 0):
+        got = {r.doc_id: r["items"] for r in decontaminate.contamination(d, b, most_rows=most).collect()}
+        assert got == {**{i: "" for i in range(100)}, **{100 + i: str(i) for i in range(3)}}
 
 
 def test_every_run_that_verifies_keeps_the_positions_of_a_mask():
