@@ -36,18 +36,19 @@ SETTING_TYPES = {"int": ("n", "best_of", "num_return_sequences", "max_tokens", "
 def settings_json(params: Column) -> Column:
     """JSON object of a string map of settings, keys ascending, each value in
     the type its name has (numbers, booleans, ``stop`` as a list); others as strings."""
-    def value(k, v):
-        c = F.when(v.isNull(), F.lit("null")).when(k == "stop", v)
-        for kind, names in SETTING_TYPES.items():
-            c = c.when(k.isin(*names), F.coalesce(F.to_json(F.struct(v.try_cast(kind).alias("v"))), F.lit("{}")))
-        return c.otherwise(F.to_json(F.struct(v.alias("v"))))
+    def typed(k, v):
+        """The value's JSON text if it is of the type that its name has, else null."""
+        number = v.try_cast("double")
+        finite = F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number.cast("string"))
+        return (F.when(k.isin(*SETTING_TYPES["int"]), v.try_cast("int").cast("string"))
+                .when(k.isin(*SETTING_TYPES["double"]), finite)
+                .when(k.isin(*SETTING_TYPES["boolean"]), v.try_cast("boolean").cast("string")))
 
     def member(e):
-        typed = value(e["key"], e["value"])
-        # a value wrapped as {"v":...} is unwrapped; {} (not of its type) is sent as the string it is
-        inner = F.when(typed == "{}", F.to_json(F.struct(e["value"].alias("v")))).otherwise(typed)
-        body = F.when(inner.startswith('{"v":'), F.substring(inner, F.lit(6), F.length(inner) - 6)).otherwise(inner)
-        return F.concat(F.lit('"'), e["key"], F.lit('":'), body)
+        k, v = e["key"], e["value"]
+        quoted = F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")         # escapes as JSON asks for
+        return F.concat(F.lit('"'), k, F.lit('":'), F.when(v.isNull(), F.lit("null")).when(k == "stop", v).otherwise(
+            F.coalesce(typed(k, v), quoted)))
 
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(params)), member), ","), F.lit("}"))
 
@@ -76,9 +77,11 @@ def to_hf(params: Column) -> Column:
             c = c.when(k == src, F.lit(RENAMES[src]))
         return c.otherwise(k)
     # a setting given under both names: the one already in the target's spelling wins
-    entries = F.transform(F.map_entries(vals), lambda e: F.struct(
-        rename(e["key"], e["value"]).alias("key"), e["value"].alias("value"), (rename(e["key"], e["value"]) == e["key"]).alias("own")))
-    kept_ = F.filter(F.array_sort(entries), lambda e: e["own"] | ~F.exists(entries, lambda o: (o["key"] == e["key"]) & o["own"]))
+    named = F.transform(F.map_entries(vals), lambda e: F.struct(rename(e["key"], e["value"]).alias("key"), e["value"].alias("value"), e["key"].alias("was")))
+    entries = F.transform(named, lambda e: F.struct(e["key"], e["value"], (e["key"] == e["was"]).alias("own")))
+    # one element, the whole list: the lambda's variable binds it, however often it is looked at
+    kept_ = F.get(F.transform(F.array(F.array_sort(entries)), lambda es: F.filter(
+        es, lambda e: e["own"] | ~F.exists(es, lambda o: (o["key"] == e["key"]) & o["own"]))), F.lit(0))
     return F.map_from_entries(F.transform(kept_, lambda e: F.struct(e["key"], e["value"])))
 
 
@@ -100,23 +103,24 @@ def build_requests(df: DataFrame, prompt_col: str = "prompt", params_col: str |
     n > 1 or temperature > 0.1."""
     call = F.col(params_col) if params_col else F.create_map().cast("map<string,string>")
     call = F.coalesce(call, F.create_map().cast("map<string,string>"))
+    # helper columns: what is used more than once is a column, else it would be computed again in each place
+    rows = df.select(F.col(id_col).alias("request_id"), prompt_text(df, prompt_col).alias("inputs"), call.alias("_call"))
     if backend == "hosted":
-        merged = overlay(_map_lit(HOSTED_DEFAULTS if defaults is None else defaults), call)
-        n = F.coalesce(merged["n"].cast("int"), F.lit(1))
-        flags = F.create_map(F.lit("do_sample"), F.when(n > 1, "true").otherwise("false"),
-                             F.lit("best_of"), n.cast("string"),
-                             F.lit("details"), F.when(n > 1, "true").otherwise("false"))
-        params = to_hf(overlay(flags, merged))
-        t = params["temperature"].cast("double")
-        params = overlay(params, F.create_map(F.lit("temperature"),
-                                              F.greatest(F.lit(0.1), F.coalesce(t, F.lit(0.1))).cast("string")))
+        rows = rows.withColumn("_merged", overlay(_map_lit(HOSTED_DEFAULTS if defaults is None else defaults), F.col("_call")))
+        rows = rows.withColumn("_n", F.coalesce(F.col("_merged")["n"].cast("int"), F.lit(1)))
+        many = F.when(F.col("_n") > 1, "true").otherwise("false")
+        flags = F.create_map(F.lit("do_sample"), many, F.lit("best_of"), F.col("_n").cast("string"), F.lit("details"), many)
+        rows = rows.withColumn("_params", to_hf(overlay(flags, F.col("_merged"))))
+        t = F.col("_params")["temperature"].cast("double")
+        params = overlay(F.col("_params"), F.create_map(F.lit("temperature"), F.greatest(F.lit(0.1), F.coalesce(t, F.lit(0.1))).cast("string")))
     elif backend == "local":
-        merged = overlay(to_hf(_map_lit(defaults or {})), to_hf(call))
-        sample = (F.coalesce(call["n"].cast("int"), F.lit(1)) > 1) | (F.coalesce(call["temperature"].cast("double"), F.lit(0.0)) > 0.1)
-        params = F.when(sample, overlay(merged, F.create_map(F.lit("do_sample"), F.lit("true")))).otherwise(merged)
+        rows = rows.withColumn("_merged", overlay(to_hf(_map_lit(defaults or {})), to_hf(F.col("_call"))))
+        sample = (F.coalesce(F.col("_call")["n"].cast("int"), F.lit(1)) > 1) | (
+            F.coalesce(F.col("_call")["temperature"].cast("double"), F.lit(0.0)) > 0.1)
+        params = F.when(sample, overlay(F.col("_merged"), F.create_map(F.lit("do_sample"), F.lit("true")))).otherwise(F.col("_merged"))
     else:
         raise ValueError(f"unknown backend {backend!r}")
-    out = df.select(F.col(id_col).alias("request_id"), prompt_text(df, prompt_col).alias("inputs"), params.alias("parameters"))
+    out = rows.select("request_id", "inputs", params.alias("parameters"))
     inputs = F.to_json(F.struct("inputs"))
     return out.withColumn("payload", F.concat(F.substring(inputs, F.lit(1), F.length(inputs) - 1),
                                               F.when(inputs == "{}", F.lit("")).otherwise(F.lit(",")), F.lit('"parameters":'),
@@ -225,7 +229,8 @@ def cached_generate(requests: DataFrame, cache: DataFrame, generate: Callable[[D
     on the result pay for nothing again. Returns ``(request_id, key, response,
     from_cache)``; :func:`append_cache` stores the new replies."""
     r = requests.withColumn("key", cache_key(F.col("payload")))
-    known = cache.where(F.col("response").isNotNull()).groupBy("key").agg(F.min("response").alias("response"))
+    # written first: Spark can't split a join where a key is hot if one side is an aggregate on that key
+    known = materialize(cache.where(F.col("response").isNotNull()).groupBy("key").agg(F.min("response").alias("response")), "known-replies")
     hits = r.join(known, "key", "inner").select("request_id", "key", "response", F.lit(True).alias("from_cache"))
     misses = r.join(known.select("key"), "key", "left_anti")
     todo = misses.groupBy("key").agg(F.min("payload").alias("payload"))

@@ -12,12 +12,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.vectors import maxsim, mean_vectors
+from docloom.operators.ann import ann_topk
+from docloom.operators.coded import CodedIndex
 from docloom.operators.knn import knn_topk
 from docloom.session import materialize
 
 Rewriter = Callable[[DataFrame, DataFrame, str], DataFrame]
 
 
+def search(queries: DataFrame, passages: DataFrame, k: int, carry: list[str], index=None, vec: str = "embedding", **kw) -> DataFrame:
+    """One search of ``passages`` for (query_id, vec): exact, or in a stored
+    ``index`` of them (a ``CellIndex`` or ``CodedIndex``, squared L2) with its
+    own settings, e.g. ``nprobe``. Columns in ``carry`` are joined to the hits."""
+    if index is None:
+        return knn_topk(queries, passages, k=k, q_vec=vec, p_vec=vec, carry=carry, **kw)
+    if kw.pop("metric", "l2sq") != "l2sq":
+        raise ValueError("an index holds squared L2 distances")
+    p_id = kw.pop("p_id", "passage_id")
+    if not isinstance(index, CodedIndex):
+        return ann_topk(queries, passages, k=k, p_id=p_id, vec=vec, carry=carry, index=index, **kw)
+    hits = index.topk(queries, k, q_vec=vec, **kw)
+    carried = passages.select(F.col(p_id).alias("passage_id"), *[c for c in carry if c != "passage_id"])
+    return hits.join(carried, "passage_id").select("query_id", "passage_id", "score", "rank", *carry)
+
+
 def rocchio_rewriter(questions: DataFrame, hits: DataFrame, vec: str = "embedding") -> DataFrame:
     """Deterministic stand-in for the LM query rewriter: the next query is
     the mean of the question vector and every passage vector retrieved so
@@ -36,7 +54,8 @@ def multi_hop_retrieve(questions: DataFrame, passages: DataFrame, max_hops: int
                        p_id: str = "passage_id", vec: str = "embedding", **knn_kw) -> DataFrame:
     """For hop 1..max_hops: make a query from the question and everything
     retrieved so far, retrieve k, append. Hops depend on each other, so each
-    hop's hits are checkpointed (lineage cut, executor-loss safe).
+    hop's hits are checkpointed (lineage cut, executor-loss safe). ``index``
+    and its settings go to :func:`search`.
 
     ``questions``: (query_id, embedding). Output: (query_id, hop, rank,
     passage_id, score, embedding, *carry)."""
@@ -46,8 +65,7 @@ def multi_hop_retrieve(questions: DataFrame, passages: DataFrame, max_hops: int
     cur = q0
     hits = None
     for hop in range(1, max_hops + 1):
-        h = knn_topk(cur, passages, k=k, metric=metric, q_id="query_id", q_vec=vec, p_id=p_id, p_vec=vec,
-                     carry=[vec] + carry, **knn_kw)
+        h = search(cur, passages, k, [vec] + carry, vec=vec, metric=metric, p_id=p_id, **knn_kw)
         h = materialize(h.withColumn("hop", F.lit(hop)))
         hits = h if hits is None else hits.unionByName(h)
         if hop < max_hops:
@@ -72,7 +90,7 @@ def multi_hop_search(questions: DataFrame, passages: DataFrame, rewrite: TextRew
     hits = queries = None
     for hop in range(1, max_hops + 1):
         queries = materialize(rewrite(questions, hits, hop).select("query_id", "query"), "queries")
-        found = knn_topk(embed(queries), passages, k=k, metric=metric, carry=list(carry), **knn_kw)
+        found = search(embed(queries), passages, k, list(carry), metric=metric, **knn_kw)
         found = materialize(found.withColumn("hop", F.lit(hop)), "hop")
         hits = found if hits is None else hits.unionByName(found)
     return hits.select("query_id", "hop", "rank", "passage_id", "score", *carry), queries

@@ -210,7 +210,29 @@ def q_read_instructions(spark, sf):
     return scan_instruction_set(spark, path, split="train")
 
 
-@register("scan_prompt_specs", f"""WITH {SAMPLES_SQL}, sp AS (SELECT conv_id, count(*) AS n_examples, min(instruction) AS first_question,
+@register("scan_prompt_specs", f"""WITH {SAMPLES_SQL}
+SELECT 'conv-' || conv_id AS name, CAST(count(*) AS INTEGER) AS n_examples, CAST(count(*) FILTER (length(output) % 2 = 0) AS INTEGER) AS n_objects,
+  min(instruction) AS first_question, max(output) AS last_answer, count(*) * 2 AS n_keys FROM smp GROUP BY conv_id""")
+def q_prompt_specs_files(spark, sf):
+    """One multi-line JSON document a file; the outputs of examples are strings in some and objects in others."""
+    path = scratch(spark, "specs")
+    s = FX.instruction_samples(spark, sf).withColumn("conv", F.split("sample_id", ":")[0])
+    quoted = F.to_json(F.struct(F.col("instruction").alias("question"), F.col("output")))
+    nested = F.to_json(F.struct(F.col("instruction").alias("question"), F.struct(F.col("output").alias("answer"), F.lit(1).alias("verdict")).alias("output")))
+    example = F.when(F.length("output") % 2 == 0, nested).otherwise(quoted)
+    body = F.concat(F.lit('{\n  "name": "conv-'), "conv", F.lit('",\n  "instruction": "Answer the question.",\n  "examples": [\n    '),
+                    F.array_join(F.collect_list(example), ",\n    "), F.lit('\n  ],\n  "input_keys": ["question"],\n  "output_key": "output",\n'),
+                    F.lit('  "output_type": "str",\n  "language": "english"\n}'))
+    s.groupBy("conv").agg(body.alias("value")).withColumnRenamed("conv", "file").repartition("file").write.partitionBy("file").text(path)
+    got = scan_prompt_specs(spark, path).select("name", "input_keys", F.explode("examples").alias("e"))
+    said = F.col("e")["output"]
+    answer = F.when(said.startswith('{"answer":'), F.coalesce(F.get_json_object(said, "$.answer"), F.lit(""))).otherwise(said)
+    return got.groupBy("name").agg(
+        F.count(F.lit(1)).cast("int").alias("n_examples"), F.sum(F.when(said.startswith('{"answer":'), 1).otherwise(0)).cast("int").alias("n_objects"),
+        F.min(F.col("e")["question"]).alias("first_question"), F.max(answer).alias("last_answer"), F.sum(F.size("e")).alias("n_keys"))
+
+
+@register("scan_prompt_specs_lines", f"""WITH {SAMPLES_SQL}, sp AS (SELECT conv_id, count(*) AS n_examples, min(instruction) AS first_question,
    max(output) AS last_answer FROM smp GROUP BY conv_id)
 SELECT 'conv-' || conv_id AS name, CAST(n_examples AS INTEGER) AS n_examples, first_question, last_answer FROM sp""")
 def q_prompt_specs(spark, sf):

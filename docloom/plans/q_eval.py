@@ -93,6 +93,22 @@ def q_near_dups(spark, sf):
     return TS.question_near_dups(d.withColumnRenamed("doc_id", "id"), "id", "text", 0.8)
 
 
+@register("question_dup_classes", """WITH RECURSIVE w AS (SELECT doc_id AS id,
+    list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))) AS ws FROM documents),
+s AS (SELECT id, ws, array_to_string(ws, chr(1)) AS sk FROM w WHERE len(ws) > 0),
+reps AS (SELECT sk, min(id) AS rep, first(ws) AS ws, count(*) AS m FROM s GROUP BY sk),
+pr AS (SELECT a.rep AS x, b.rep AS y FROM reps a JOIN reps b ON a.sk <> b.sk AND least(len(a.ws), len(b.ws)) >= 0.8 * greatest(len(a.ws), len(b.ws))
+   WHERE len(list_intersect(a.ws, b.ws)) >= 0.8 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) - 1e-9),
+r AS (SELECT rep AS node, rep AS seen FROM reps UNION SELECT r.node, pr.y FROM r JOIN pr ON pr.x = r.seen),
+c AS (SELECT node AS rep, min(seen) AS class_id FROM r GROUP BY node),
+k AS (SELECT class_id, sum(m)::BIGINT AS n_rows, count(*) AS n_texts FROM c JOIN reps USING (rep) GROUP BY class_id)
+SELECT s.id, c.class_id, k.n_rows, k.n_texts FROM s JOIN reps ON reps.sk = s.sk JOIN c ON c.rep = reps.rep JOIN k ON k.class_id = c.class_id
+UNION ALL SELECT id, id, 1, 1 FROM w WHERE ws IS NULL OR len(ws) = 0""")
+def q_dup_classes(spark, sf):
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return TS.question_dup_classes(d.withColumnRenamed("doc_id", "id"), "id", "text", 0.8)
+
+
 @register("select_contexts", """WITH u AS (SELECT * FROM conversations WHERE role = 'user'),
 ctx AS (SELECT u.conv_id, u.turn, list_filter([u.text, b.text, c.text], lambda x: x IS NOT NULL) AS contexts, [1 + u.turn % 3, 9, 0] AS idx
   FROM u LEFT JOIN conversations b ON b.conv_id = u.conv_id AND b.turn = u.turn + 1

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.operators import collection as coll
 from docloom.plans.oracles import _rag_sql
-from docloom.plans.registry import _passages, register
+from docloom.plans.registry import EXTRA_ORACLES, _passages, register
 from docloom.plans.sqlparts import passages_ctes
 from docloom.session import read_table, scratch
 from docloom.sources import fixtures as FX
+from docloom.streaming.history import drain_history
 from docloom.streaming.streams import stream_dedup, stream_ingest, stream_rag_query
 
 
@@ -48,3 +50,14 @@ def q_stream_rag(spark, sf):
     FX.questions(spark, sf).repartition(2).write.parquet(src)
     stream_rag_query(spark, src, _passages(spark, sf), os.path.join(base, "out"), os.path.join(base, "ckpt"))
     return spark.read.parquet(os.path.join(base, "out")).drop("batch_id")
+
+
+@register("stream_history", EXTRA_ORACLES["chat_history_pairs"])
+def q_stream_history(spark, sf):
+    """The history of conversations whose turns arrive in several files, in no order."""
+    base = scratch(spark, "stream-history")
+    src = os.path.join(base, "incoming")
+    turns = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    turns.repartition(3, F.xxhash64("conv_id", "turn")).write.parquet(src)
+    drain_history(spark, src, os.path.join(base, "out"), os.path.join(base, "ckpt"), max_files=1)
+    return spark.read.parquet(os.path.join(base, "out"))

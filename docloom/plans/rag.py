@@ -2,7 +2,8 @@
 
 prefix -> embed -> 2 hops of kNN with a rewritten query -> dedup -> rerank
 -> attach source. The question table is the broadcast side of the kNN
-(size-checked there); the passage table is scanned, never shuffled.
+(size-checked there); the passage table is scanned, never shuffled. With
+``index=`` (a stored index of the passages) every hop searches that instead.
 """
 
 from __future__ import annotations

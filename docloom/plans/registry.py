@@ -143,4 +143,4 @@ def q_rag(spark, sf):
 
 
 # the other query groups register themselves on import
-from docloom.plans import q_retrieval, q_generation, q_chat_sft, q_eval, q_stream, q_answers  # noqa: E402,F401
+from docloom.plans import q_retrieval, q_generation, q_chat_sft, q_eval, q_stream, q_answers, q_index  # noqa: E402,F401

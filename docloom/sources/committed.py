@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-#: Helper columns that a keyed table's rows bring to the writer: the file of the part, the key's hash.
+#: Helper columns that rows may bring to the writer: the number of their file in the part, the hash of their key.
 FILE_COL, HASH_COL = "_docloom_file", "_docloom_hash"
 BLOOM_BITS, BLOOM_HASHES = 12, 8                            # bits a key and probes: 0.3 % false positives
 
@@ -92,7 +92,7 @@ class TableWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType):
         self.path, self.part = options["path"], options["part"]
         self.replaces, self.n = json.loads(options.get("replaces") or "[]"), int(options.get("files") or 0)
-        self.keyed = FILE_COL in schema.fieldNames()
+        self.numbered, self.keyed = FILE_COL in schema.fieldNames(), HASH_COL in schema.fieldNames()
         self.schema = T.StructType([f for f in schema.fields if f.name not in (FILE_COL, HASH_COL)]).json()
         self.folder = f"{self.part}-{uuid.uuid4().hex}"
         fs, root = filesystem(self.path)                    # made here alone: a task that outlives an abort can't make it again
@@ -109,8 +109,8 @@ class TableWriter(DataSourceArrowWriter):
         for batch in iterator:
             if not batch.num_rows:
                 continue
-            number = batch.column(FILE_COL).to_numpy() if self.keyed else np.zeros(batch.num_rows, np.int32)
-            data = batch.drop_columns([FILE_COL, HASH_COL]) if self.keyed else batch
+            number = batch.column(FILE_COL).to_numpy() if self.numbered else np.zeros(batch.num_rows, np.int64)
+            data = batch.drop_columns([c for c in (FILE_COL, HASH_COL) if c in batch.schema.names])
             for k in np.unique(number).tolist():
                 here = pa.array(number == k)
                 if k not in writers:
@@ -209,14 +209,16 @@ def write_part(df: DataFrame, path: str, part: str | None = None, replaces: list
                key: str | None = None, files: int = 1) -> str:
     """Add ``df`` as a part; all of it becomes visible at once, or nothing.
     With a ``key`` the part has ``files`` files, each with a Bloom filter, and
-    a key's hash names its file."""
+    a key's hash names its file. Rows that bring numbers themselves (a long
+    column ``FILE_COL``) are kept in files of these numbers, as many of one
+    number as tasks hold rows of it."""
     part = part or uuid.uuid4().hex
     if not re.fullmatch(r"[\w.=-]+", part) or part.startswith("."):
         raise ValueError(f"a part's label has letters, digits, and _ . = - : {part!r}")
     df.sparkSession.dataSource.register(CommittedTable)
     rows = _numbered(df, key, files) if key else df
     rows.write.format("docloom_table").mode("append").options(
-        path=path, part=part, replaces=json.dumps(replaces or []), files=str(files if key else 0)).save()
+        path=path, part=part, replaces=json.dumps(replaces or []), files=str(files)).save()
     return part
 
 
