@@ -7,13 +7,14 @@ The text's language proportions are found by expectation-maximisation over
 its runs. Which languages a text holds is then chosen by penalised
 likelihood: nested sets of the strongest languages are fitted anew, and a
 further language has to raise the log-likelihood by more than half the log of
-the number of runs (and a margin). The predicted language is the one with the
+the number of runs (and a margin); sets grow as long as one does. The predicted language is the one with the
 largest proportion in the chosen set.
 
 Counts: n-grams of the learned texts are counted in Spark over a uniform,
 documented sample of at most about ``max_train`` documents a language (a hash
 of id); scoring covers every whole text. The model has 2**bits rows a
-language; languages are at most ``MOST_LANGUAGES``.
+language and at most ``MOST_CELLS`` cells: beyond 256 languages the buckets get
+fewer. The ``MOST_LANGUAGES`` most frequent languages are learnt.
 
 Cases: a null text and one without a letter are ``und`` with score 0; if
 nothing was learned every text is ``und``; rows of a null language teach
@@ -23,6 +24,8 @@ scored alike; a null id is never held out; other columns pass through.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,7 +38,10 @@ from docloom.llm.toxicity import remainder
 
 BITS = 15
 MAX_TRAIN = 8_000
-MOST_LANGUAGES = 1_000
+#: Bounds of the model: languages learnt (the most frequent ones), and cells of its table, languages x buckets.
+MOST_LANGUAGES, MOST_CELLS = 1 << 14, 1 << 23
+#: Language sets up to this size are tried for every text; larger ones as long as the penalised likelihood rises.
+TRIED = 4
 RUN = 8                       # words in a run
 ORDERS = (1, 2, 3, 4)         # bytes in an n-gram
 MARGIN = 3.0
@@ -91,15 +97,15 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int =
     python_ready(docs)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {r["lang"]: r["count"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-             .orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+             .orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    bits = min(bits, int(math.log2(MOST_CELLS / max(len(sizes), 1))))       # beyond 256 languages they share fewer buckets
     if not sizes:
         return {"langs": [], "logp": np.zeros((1 << bits, 0), np.float32), "bits": bits}
+    known = known.where(F.col(lang_col).cast("string").isin(list(sizes))) if len(sizes) == MOST_LANGUAGES else known
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, max_train / v)))])
     chosen = known.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 30)) <
                          share[F.col(lang_col).cast("string")] * (1 << 30))
-    got = count_ngrams(chosen, text_col, lang_col, bits).toPandas()          # at most languages x 2**bits rows
+    got = count_ngrams(chosen, text_col, lang_col, bits).toPandas()          # at most MOST_CELLS rows
     langs = sorted(sizes)
     n = np.zeros((1 << bits, len(langs)))
     n[got["bucket"], got["lang"].map({k: i for i, k in enumerate(langs)})] = got["n"]
@@ -129,7 +135,7 @@ def _em(like: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray, ste
     return pi, ll
 
 
-def infer(w: W.Words, model: dict, most: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def infer(w: W.Words, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every text of a slice: index of the predicted language, its
     proportion, and the number of languages chosen."""
     logp = model["logp"]
@@ -151,15 +157,24 @@ def infer(w: W.Words, model: dict, most: int = 4) -> tuple[np.ndarray, np.ndarra
     order = np.argsort(-pi, axis=1, kind="stable")
     best_pi, size = None, np.ones(w.n_texts, np.int64)
     best = np.full(w.n_texts, -np.inf)
-    for m in range(1, min(most, k) + 1):
-        allowed = np.zeros((w.n_texts, k))
-        np.put_along_axis(allowed, order[:, :m], 1.0, axis=1)
-        fitted, ll = _em(like, doc, w.n_texts, allowed)
-        value = ll - (m - 1) * (0.5 * np.log(np.maximum(counts, 1)) + MARGIN)
-        better = value > best
-        best = np.where(better, value, best)
-        size = np.where(better, m, size)
-        best_pi = fitted if best_pi is None else np.where(better[:, None], fitted, best_pi)
+    rising = np.arange(w.n_texts)                           # texts whose set still grows
+    for m in range(1, k + 1):
+        if not len(rising):
+            break
+        place = np.full(w.n_texts, -1)
+        place[rising] = np.arange(len(rising))
+        mine = place[doc] >= 0
+        allowed = np.zeros((len(rising), k))
+        np.put_along_axis(allowed, order[rising, :m], 1.0, axis=1)
+        fitted, ll = _em(like[mine], place[doc[mine]], len(rising), allowed)
+        value = ll - (m - 1) * (0.5 * np.log(np.maximum(counts[rising], 1)) + MARGIN)
+        better = value > best[rising]
+        if best_pi is None:
+            best_pi = fitted.copy()
+        best_pi[rising[better]] = fitted[better]
+        best[rising[better]] = value[better]
+        size[rising[better]] = m
+        rising = rising[better] if m >= TRIED else rising
     lang = best_pi.argmax(1)
     return lang, best_pi[np.arange(w.n_texts), lang] * np.clip(pi[np.arange(w.n_texts), lang], 0, 1) ** 0.5, size
 
@@ -167,7 +182,7 @@ def infer(w: W.Words, model: dict, most: int = 4) -> tuple[np.ndarray, np.ndarra
 def predict(text: Column, model: dict, spark) -> Column:
     """struct(lang, score, n_langs) of a text column."""
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("n_langs", pa.int32())])
-    sent = spark.sparkContext.broadcast(model)               # at most MOST_LANGUAGES x 2**bits
+    sent = spark.sparkContext.broadcast(model)               # at most MOST_CELLS cells
 
     @F.arrow_udf("struct<lang:string,score:double,n_langs:int>")
     def of(text: pa.Array) -> pa.Array:

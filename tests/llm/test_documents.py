@@ -276,6 +276,19 @@ def test_language_mixture(spark, docs, odd_docs, no_docs):
     assert langid.identify(odd_docs).count() == N and langid.identify(no_docs).count() == 0
 
 
+def test_texts_of_many_languages_and_tables_of_many(spark):
+    rng = np.random.default_rng(11)
+    own = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for k in range(7)}
+    rows = [(i, " ".join(rng.choice(own[f"l{i % 7}"], 120)), f"l{i % 7}") for i in range(350)]
+    mixed = " ".join(w for k in range(6) for w in rng.choice(own[f"l{k}"], 160))
+    d = spark.createDataFrame([*rows, (1000, mixed, None), (1001, " ".join(rng.choice(own["l6"], 80)), None)], "doc_id bigint, text string, lang string")
+    out = {r.doc_id: r for r in langid.identify(d).collect()}
+    assert out[1000].n_langs == 6 and out[1001].n_langs == 1 and out[1001].lang_pred == "l6"
+    many = spark.createDataFrame([(i, f"{'abcdefgh'[i % 8]}word{i} text{i * 7}", f"lang{i:04d}") for i in range(1300)], "doc_id bigint, text string, lang string")
+    got = langid.identify(many).collect()
+    assert len(got) == 1300 and all(r.lang_pred.startswith("lang") and 0 <= r.score <= 1 for r in got)
+
+
 # ---------------------------------------------------------------- repeated lines
 def test_repeated_lines_odd_rows_and_round_trip(spark, odd_docs, no_docs):
     long_line = "this line has more than eight words in it for sure"
