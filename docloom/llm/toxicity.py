@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from docloom.llm import words as W
 from docloom.llm.common import python_ready, stage
 
-BITS = 18
+BITS = 20
 MAX_TRAIN = 20_000
 THRESHOLD = 0.3
 _U = np.uint64
