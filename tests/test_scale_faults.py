@@ -1,5 +1,8 @@
 """Faults that showed on larger tables, on rows of their own."""
 
+import numpy as np
+import pandas as pd
+
 from docloom.operators import knn as K
 from docloom.operators.embed import with_hash_embedding
 
@@ -11,3 +14,21 @@ def test_texts_without_terms_have_a_vector_of_the_same_length(spark):
     hits = K.knn_topk(with_hash_embedding(df.where("id = 3")).withColumnRenamed("id", "query_id"),
                       with_hash_embedding(df).withColumnRenamed("id", "passage_id"), k=3)
     assert [r.passage_id for r in hits.orderBy("rank").collect()] == [3, 1, 2]
+
+
+def test_knn_ties_after_rounding_go_by_id():
+    vecs = np.zeros((40, 3), np.float32)
+    vecs[:, 0] = np.arange(40, 0, -1) * 1e-8                        # all squared distances round to 0
+    pdf = pd.DataFrame({"passage_id": np.arange(40), "embedding": list(vecs)})
+    got = K._tiled_topk(np.array([39]), vecs[39:].astype(float), pdf, "passage_id", "embedding", [], 5, "l2sq", False)
+    assert sorted(got["passage_id"]) == [0, 1, 2, 3, 4]
+
+
+def test_knn_scores_few_pairs_of_equal_vectors(monkeypatch):
+    pdf = pd.DataFrame({"passage_id": np.arange(6000), "embedding": [np.array([1.0, 2.0], np.float32)] * 6000})
+    scored = []
+    real = K._Near.scores
+    monkeypatch.setattr(K._Near, "scores", lambda self, qi, pi: scored.append(len(qi)) or real(self, qi, pi))
+    got = K._tiled_topk(np.arange(50), np.tile([1.0, 2.0], (50, 1)), pdf, "passage_id", "embedding", [], 4, "l2sq", True)
+    assert sum(scored) <= 50 * 5 and len(got) == 200
+    assert sorted(got[got["query_id"] == 2]["passage_id"]) == [0, 1, 3, 4]
