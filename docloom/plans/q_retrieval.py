@@ -110,10 +110,10 @@ CD = f"cd AS (SELECT {FILE} AS file, md5({FILE}) AS doc_id, {suffix_label(FILE)}
 
 @register("scan_text_corpus", f"SELECT {FILE} AS file, text FROM documents WHERE text IS NOT NULL")
 def q_scan_text_corpus(spark, sf):
-    from docloom.sources.corpus import scan_text_corpus
+    from docloom.sources.corpus import scan_text_corpus, write_text_corpus
     path = scratch(spark, "text-corpus")
     # one text file per document (a folder per file name), as a corpus folder on shared storage
-    FX.corpus(spark, sf).where(F.col("text").isNotNull()).repartition("file").write.partitionBy("file").text(path)
+    write_text_corpus(FX.corpus(spark, sf).where(F.col("text").isNotNull()), path)
     return scan_text_corpus(spark, path, name_dir="file")
 
 

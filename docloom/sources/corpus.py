@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.sources.committed import filesystem
+
 INSTRUCTION_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("instruction", "input", "output")])
 
 PROMPT_SPEC_SCHEMA = T.StructType([
@@ -41,6 +47,40 @@ def scan_text_corpus(spark: SparkSession, path: str, recursive: bool = True, nam
     return df.select(_percent_decode(folder).alias("file"), F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
+_ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+
+
+def _folder_name(name: str | None) -> str:
+    """A name as Spark's writers put it into a partition folder's name."""
+    return _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", name) if name else "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_text_corpus(df: DataFrame, path: str, name_dir: str = "file", text_col: str = "text") -> None:
+    """A corpus folder for :func:`scan_text_corpus`: a folder ``<name_dir>=<name>``
+    for every value of the column ``name_dir``, with one text file that holds
+    the texts of that name, a newline after each, as the text writer with
+    ``partitionBy(name_dir)`` lays it out. Tasks write the files in place, each
+    moved there when it is whole: a committer's renames on the driver, one a
+    folder, would take longer than all the rest."""
+    def write(rows: Iterator) -> None:
+        from pyspark import TaskContext
+
+        fs, root = filesystem(path)
+        at = TaskContext.get()
+        part, draft = f"part-{at.partitionId():05d}.txt", f"_draft-{at.taskAttemptId()}"
+        for folder, texts in itertools.groupby(rows, key=lambda r: _folder_name(r[0])):
+            base = f"{root}/{name_dir}={folder}"
+            fs.create_dir(base, recursive=True)
+            with fs.open_output_stream(f"{base}/{draft}") as out:
+                for r in texts:
+                    out.write(((r[1] or "") + "\n").encode())
+            fs.move(f"{base}/{draft}", f"{base}/{part}")
+
+    filesystem(path)[0].create_dir(filesystem(path)[1], recursive=True)
+    dealt = df.select(F.coalesce(F.col(name_dir), F.lit("")).alias("name"), text_col).repartition("name").sortWithinPartitions("name")
+    dealt.foreachPartition(write)
+
+
 def scan_instruction_set(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = "train") -> DataFrame:
     """Instruction table ``(instruction, input, output)``; when the data is
     laid out by split (``split=train/``), only that split is read."""

@@ -32,3 +32,13 @@ def test_knn_scores_few_pairs_of_equal_vectors(monkeypatch):
     got = K._tiled_topk(np.arange(50), np.tile([1.0, 2.0], (50, 1)), pdf, "passage_id", "embedding", [], 4, "l2sq", True)
     assert sum(scored) <= 50 * 5 and len(got) == 200
     assert sorted(got[got["query_id"] == 2]["passage_id"]) == [0, 1, 3, 4]
+
+
+def test_corpus_of_many_files_needs_no_renames_by_the_driver(spark, scratch, monkeypatch):
+    from docloom.sources import corpus as C
+    rows = [("a+b %41 c:x=1/[y].pdf", "one\ntwo"), ("plain.pdf", ""), ("é", "last"), (None, "nameless")]
+    df = spark.createDataFrame(rows, "file string, text string")
+    C.write_text_corpus(df, f"{scratch}/here")
+    df.repartition("file").write.partitionBy("file").text(f"{scratch}/there")
+    read = lambda d: sorted(map(tuple, C.scan_text_corpus(spark, f"{scratch}/{d}", name_dir="file").collect()))
+    assert read("here") == read("there") and rows[0] in read("here") and len(read("here")) == 4
