@@ -42,3 +42,18 @@ def test_corpus_of_many_files_needs_no_renames_by_the_driver(spark, scratch, mon
     df.repartition("file").write.partitionBy("file").text(f"{scratch}/there")
     read = lambda d: sorted(map(tuple, C.scan_text_corpus(spark, f"{scratch}/{d}", name_dir="file").collect()))
     assert read("here") == read("there") and rows[0] in read("here") and len(read("here")) == 4
+
+
+def test_search_of_every_code_writes_no_candidates(spark, monkeypatch):
+    from docloom.operators import coded as CO
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)], "passage_id long, embedding array<float>")
+    index = CO.build_coded_index(v)
+    written = []
+    real = CO.materialize
+    monkeypatch.setattr(CO, "materialize", lambda df, name="stage": written.append(name) or real(df, name))
+    q = v.withColumnRenamed("passage_id", "query_id")
+    got = CO.coded_topk(q, index, 5, nprobe=len(index.model.leaves), rerank=300, block_rows=100)
+    cols = ("query_id", "passage_id", "rank", "score")
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, K.knn_topk(q, v, k=5).select(*cols).collect()))
+    assert "candidates" not in written
