@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import materialize, ship_package
+from docloom.session import BATCH_BYTES, BATCH_ROWS, materialize, ship_package, small_batches
 
 #: Most rows that an operator broadcasts; beyond, it joins by shuffling.
 BROADCAST_ROWS = 1_000_000
@@ -39,26 +39,12 @@ def row_key(*cols: str) -> Column:
     return F.md5(F.concat(*parts))
 
 
-#: What travels to Python at once; texts are long, and memory on both sides grows with a batch.
-BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
-
-
 def python_ready(df: DataFrame) -> DataFrame:
     """Call before a plan with Python functions: workers can import the
-    package, and Arrow batches have at most ``BATCH_ROWS`` rows and about
-    ``BATCH_BYTES`` from now on (a session that sets less keeps that)."""
-    spark = df.sparkSession
-    ship_package(spark)
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < _number(spark.conf.get(f"spark.sql.execution.arrow.{key}")) <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    package, and Arrow batches are small from now on (:func:`small_batches`)."""
+    ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     return df
 
 
-def _number(setting: str) -> int:
-    """A setting's number; sizes may end in b, k, m or g."""
-    digits, unit = setting.lower().rstrip("b").rstrip("kmg"), setting.lower().rstrip("b")[-1:]
-    return int(digits) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
-
-
 __all__ = ["BROADCAST_ROWS", "bounded", "materialize", "python_ready", "row_key", "stage", "table"]

@@ -11,7 +11,7 @@ from docloom.operators.ann import ann_topk
 from docloom.operators.knn import knn_topk
 from docloom.operators.retrieve import (assemble_context, attach_source, dedup_first, multi_hop_retrieve,
                                         rerank_maxsim)
-from docloom.plans.ingest import chunk_corpus, passages_from_staged
+from docloom.plans.ingest import chunk_corpus, passages_from_staged, rows_to_add
 from docloom.plans.rag import retrieve_hits
 from docloom.plans.registry import _passages, register
 from docloom.plans.sqlparts import FILE, chunk_ctes, clean, hops_ctes, l2sq, maxsim, passages_ctes, suffix_label
@@ -140,7 +140,8 @@ def _deliver(spark, sf, root, **kw) -> list[tuple]:
     for batch, which in (*DELIVERIES, ("again", "true")):
         coll.open_collection(spark, root, "docs")          # a second open must not lose anything
         staged = materialize(chunk_corpus(FX.corpus_of(docs.where(which))))
-        n = coll.collection_add(spark, root, "docs", coll.to_collection_rows(passages_from_staged(staged)), **kw)
+        rows, _, embed = rows_to_add(staged)
+        n = coll.collection_add(spark, root, "docs", rows, embed=embed, **kw)
         out.append((batch, n, coll.open_collection(spark, root, "docs").count()))
     return out
 

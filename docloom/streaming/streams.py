@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.operators import collection as coll
-from docloom.plans.ingest import chunk_corpus, good_and_failed
+from docloom.plans.ingest import chunk_corpus, rows_to_add
 from docloom.plans.rag import answer_events, rag_answer, rag_retrieve
 from docloom.session import materialize, stage_scope
 
@@ -45,10 +45,10 @@ def stream_ingest(spark: SparkSession, source_dir: str, root: str, name: str, ch
         part = f"stream-{label}-{batch_id}"
         with stage_scope(spark):
             staged = materialize(chunk_corpus(batch, budget, cost), "stream-staged")
-            chunks, failed = good_and_failed(staged, dim, embedder)
+            rows, failed, embed = rows_to_add(staged, dim, embedder)
             if quarantine:
                 coll.append_failures(failed, quarantine, part)
-            coll.collection_add(spark, root, name, coll.to_collection_rows(chunks), part=part, retry=True)
+            coll.collection_add(spark, root, name, rows, part=part, retry=True, embed=embed)
 
     q = src.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
