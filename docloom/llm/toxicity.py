@@ -10,7 +10,8 @@ size the number of coordinates bounds; that list goes to the workers.
 
 Fitting: FTRL is sequential, so the labelled rows are cut into shards by a hash
 of their id and the state (z, n) passes from shard to shard as a table, a task
-each; a task holds one shard and the state alone. The fit uses at most about
+each; a task holds one shard and the state alone. The table's rows are blocks
+of coordinates. The fit uses at most about
 ``max_train`` labelled rows, a uniform sample by a hash of the id; a
 coordinate seen in one document of a shard alone is not admitted there.
 
@@ -33,6 +34,8 @@ from docloom.llm.common import python_ready, stage
 
 BITS = 20
 MAX_TRAIN = 20_000
+#: Coordinates in a row of the state's table.
+BLOCK = 1 << 14
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -106,28 +109,45 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, bits: i
                          _features_udf(bits)(text_col).alias("x")), "toxicity-fit")
     dims = (1 << bits) + 1
 
-    def run(docs, state):
-        import pandas as pd
-        z, n = np.zeros(dims), np.zeros(dims)
-        z[state["at"]], n[state["at"]] = state["z"], state["n"]
+    def run(batches):
+        z, n, seen, held = np.zeros(dims), np.zeros(dims), np.zeros(dims, np.int32), []
+        for batch in batches:                                                       # in any order
+            for i in np.flatnonzero(batch["block"].is_valid()):
+                at = batch["block"][i].as_py() * BLOCK
+                for into, name in ((z, "z"), (n, "n")):
+                    of = batch[name][i].values.to_numpy()
+                    into[at:at + len(of)] = of
+            docs = batch.select(["turn", "y", "x"]).filter(batch["turn"].is_valid())
+            if docs.num_rows:
+                values = docs["x"].values.to_numpy()
+                off = docs["x"].offsets.to_numpy()
+                seen += np.bincount(values[off[0]:off[-1]], minlength=dims).astype(np.int32)
+                held.extend(zip(docs["turn"].to_pylist(), docs["y"].to_pylist(), (values[i:j] for i, j in zip(off, off[1:]))))
+            del batch, docs
         model = Ftrl(z, n, alpha, beta, l1, l2)
-        if len(docs):
-            docs = docs.sort_values("turn")
-            seen = np.bincount(np.concatenate(docs["x"].tolist()).astype(np.int64), minlength=dims)
-            for y, x in zip(docs["y"], docs["x"]):
-                model.learn(np.append(x[seen[x] > 1], dims - 1).astype(np.int64), float(y))
-        at = np.flatnonzero(n)
+        for _, y, x in sorted(held, key=lambda d: d[0]):
+            model.learn(np.append(x[seen[x] > 1], dims - 1).astype(np.int64), float(y))
+        held = seen = None
+        for block, at in enumerate(range(0, dims, BLOCK)):
+            own = slice(at, at + BLOCK)
+            if n[own].any():
+                size = np.array([len(n[own])])
+                yield pa.record_batch([pa.array([block], pa.int32()), W.lists(z[own], size, pa.float64()),
+                                       W.lists(n[own], size, pa.float64())], ["block", "z", "n"])
+        del z, n, model
         W.release()
-        return pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
 
-    # bounded: a task holds one shard of the sampled rows and the state, at most a row a coordinate
-    schema = "at bigint, z double, n double"
+    # bounded: a task holds one shard of the sampled rows and the state, which has a row a block of coordinates;
+    # nothing is grouped or sorted, so that the rows pass through the JVM and are held once, in Python
+    schema = "block int, z array<double>, n array<double>"
     state = rows.sparkSession.createDataFrame([], schema)
     for turn in range(rounds * shards):
-        mine = rows.where(F.col("shard") == turn % shards).select(F.lit(0).alias("g"), "turn", "y", "x")
-        held = state.select(F.lit(0).alias("g"), "at", "z", "n")
-        state = stage(mine.groupBy("g").cogroup(held.groupBy("g")).applyInPandas(run, schema), "ftrl-state")
-    kept = state.where(F.abs("z") > l1).orderBy("at").collect()                     # the non-zero weights
+        mine = rows.where(F.col("shard") == turn % shards).select("turn", "y", "x").repartition(1)
+        both = mine.unionByName(state, allowMissingColumns=True).coalesce(1)
+        state = stage(both.mapInArrow(run, schema), "ftrl-state")
+    each = state.select("block", F.posexplode(F.arrays_zip("z", "n")).alias("i", "of"))
+    kept = each.where(F.abs("of.z") > l1).select(                                   # the non-zero weights
+        (F.col("block") * BLOCK + F.col("i")).alias("at"), "of.z", "of.n").orderBy("at").collect()
     at, z, n = (np.array([r[i] for r in kept], kind) for i, kind in enumerate((np.int64, float, float)))
     return {"at": at, "weight": Ftrl(z, n, alpha, beta, l1, l2).weights(), "bits": bits}
 

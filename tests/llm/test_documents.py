@@ -43,6 +43,29 @@ def test_toxicity_learns_marked_words_and_holds_out(spark, odd_docs, no_docs, no
     assert toxicity.score_documents(no_docs, no_labels).count() == 0
 
 
+def test_toxicity_state_is_a_row_a_block_and_fits_as_one_process(spark, monkeypatch):
+    """The tables between shards hold blocks of coordinates, not a row a coordinate, and the weights are FTRL's."""
+    made, bits = [], 16
+    real = toxicity.stage
+    monkeypatch.setattr(toxicity, "stage", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    rows = [(i, f"text {i % 9} of {'vile' if i % 3 == 0 else 'kind'} people " + " ".join(f"w{i * k % 701}" for k in range(40)),
+             int(i % 3 == 0)) for i in range(240)]
+    got = toxicity.fit(spark.createDataFrame(rows, "id bigint, text string, y int").repartition(5), "id", "text", "y", bits=bits, l1=0.5)
+    states = [df for name, df in made if name == "ftrl-state"]
+    assert len(states) == 8 and all(0 < df.count() <= (1 << bits) // toxicity.BLOCK + 1 for df in states)
+    dims = (1 << bits) + 1
+    model = toxicity.Ftrl(np.zeros(dims), np.zeros(dims), 0.2, 1.0, 0.5, 1.0)
+    docs = next(df for name, df in made if name == "toxicity-fit").orderBy("turn").collect()
+    assert len(docs) == 240
+    for turn in range(8):
+        mine = [r for r in docs if r.shard == turn % 4]
+        seen = Counter(c for r in mine for c in r.x)
+        for r in mine:
+            model.learn(np.array([c for c in r.x if seen[c] > 1] + [dims - 1]), float(r.y))
+    at = np.flatnonzero(np.abs(model.z) > 0.5)
+    assert len(at) and got["at"].tolist() == at.tolist() and np.array_equal(got["weight"], model.weights()[at])
+
+
 def test_ftrl_step_is_the_published_update():
     m = toxicity.Ftrl(np.zeros(3), np.zeros(3), alpha=0.5, beta=1.0, l1=0.1, l2=0.0)
     m.learn(np.array([0, 2]), 1.0)
