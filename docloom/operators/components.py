@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import materialize
+from docloom.session import materialize, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,6 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             "node", F.least("least", F.coalesce("next", "least")).alias("least"))
         now = materialize(jumped, "least")
         changed = now.join(held.withColumnRenamed("least", "was"), "node").where("least <> was").limit(1).count()
+        release(told, held)
         held = now
         if not changed:
+            release(both)
             return held.withColumnRenamed("least", "component")
